@@ -3,23 +3,28 @@
 A text is cut only where its tokenizer can never join two sides, so the ids are those of the
 whole text: ``words`` cuts at spaces and line feeds (for a tokenizer that drops white space),
 ``spaced`` cuts before a space that a visible character follows (for one that keeps the space
-with the word after it), ``None`` encodes whole texts.
+with the word after it), ``None`` encodes whole texts. ``ranks`` (for a byte-level tokenizer with
+the usual pattern) reads the same file's vocabulary as merge ranks, with which whole texts take
+a third of the time; a test holds its ids against the tokenizers library for every code point.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 #: Most words that a worker remembers; beyond it, it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 700_000
 #: Characters of text that are cut at once.
 SLICE = 1_000_000
 _CUT = re.compile(r"(?= \S)")
 _ODD = re.compile(r" \s")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_CLOSING = frozenset(",.;:!?)")
 _encoders: dict = {}
 
 
@@ -28,9 +33,17 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.cut, self.known = cut, {}
+        if cut == "ranks":
+            self.ranks = _ranks(path)
+            return
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cut, self.known = cut, {}
+        # where a run of letters begins or ends in a row of ids, by the mark that the vocabulary has for it
+        vocab = self.tokenizer.get_vocab()
+        self.mark = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        for token, i in vocab.items():
+            self.mark[i] = token.endswith("</w>") if cut == "words" else token.startswith("\u0120")
 
     def ids(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; a null text has none."""
@@ -47,31 +60,102 @@ class Encoder:
         for e in self.tokenizer.encode_batch(texts, add_special_tokens=False):
             yield np.array(e.ids, dtype="<u4").tobytes()
 
-    def _pieces(self, text: str) -> list[str]:
-        if self.cut == "words":
-            return text.replace("\n", " ").split(" ")
-        if _ODD.search(text) or text.endswith(" "):
-            return _CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *(" " + w for w in rest)]
-
     def _slice(self, texts: list[str]) -> Iterator[bytes]:
+        if self.cut == "ranks":
+            for t in texts:
+                yield np.array(self.ranks.encode_ordinary(t), dtype="<u4").tobytes()
+            return
         if self.cut is None:
             yield from self._whole(texts)
             return
-        cut = list(map(self._pieces, texts))
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list(set().union(*cut).difference(self.known))
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            self.known.update(zip(some, self._whole(some), strict=True))
+        if self.cut == "words":
+            cut = [text.replace("\n", " ").split(" ") for text in texts]
+        else:  # words that follow a space are remembered without it
+            plain = [not (_ODD.search(t) or t.endswith(" ")) for t in texts]
+            cut = [t.split(" ") if fine else [p[1:] if p[:1] == " " else "\0" + p for p in _CUT.split(t)] for t, fine in zip(texts, plain, strict=True)]
+            for pieces, fine in zip(cut, plain, strict=True):
+                if fine:
+                    pieces[0] = "\0" + pieces[0]
+        new = set().union(*cut).difference(self.known)
+        self._learn(new)
+        get = self.known.__getitem__
         for pieces in cut:
-            yield b"".join(map(self.known.__getitem__, pieces))
+            yield b"".join(map(get, pieces))
         for w in new:
             if len(w) > 200:
                 del self.known[w]
 
+    def _learn(self, new: set[str]) -> None:
+        """A word's letters and what follows them are encoded apart where that can't change the ids."""
+        parts, letters, others, lower = [], set(), set(), self.cut == "words"
+        for w in new:
+            if w.isalpha():
+                run, rest = w, ""
+            elif w[-1:] in _CLOSING and w[:-1].isalpha():
+                run, rest = w[:-1], w[-1]
+            elif (m := _LETTERS.match(w)) and m.group().isalpha() and w[m.end()] < "\x80" and w[m.end()] != "'":
+                run, rest = m.group(), w[m.end() :]
+            else:
+                others.add(w)
+                continue
+            if lower:  # what the tokenizer's normaliser makes of it must be letters too
+                if run.isascii():
+                    run = run.lower()
+                elif not unicodedata.normalize("NFC", run).lower().isalpha():
+                    others.add(w)
+                    continue
+            parts.append((w, run, rest))
+            letters.add(run)
+            if rest:
+                others.add("\0" + rest if not lower else rest)
+        self._learn_runs([r for r in letters if r not in self.known])
+        plain = [o for o in others if o not in self.known]
+        for at in range(0, len(plain), 20_000):
+            some = plain[at : at + 20_000]
+            asked = some if lower else [o[1:] if o[:1] == "\0" else " " + o for o in some]
+            self.known.update(zip(some, self._whole(asked), strict=True))
+        known, mark = self.known, "" if lower else "\0"
+        for w, run, rest in parts:
+            if rest:
+                known[w] = known[run] + known[mark + rest]
+            elif run is not w:
+                known[w] = known[run]
+
+    def _learn_runs(self, runs: list[str]) -> None:
+        """Many runs of letters as one text; marks in the vocabulary tell where each is in the ids."""
+        for at in range(0, len(runs), 5_000):
+            some = runs[at : at + 5_000]
+            text = " ".join(some) if self.cut == "words" else " " + " ".join(some)
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            marked = np.flatnonzero(self.mark[ids])
+            if len(marked) != len(some):
+                self.known.update(zip(some, self._whole(some if self.cut == "words" else [" " + r for r in some]), strict=True))
+                continue
+            ends = [*(4 * (marked + 1))] if self.cut == "words" else [*(4 * marked[1:]), 4 * len(ids)]
+            raw, begin = ids.tobytes(), 0
+            for r, end in zip(some, ends, strict=True):
+                self.known[r] = raw[begin:end]
+                begin = end
+
+
+def _ranks(path: str):
+    """The byte-level vocabulary of a tokenizers file as merge ranks: ids follow the order of the merges."""
+    import json
+
+    import public_tokenizers
+    import tiktoken
+
+    # printable Latin-1 bytes stand for themselves, the others for the code points from 256 on
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)
+    special = {t["content"] for t in model["added_tokens"]}
+    ranks = {bytes(map(byte_of.__getitem__, token)): i for token, i in model["model"]["vocab"].items() if token not in special}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
 
 def encoder(path: str, cut: str | None) -> Encoder:
     """One for each worker process, file and way of cutting."""
