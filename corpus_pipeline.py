@@ -13,7 +13,7 @@ from framelode.llm.encoding import tokenizer_path
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, tokenizer_path("byte_bpe_50k.json"), cut="spaced").drop("ids")
+    return pack(docs, tokenizer_path("byte_bpe_50k.json"), cut="ranks").drop("ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("packing", packing)]

@@ -155,4 +155,4 @@ def long(raw: bytes) -> np.ndarray:
 
 
 def op8_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), cut="spaced").drop("ids")
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), cut="ranks").drop("ids")

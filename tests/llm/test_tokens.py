@@ -22,13 +22,20 @@ def plain_ids(name, texts):
     return [np.array(e.ids, dtype="<u4") for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
-@pytest.mark.parametrize(("name", "cut"), [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "spaced")])
+@pytest.mark.parametrize(("name", "cut"), [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "spaced"), ("byte_bpe_50k.json", "ranks")])
 def test_words_encoded_once_give_the_ids_of_whole_texts(name, cut):
     texts = [*odd_texts(), "the The THE the, the. <|endoftext|> don't we'll क़x á b ́c"]
     got = [np.frombuffer(x, dtype="<u4").tolist() for x in Encoder(P.path(name), cut).ids(texts)]
     assert got == [x.tolist() for x in plain_ids(name, texts)]
 
 
+def test_ranks_agree_on_every_code_point():
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}b {c}{c} \n1{c}" for c in points[i : i + 2000]) for i in range(0, len(points), 2000)]
+    path = P.path("byte_bpe_50k.json")
+    assert all(x == y for x, y in zip(Encoder(path, "ranks").ids(texts), Encoder(path, None).ids(texts), strict=True))
+
+
 @pytest.mark.parametrize("planes", ["byte", "bit"])
 @pytest.mark.parametrize("n", [0, 1, 7, 8, 9, 1000])
 def test_planes_round_trip(planes, n):
@@ -73,7 +80,7 @@ def test_hilbert_neighbours_touch():
 def test_packing_places_each_id_once(spark):
     ship(spark)
     rows, docs = odd_docs(spark)
-    got = packing.pack(docs, P.path("byte_bpe_50k.json"), "spaced", length=64).collect()
+    got = packing.pack(docs, P.path("byte_bpe_50k.json"), "ranks", length=64).collect()
     want = Counter((i, (*x.tolist(), 0)) for (i, _), x in zip(rows, plain_ids("byte_bpe_50k.json", [t for _, t in rows]), strict=True))
     sequences = defaultdict(list)
     for r in got:
