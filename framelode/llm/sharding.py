@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table, written
 
@@ -37,7 +38,7 @@ def _with_range(base: DataFrame, bounds: np.ndarray) -> DataFrame:
             h, doc = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("key_hash", "key_id"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ranges_of(h, doc, bounds).astype(np.int64))], names=[*batch.schema.names, "range"])
 
-    return base.mapInArrow(run, base.schema.add("range", "long"))
+    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField("range", T.LongType())]))
 
 
 def splitters(base: DataFrame, rows: int, total: int, ranges: int, each: int = 32) -> np.ndarray:
