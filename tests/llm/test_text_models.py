@@ -135,23 +135,23 @@ def test_toxicity_of_odd_documents(spark):
     assert toxicity.without_toxic(empty(spark), model).columns == docs.columns
 
 
-def test_kneser_ney_prefers_what_a_class_says():
-    docs = [("you stupid fool", 1), ("a nice day", 0), ("a nice walk", 0)]
-    pairs = Counter()
-    for t, c in docs:
-        h = toxicity.word_hashes(t)
-        for a, b in zip([toxicity._START, *h[:-1]], h, strict=True):
-            pairs[c, int(a), int(b)] += 1
-    full = np.zeros((9, toxicity.BUCKETS))
-    for (c, a, b), n in pairs.items():
-        a, b = np.array([a], dtype=np.uint64), np.array([b], dtype=np.uint64)
-        for k, at, w in ((0, toxicity.pair_bucket(a, b), n), (1, toxicity.bucket(a), n), (2, toxicity.bucket(a), 1), (3, toxicity.bucket(b), n)):
-            full[4 * c + k, at] += w
-        full[8, toxicity.bucket(b)] += 1
-    shared = (full[8] + 0.5) / (full[8].sum() + 0.5 * toxicity.BUCKETS)
-    model = toxicity.Model(toxicity.Class(*full[4:8]), toxicity.Class(*full[:4]), shared, np.array([0.0, 1, 1]), 0.5)
-    e = model.evidence([toxicity.word_hashes(t) for t in ("stupid fool", "nice walk", "", "unheard words")])
-    assert e[0, 0] > 1 and e[1, 0] < -1 and e[2].tolist() == [0, 0] and abs(e[3, 0]) < 1
+def test_kneser_ney_prefers_what_a_class_says(spark):
+    ship(spark)
+    said = [("you stupid fool", 1), ("a nice day", 0), ("a nice walk", 0), ("stupid fool again", 1), ("a day again", 0)]
+    rows = spark.createDataFrame([(i, i % 2, t, x) for i, (x, t) in enumerate(said * 4)], "doc_id long, fold int, toxic int, text string")
+    model = toxicity.fit(rows)
+    texts = ("stupid fool", "nice walk", "", "unheard words", "stupid again")
+    e = model.evidence([model.vocabulary.numbers(t) for t in texts])
+    assert e[0, 0] > 1 and e[1, 0] < -1 and e[2].tolist() == [0, 0] and e[3].tolist() == [0, 0] and abs(e[4, 0]) < e[0, 0]
+    assert model.toxic.words[model.vocabulary.numbers("stupid")] == 8 and model.ordinary.words[model.vocabulary.numbers("stupid")] == 0
+    # by hand, "stupid" at a text's start: four of eight toxic texts, none of twelve ordinary ones
+    one, two = np.array([model.vocabulary.size + 1]), model.vocabulary.numbers("stupid")
+    p, shared = [], model.shared[two][0]
+    for c, texts_of, begun, kinds in ((model.toxic, 8, 4, 2), (model.ordinary, 12, 0, 1)):
+        share = c.total / (model.toxic.total + model.ordinary.total + 1)
+        uni = (max(c.words[two][0] - 0.75, 0) + 0.75 * c.kinds * shared + 10 * share) / (c.total + 10)
+        p.append((max(begun - 0.75, 0) + 10 * texts_of / 21 + (0.75 * kinds + 10) * uni) / (texts_of + 10))
+    assert np.isclose(model.ratios(one, two)[0], np.log(p[0] / p[1]), atol=1e-4)
 
 
 def test_quality_agrees_with_labels_it_never_saw(spark, labelled):
