@@ -1,4 +1,5 @@
 """Every query by name, and the SQL that each must equal."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
