@@ -579,13 +579,11 @@ def extraction_plan(spark: SparkSession, d: str) -> DataFrame:
     return frames.plan_steps(frames.extraction_plan(items)).select("path", "faiss_id", "step")
 
 
-@query("SELECT user_id, event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY ALL")
+@query("SELECT user_id, arg_max(event_type, (CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END, event_id)) AS event_type, arg_max(value, (CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END, event_id)) AS value, COALESCE(max(event_id) FILTER (event_type = 'purchase'), max(event_id)) AS event_id FROM events GROUP BY ALL")
 def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's last event, over which their last purchase is put."""
     e = t(spark, d, "events").select("user_id", "event_type", "value", "event_id")
-    middle = e.agg(F.avg("event_id").alias("m"))  # one row
-    both = e.crossJoin(F.broadcast(middle))
-    keys = ["user_id", "event_type"]
-    return tables.upsert(both.where("event_id <= m").drop("m"), both.where("event_id > m").drop("m"), keys, "event_id").select("user_id", "event_type", "value", "event_id")
+    return tables.upsert(e.where("event_type <> 'purchase'"), e.where("event_type = 'purchase'"), ["user_id"], "event_id")
 
 
 @query("SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS ocr_text, count(*) AS n_boxes, 'vi' AS language FROM conversations WHERE text IS NOT NULL AND trim(text) <> '' GROUP BY ALL")
