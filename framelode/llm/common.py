@@ -12,11 +12,17 @@ from pyspark.sql import functions as F
 
 
 _shipped: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Let the executors import this package, wherever the driver has it from."""
+    """Let the executors import this package, wherever the driver has it from.
+
+    Unless the session says otherwise, tasks get whole texts in batches of 1,000 rows: with the
+    usual 10,000, a batch of long ones takes much of a worker's memory."""
     sc = spark.sparkContext
+    if sc.getConf().get(_BATCH) is None:
+        spark.conf.set(_BATCH, "1000")
     if sc.applicationId in _shipped:
         return
     top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -40,7 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
-        if named is None and not sc.master.startswith("local["):
+        if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
