@@ -24,8 +24,8 @@ from .vectors import matrix, usable
 def neighbours(m: np.ndarray, k: int) -> np.ndarray:
     """Indices of each row's ``k`` nearest other rows, in blocks."""
     sq, out = (m * m).sum(axis=1), []
-    for at in range(0, len(m), 1024):
-        d = sq[at : at + 1024, None] + sq - 2 * m[at : at + 1024] @ m.T
+    for at in range(0, len(m), 256):
+        d = sq[at : at + 256, None] + sq - 2 * m[at : at + 256] @ m.T
         d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
         out.append(np.argpartition(d, k - 1, axis=1)[:, :k])
     return np.concatenate(out)
@@ -123,7 +123,7 @@ def fit_router(m: np.ndarray, parts: int, k: int, recall: float, hidden: int = 1
     return router
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, parts: int = 32, recall: float = 0.97, sample: int = 8192, block: int = 8192, query_block: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, parts: int = 32, recall: float = 0.97, sample: int = 4096, block: int = 8192, query_block: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest rows found, by Euclidean distance.
 
     A query's own id is no candidate; all candidates are returned if they are fewer than ``k``
