@@ -11,6 +11,7 @@ Nothing within ``max_bits`` is lost, whatever the size of a run.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -24,6 +25,8 @@ from .common import components, ship, table, written
 #: Fingerprints in the largest run that one task compares at once; longer runs are several nodes.
 RUN = 2048
 FAN = 16
+#: Minima in a band of ``near_duplicates``.
+ROWS = 5
 _TOP = np.uint64(1 << 63)
 
 
@@ -293,19 +296,56 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return same / (len(a) + len(b) - same)
 
 
-def near_duplicates(docs: DataFrame, max_bits: int = 8, shingle_words: int = 3, verify_words: int = 5, min_similarity: float = 0.8, block: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bands_for(min_similarity: float, miss: float) -> int:
+    """Bands of ``ROWS`` minima so that sets at the similarity share none with a chance of at most ``miss``."""
+    met = min_similarity**ROWS
+    return max(1, math.ceil(math.log(miss) / math.log1p(-met))) if met < 1 else 1
+
+
+def band_keys(shingles: np.ndarray, factors: np.ndarray) -> list[int]:
+    """A signed long for each ``ROWS`` of ``factors``: a hash of the least products of the shingles with them; none without shingles."""
+    import xxhash
+
+    if not len(shingles):
+        return []
+    least = np.full(len(factors), ~np.uint64(0))
+    for at in range(0, len(shingles), 512):
+        np.minimum(least, (shingles[at : at + 512, None] * factors).min(axis=0), out=least)
+    bands = least.astype("<u8").reshape(-1, ROWS)
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(bands)], dtype=np.uint64).view(np.int64).tolist()
+
+
+def near_duplicates(docs: DataFrame, verify_words: int = 5, min_similarity: float = 0.8, miss: float = 1e-6, block: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) of rows to remove: near copies of the row that has the smallest id of their group.
 
-    Candidates are chains of fingerprints within ``max_bits``. Within such a chain, texts with a
-    Jaccard similarity of at least ``min_similarity`` of their sets of ``verify_words``-word
-    shingles are linked; every text is compared with every other one, in blocks, unless both are
-    in one group already. Texts with the same words are one member. Rows with a null id are
-    never removed; an empty table gives no rows.
+    Candidates are chains of texts that share a band of minima of their sets of
+    ``verify_words``-word shingles. Two sets have equal minima with a chance of their Jaccard
+    similarity, wherever they differ, so a pair at ``min_similarity`` is in no chain with a chance
+    of at most ``miss``, and a closer one with less. Within a chain, texts with a similarity of at
+    least ``min_similarity`` are linked; every text is compared with every other one, in blocks,
+    unless both are in one group already. Texts with the same words are one member. Rows with a
+    null id are never removed; an empty table gives no rows.
     """
-    rows = written(fingerprints(docs, shingle_words, id_col, text_col).where("doc_id is not null"))
-    members = written(rows.groupBy("text_key", "fp").agg(F.min("doc_id").alias("doc_id")))
-    comps = components(near_fingerprints(members.select("fp").distinct(), max_bits)).withColumnRenamed("node", "fp")
-    chain = members.join(comps, "fp", "left").withColumn("chain", F.coalesce("component", "fp"))
+    factors = np.random.default_rng(3).integers(0, 1 << 64, ROWS * bands_for(min_similarity, miss), dtype=np.uint64) | np.uint64(1)
+
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            keys, bands = [], []
+            for text in batch.column(1):
+                words = words_of(text.as_py())
+                keys.append(xxhash.xxh128_digest(b" ".join(words)))
+                bands.append(band_keys(np.unique(shingle_hashes(words, verify_words)), factors))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_key", "bands"])
+
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    rows = written(named.mapInArrow(banded, "doc_id long, text_key binary, bands array<long>"))
+    members = written(rows.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
+    keyed = members.select("doc_id", F.explode("bands").alias("band"))
+    shared = keyed.groupBy("band").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("band", "least")
+    comps = components(keyed.join(shared, "band").select(F.col("doc_id").alias("u"), F.col("least").alias("v")))
+    chain = members.join(comps.withColumnRenamed("node", "doc_id"), "doc_id").withColumnRenamed("component", "chain")
     sizes = chain.groupBy("chain").agg(F.count("*").alias("n")).where("n > 1")
     chain = written(chain.join(sizes, "chain").withColumn("blocks", F.ceil(F.col("n") / block)).select("chain", "doc_id", "text_key", "blocks", F.pmod(F.xxhash64("text_key"), "blocks").alias("block")))
 

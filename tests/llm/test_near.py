@@ -99,6 +99,30 @@ def test_one_document_of_each_near_duplicate_group_stays(spark):
     assert simhash.without_near_duplicates(spark.createDataFrame([], docs.schema)).count() == 0
 
 
+def test_near_copies_with_replaced_and_appended_passages_go(spark):
+    ship(spark)
+    rng = random.Random(6)
+
+    def some(n):
+        return [f"w{rng.randrange(20_000)}" for _ in range(n)]
+
+    def shingles(words):
+        return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+
+    rows, copies = [], []
+    for k in range(240):
+        words = some(300)
+        at, n = rng.randrange(270), rng.randint(11, 28)
+        other = words + some(rng.randint(33, 74)) if k % 2 else words[:at] + some(n) + words[at + n :]
+        a, b = shingles(words), shingles(other)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        if len(a & b) >= 0.8 * len(a | b):
+            copies.append(2 * k + 1)
+    assert len(copies) > 200
+    left = simhash.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"] for r in left.collect()} == {i for i, _ in rows} - set(copies)
+
+
 def vector_rows():
     rng = np.random.default_rng(3)
     rows = []
