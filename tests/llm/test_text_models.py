@@ -82,6 +82,29 @@ def test_trees_find_rewritten_spans_and_leave_others(spark):
     assert out.where("text rlike '@|4[0-9]{15}|555-'").isEmpty()
 
 
+def test_numbers_beside_others_are_proposed_and_found(spark):
+    ship(spark)
+    rng = random.Random(4)
+
+    def card():
+        body = "4" + "".join(str(rng.randrange(10)) for _ in range(14))
+        return next(body + str(c) for c in range(10) if pii.luhn(body + str(c)))
+
+    def proposed(text):
+        return {(k, text[s:e]) for s, k, e in pii.proposals(text, pii.areas_of(text))}
+
+    assert (3, "0049 30 1234567") in proposed("Room 12 / 0049 30 1234567")
+    assert (3, "0049 30 1234567") in proposed("on 2024-01-05 0049 30 1234567 (2)")
+    cards = [card() for _ in range(8)]
+    row = " ".join(cards)
+    assert {(2, c) for c in cards} <= proposed(row) and len(row) > 64
+    assert len(proposed("1 " * 3000 + "x")) <= 20 and len(pii.proposals("1 " * 3000, [(0, 5999)])) <= 20 * 3000
+    texts = [t for _ in range(400) for t in (f"pay by card {card()} now", f"order {rng.randint(10**13, 10**14)} shipped on 2024.01.{rng.randint(10, 28)}")]
+    trees = pii.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    ((base, spans),) = pii.all_spans([f"pay by card {row} now"], trees)
+    assert not base and not any(c in pii.redacted(f"pay by card {row} now", spans) for c in cards)
+
+
 def test_shards_follow_the_bytes(spark):
     rng = random.Random(3)
     texts = ["copy of a text"] * 2000 + [""] * 1500 + [None] * 100 + ["x" * rng.randint(1, 4000) + str(i) for i in range(1500)]
