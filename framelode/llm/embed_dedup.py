@@ -1,10 +1,12 @@
 """Embedding near-duplicates by sorted projection passes.
 
-In each pass, vectors are ordered lexicographically by concatenated random hashes (signs of
-random projections), range-partitioned, and each is compared with the next ``window`` ones.
-Pairs that pass the exact cosine test are united across passes. The number of passes follows
-from the size of the largest label, so that a pair at the threshold is missed with a probability
-of at most ``miss``. Within each component, links are then counted exactly, in blocks.
+In each pass, vectors are ordered by a random hash (signs of random projections) and
+range-partitioned, and all that share the whole hash are compared, however many they are. Two
+vectors agree in a bit with a chance that only their angle sets, so the number of passes follows
+from the number of bits: a pair at the threshold is missed with a probability of at most ``miss``,
+however the vectors lie. The number of bits is the one that costs least on a sample. Pairs that
+pass the exact cosine test are united across passes. Within each component, links are then
+counted exactly, in blocks.
 """
 
 from __future__ import annotations
@@ -24,58 +26,138 @@ from .vectors import matrix, usable
 BITS = 60
 
 
-def passes_for(largest: int, window: int, threshold: float, miss: float) -> int:
-    """Two vectors at the threshold meet in a window if about log2(n / window) leading bits agree."""
-    agree = 1 - math.acos(threshold) / math.pi
-    met = agree ** max(1.0, math.log2(max(2.0, largest / window)) + 1)
+def passes_of(bits: float, threshold: float, miss: float) -> int:
+    """Passes in which two vectors at the threshold never agree in all ``bits`` with a chance of at most ``miss``."""
+    met = (1 - math.acos(threshold) / math.pi) ** bits
     return max(4, math.ceil(math.log(miss) / math.log1p(-met)))
 
 
-def sorted_pass_edges(reps: DataFrame, passes: int, window: int, threshold: float, seed: int) -> DataFrame:
-    """Edges (u, v) between vectors (id, grp, dim, vec) with equal ``grp`` and ``dim``; in a task, at most one for each row and batch."""
+def passes_for(largest: int, window: int, threshold: float, miss: float) -> int:
+    """Passes if each bit halves the largest label, to runs of about half a window."""
+    return passes_of(max(1.0, math.log2(max(2.0, largest / window)) + 1), threshold, miss)
+
+
+def hashed(m: np.ndarray, planes: np.ndarray, bits: int) -> np.ndarray:
+    """(rows, passes): the signs of ``bits`` projections each, as numbers."""
+    return ((m @ planes) > 0).reshape(len(m), -1, bits) @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))
+
+
+def bits_for(reps: DataFrame, window: int, threshold: float, miss: float, seed: int, sample: int = 1 << 15) -> int:
+    """Bits with the least passes times comparisons, as about ``sample`` vectors show; a row's shuffle counts as ``window``."""
+    rows = reps.count()
+    part = reps.select("id", "grp", "dim", "vec").where(F.pmod(F.xxhash64("vec", F.lit(seed)), F.lit(1 << 20)) < F.lit(math.ceil(min(1.0, sample / max(1, rows)) * (1 << 20))))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [int(hashed(matrix([v.as_py()]), np.random.default_rng([seed, d]).standard_normal((d, BITS)), BITS)[0, 0]) for d, v in zip(batch.column(2).to_pylist(), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(keys, pa.int64())], names=["grp", "dim", "key"])
+
+    got = part.mapInArrow(keyed, "grp long, dim int, key long").toArrow()
+    if not got.num_rows:
+        return 1
+    grp, dim, key = (c.to_numpy() for c in got.columns)
+    label = np.unique(np.stack([grp, dim.astype(np.int64)]), axis=1, return_inverse=True)[1].reshape(-1)
+    cost = {}
+    for bits in range(1, 41):
+        one, n = np.unique(np.stack([label, key >> (BITS - bits)]), axis=1, return_counts=True)
+        met = float((n * (n - 1)).sum()) / len(key) * rows / len(key)  # comparisons a row
+        cost[bits] = passes_of(bits, threshold, miss) * (window + met)
+    return min(cost, key=cost.get)
+
+
+def sorted_pass_edges(reps: DataFrame, bits: int, passes: int, window: int, threshold: float, seed: int) -> DataFrame:
+    """Edges (u, v) between vectors (id, grp, dim, vec) with equal ``grp`` and ``dim`` that share all
+    ``bits`` in a pass; at most one for each row and block. Runs longer than ``window``, or that may
+    go on in another task, are blocks that meet in pairs."""
+    schema = "u long, v long, pass int, grp long, dim int, key long, ids binary, vecs binary"
+    names = ["u", "v", "pass", "grp", "dim", "key", "ids", "vecs"]
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
-        powers = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
         for batch in batches:
             ids, grp, dim, vec = batch.columns
             for d in np.unique(dim.to_numpy()).tolist():
                 at = pa.array(np.flatnonzero(dim.to_numpy() == d))
                 if d not in planes:
-                    planes[d] = np.random.default_rng([seed, d]).standard_normal((d, passes * BITS))
+                    planes[d] = np.random.default_rng([seed, d]).standard_normal((d, passes * bits))
                 some = vec.take(at)
-                keys = ((matrix(some.to_pylist()) @ planes[d]) > 0).reshape(-1, passes, BITS) @ powers
+                keys = hashed(matrix(some.to_pylist()), planes[d], bits)
                 for p in range(passes):
                     n = len(some)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, p, dtype=np.int32)), grp.take(at), pa.array(np.full(n, d, dtype=np.int32)), pa.array(np.ascontiguousarray(keys[:, p])), ids.take(at), some], names=["pass", "grp", "dim", "key", "id", "vec"])
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail: tuple | None = None
-        for batch in batches:
-            p, grp, dim, _, ids, vec = batch.columns
-            run = np.stack([p.to_numpy().astype(np.int64), grp.to_numpy(), dim.to_numpy().astype(np.int64)])
-            cuts = np.flatnonzero((np.diff(run) != 0).any(axis=0)) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(ids)], strict=True):
-                if a == b:
+    def unit(vecs: bytes, n: int) -> np.ndarray:
+        m = np.frombuffer(vecs, dtype="<f8").reshape(n, -1)
+        return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+
+    def linked(own: np.ndarray, near: np.ndarray, right: int) -> tuple[np.ndarray, np.ndarray] | None:
+        label = np.arange(len(own))
+        i, j = np.nonzero(near)
+        joined(label, i, j + right)
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        return (own[moved], own[label[moved]]) if len(moved) else None
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def blocks(key: tuple, ids: np.ndarray, vecs: list[bytes], edge: bool) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(ids), window):
+                own, raw = ids[at : at + window], b"".join(vecs[at : at + window])
+                if len(own) > 1:
+                    m = unit(raw, len(own))
+                    if (out := linked(own, np.triu(m @ m.T >= threshold, 1), 0)) is not None:
+                        n = len(out[0])
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, out), *(pa.nulls(n, k) for k in (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=names)
+                if edge or len(ids) > window:
+                    none = pa.nulls(1, pa.int64())
+                    held = [pa.array([int(x)], k) for x, k in zip(key, (pa.int32(), pa.int64(), pa.int32(), pa.int64()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([none, none, *held, pa.array([own.astype("<i8").tobytes()], pa.binary()), pa.array([raw], pa.binary())], names=names)
+
+        def cut() -> Iterator[tuple[tuple, np.ndarray, list[bytes]]]:
+            """Runs in order; those of one row only at a task's ends."""
+            now, ids, vecs = None, [], []
+            for batch in batches:
+                if not batch.num_rows:
                     continue
-                key, own, m = tuple(run[:, a]), ids.to_numpy()[a:b], matrix(vec.slice(a, b - a).to_pylist())
-                m = m / np.sqrt((m * m).sum(axis=1, keepdims=True))
-                if tail is not None and tail[0] == key:
-                    own, m = np.concatenate([tail[1], own]), np.concatenate([tail[2], m])
-                label = np.arange(len(own))
-                for at in range(0, len(own), window):
-                    near = m[at : at + window] @ m[at : at + 2 * window].T >= threshold
-                    i, j = np.nonzero(near)
-                    ok = (j > i) & (j - i <= window)
-                    joined(label, i[ok] + at, j[ok] + at)
-                moved = np.flatnonzero(label != np.arange(len(label)))
-                if len(moved):
-                    yield pa.RecordBatch.from_arrays([pa.array(own[moved]), pa.array(own[label[moved]])], names=["u", "v"])
-                tail = (key, own[-window:], m[-window:])
+                key = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)])
+                own, vec = batch.column(4).to_numpy(), batch.column(5)
+                at = np.concatenate([[0], np.flatnonzero((np.diff(key) != 0).any(axis=0)) + 1, [len(own)]])
+                last = len(at) - 2
+                for k in sorted({0, last, *np.flatnonzero(np.diff(at) > 1).tolist()}):
+                    a, b = at[k], at[k + 1]
+                    if now is not None and tuple(key[:, a]) != now:
+                        yield now, np.concatenate(ids), vecs
+                        ids, vecs = [], []
+                    now = tuple(key[:, a])
+                    ids.append(own[a:b])
+                    vecs += vec.slice(a, b - a).to_pylist()
+            if now is not None:
+                yield now, np.concatenate(ids), vecs
+
+        before, first = None, True
+        for run in cut():
+            if before is not None:
+                yield from blocks(*before, first)
+                first = False
+            before = run
+        if before is not None:
+            yield from blocks(*before, True)
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y, v, w in zip(*batch.columns, strict=True):
+                a, b = (np.frombuffer(z.as_py(), dtype="<i8") for z in (x, y))
+                near = unit(v.as_py(), len(a)) @ unit(w.as_py(), len(b)).T >= threshold
+                if (out := linked(np.concatenate([a, b]), near, len(a))) is not None:
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, out)], names=["u", "v"])
 
     order = ["pass", "grp", "dim", "key", "id"]
     rows = reps.select("id", "grp", "dim", "vec").mapInArrow(keyed, "pass int, grp long, dim int, key long, id long, vec binary")
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(windows, "u long, v long")
+    found = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(runs, schema)
+    found = written(found.withColumn("node", F.monotonically_increasing_id()))
+    a, b = found.where("ids is not null").alias("a"), found.where("ids is not null").alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in order[:4]]
+    pairs = a.join(b, [*same, F.col("a.node") < F.col("b.node")])
+    cross = pairs.select(F.col("a.ids").alias("x"), F.col("b.ids").alias("y"), F.col("a.vecs").alias("v"), F.col("b.vecs").alias("w")).mapInArrow(across, "u long, v long")
+    return found.where("ids is null").select("u", "v").union(cross)
 
 
 def link_counts(members: DataFrame, threshold: float, block: int = 512) -> DataFrame:
@@ -124,8 +206,8 @@ def embedding_duplicates(df: DataFrame, threshold: float = 0.98, window: int = 1
     copy = F.md5(F.concat_ws("|", F.col("grp"), F.col("dim"), F.hex("vec")))
     rows = written(usable(named.where("label is not null"), more=("label",)).withColumnRenamed("label", "grp").withColumn("copy", copy))
     reps = written(rows.groupBy("copy").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("grp").alias("grp"), F.first("dim").alias("dim"), F.first("vec").alias("vec")))
-    largest = reps.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
-    edges = sorted_pass_edges(reps, passes_for(largest, window, threshold, miss), window, threshold, seed)
+    bits = bits_for(reps, window, threshold, miss, seed)
+    edges = sorted_pass_edges(reps, bits, passes_of(bits, threshold, miss), window, threshold, seed)
     comps = components(edges)
     members = written(reps.join(comps, reps["id"] == comps["node"]).select("component", "id", "n", "vec"))
     found = written(reps.select("copy", "id", "n").join(link_counts(members, threshold), "id", "left").join(members.select("id", "component"), "id", "left").select("copy", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")))

@@ -158,6 +158,25 @@ def test_links_equal_brute_force(spark):
     assert embed_dedup.embedding_duplicates(none).count() == 0
 
 
+def test_pairs_in_a_dense_cone_are_found(spark):
+    ship(spark)
+    rng = np.random.default_rng(7)
+    centre = rng.standard_normal(64)
+    m = centre / np.linalg.norm(centre) + rng.standard_normal((12_000, 64)) * 0.25 / 8
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    noise = rng.standard_normal((400, 64))
+    noise -= (noise * m[:400]).sum(axis=1, keepdims=True) * m[:400]
+    m[400:800] = 0.9805 * m[:400] + np.sqrt(1 - 0.9805**2) * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    near = m @ m.T >= 0.98
+    np.fill_diagonal(near, False)
+    i, j = np.nonzero(np.triu(near))
+    want = least_components(range(len(m)), zip(i.tolist(), j.tolist(), strict=True))
+    df = spark.createDataFrame(list(enumerate(m.tolist())), "vec_id long, embedding array<double>").selectExpr("*", "1 as label")
+    got = {r["vec_id"]: (r["component_id"], r["n_links"]) for r in embed_dedup.embedding_duplicates(df).collect()}
+    assert 400 <= len(i) < 2000
+    assert got == {k: (want[k], int(near[k].sum())) for k in range(len(m))}
+
+
 def test_passes_grow_with_the_input():
     few, many = (embed_dedup.passes_for(n, 128, 0.98, 1e-4) for n in (1_000, 10_000_000))
     assert 4 <= few < many < 200
