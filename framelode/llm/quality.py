@@ -41,7 +41,7 @@ def votes(text: str) -> int:
         out.append(0 if not enough else 2 if value <= good_to else 1 if value >= bad_from else 0)
 
     vote(len(_MARKED.findall(text)) / n, 0.05, 0.3)
-    letters = [c for w in words[:: max(1, n // 400)] for c in w if c.isalpha()]
+    letters = list(filter(str.isalpha, text))
     vote(sum(map(str.isupper, letters)) / max(1, len(letters)), 0.25, 0.6)
     vote(sum(map(str.__eq__, words[1:], words)) / n, 0.02, 0.1, n >= 20)
     vote(words.count("|") / n, 0.0, 0.15)
@@ -87,7 +87,7 @@ def word_features(word: str) -> tuple[int, int]:
     if core.isalpha() and core[1:].islower() and len(core) <= 60:  # most words: a letter, then small ones
         shape = ("A" if core[0].isupper() else "a") + ("aa" if core[0].isupper() and len(core) > 2 else "a") + word[len(core) :]
     else:
-        shape = _RUNS.sub(r"\1\1", "".join(["A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word[:64]]))
+        shape = _RUNS.sub(r"\1\1", "".join(["A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word]))
     return zlib.crc32(b"s" + shape.encode("utf-8", "surrogatepass")) % HASHED, zlib.crc32(b"w" + word.lower().encode("utf-8", "surrogatepass")) % HASHED
 
 

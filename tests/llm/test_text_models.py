@@ -187,6 +187,14 @@ def test_quality_agrees_with_labels_it_never_saw(spark, labelled):
     assert found["share_good"] > 0.5
 
 
+def test_quality_reads_whole_texts_and_words():
+    row = "LOUD calm calm calm "  # a stride of four would see the first column only
+    assert quality.votes(row * 400) // 3 % 3 == 2
+    assert quality.votes(("calm LOUD LOUD LOUD " * 400)) // 3 % 3 == 1
+    assert quality.word_features("9" + "a" * 70 + "|B")[0] != quality.word_features("9" + "a" * 70)[0]
+    assert quality.word_features("9-" * 40)[0] != quality.word_features("9-" * 40 + "|")[0]
+
+
 def test_expectation_maximisation_recovers_accuracies():
     rng, n = np.random.default_rng(0), 20_000
     right = np.array([0.95, 0.9, 0.7, 0.85, 0.9, 0.6, 0.8])
