@@ -5,8 +5,8 @@ class's words, and from there to continuation counts that both classes share; so
 of each expression, split by the classes' sizes, leave a rare one as likely in either. A text
 counts an expression once. Log-likelihood ratios are normalised by length (their mean, and the
 strong ones by the root of the length), and a logistic map fitted on rows that the models haven't
-seen turns them into a score. All counts are of the whole labelled corpus; a model keeps the
-commonest expressions up to a fixed number, so what is broadcast never grows with the corpus.
+seen turns them into a score. All counts are of the whole labelled corpus; a model
+keeps every expression that ``LEAST`` texts have, so it grows with the corpus's expressions.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from .common import ship, table, written
 
 STRONG = 1.5
 DISCOUNT, VIRTUAL = 0.75, 10.0
-#: Expressions that a model keeps at most; the rarest others are left to the shared counts.
-WORDS, PAIRS = 200_000, 500_000
+#: Texts that an expression must be in, whatever the size of the corpus; in fewer it tells nothing.
+LEAST = 3
 _WORD = re.compile(r"\w+")
 
 
@@ -180,28 +180,16 @@ def _total() -> Column:
     return F.col("n0") + F.col("n1") + F.col("n2") + F.col("n3")
 
 
-def commonest(counts: DataFrame, most: int, least: int = 3) -> DataFrame:
-    """Rows with the smallest total, of ``least`` or more, that at most ``most`` rows reach."""
-    sizes = sorted((tuple(r) for r in counts.groupBy(F.least(_total(), F.lit(100_000)).alias("n")).count().collect()), reverse=True)
-    cutoff, rows = 1 << 62, 0
-    for n, k in sizes:
-        rows += k
-        if rows > most or n < least:
-            break
-        cutoff = n
-    return counts.where(_total() >= cutoff)
-
-
 def fit(labelled: DataFrame, calibration_rows: int = 20_000) -> Model:
     """``labelled``: (doc_id, fold 0 or 1, toxic 0 or 1, text). Counts are of all its rows.
 
     The score's map is fitted on at most ``calibration_rows`` rows of fold 1 (those with the least
-    hashes of their ids) under models of fold 0; the models that score are of both folds. Only the
-    commonest ``WORDS`` words and ``PAIRS`` pairs come to the driver.
+    hashes of their ids) under models of fold 0; the models that score are of both folds. Every
+    word and pair that ``LEAST`` texts have comes to the driver.
     """
     words = written(_counts(labelled, "h", lambda text: word_hashes(_WORD.findall(text.lower()))))
     totals = np.array(words.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in CELLS)).first(), dtype=float)
-    kept = commonest(words, WORDS).orderBy("h").toArrow()
+    kept = words.where(_total() >= LEAST).orderBy("h").toArrow()
     vocabulary = Vocabulary(kept.column(0).to_numpy())
     of_word = np.stack([kept.column(c).to_numpy() for c in CELLS], axis=1).astype(float).reshape(-1, 4)
     kinds = [(of_word[:, 0] > 0).sum(), (of_word[:, 1] > 0).sum(), (of_word[:, 0] + of_word[:, 2] > 0).sum(), (of_word[:, 1] + of_word[:, 3] > 0).sum()]
@@ -216,7 +204,7 @@ def fit(labelled: DataFrame, calibration_rows: int = 20_000) -> Model:
     both = pairs.select(F.expr(f"k div {size}").alias("one"), F.expr(f"k % {size}").alias("two"), *((F.col(f"n{t}") > 0).cast("long").alias(f"a{t}") for t in (0, 1)), *(((F.col(f"n{t}") + F.col(f"n{t + 2}")) > 0).cast("long").alias(f"b{t}") for t in (0, 1)), *CELLS)
     contexts = both.groupBy("one").agg(*(F.sum(c).alias(c) for c in (*CELLS, "a0", "a1", "b0", "b1"))).toArrow()
     after = both.groupBy("two").agg(F.sum(F.col("a0") + F.col("a1")), F.sum(F.col("b0") + F.col("b1"))).toArrow()
-    common = commonest(pairs, PAIRS).orderBy("k").toArrow()
+    common = pairs.where(_total() >= LEAST).orderBy("k").toArrow()
 
     def spread(t: pa.Table, columns: int) -> np.ndarray:
         out = np.zeros((size, columns))
@@ -247,7 +235,7 @@ def fit(labelled: DataFrame, calibration_rows: int = 20_000) -> Model:
 def _scored(docs: DataFrame, model: Model, evidence: bool = False) -> DataFrame:
     """``docs``, whose last column is the text, with its evidence or score instead of that."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)  # WORDS and PAIRS bound it
+    sent = spark.sparkContext.broadcast(model)
     names = ["mean", "strong"] if evidence else ["score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -177,6 +177,15 @@ def test_kneser_ney_prefers_what_a_class_says(spark):
     assert np.isclose(model.ratios(one, two)[0], np.log(p[0] / p[1]), atol=1e-4)
 
 
+def test_rare_toxic_expressions_are_kept_beside_many_commoner_ones(spark, monkeypatch):
+    ship(spark)
+    for cap in ("WORDS", "PAIRS"):
+        monkeypatch.setattr(toxicity, cap, 40, raising=False)  # a corpus larger than any cap
+    rows = [(f"w{i % 60} x{i % 60} again", i % 2) for i in range(3000)] + [("vile wretch", 1)] * 20
+    model = toxicity.fit(spark.createDataFrame([(i, i // 2 % 2, t, x) for i, (x, t) in enumerate(rows)], "doc_id long, fold int, toxic int, text string"))
+    assert model.evidence([model.vocabulary.numbers("vile wretch")])[0, 0] > 0.3
+
+
 def test_quality_agrees_with_labels_it_never_saw(spark, labelled):
     docs = table(spark, labelled, "documents")
     weights, found = quality.fit(docs)
