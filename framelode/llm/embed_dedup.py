@@ -212,7 +212,8 @@ def embedding_duplicates(df: DataFrame, threshold: float = 0.98, window: int = 1
     members = written(reps.join(comps, reps["id"] == comps["node"]).select("component", "id", "n", "vec"))
     found = written(reps.select("copy", "id", "n").join(link_counts(members, threshold), "id", "left").join(members.select("id", "component"), "id", "left").select("copy", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")))
     linked = rows.select("id", "copy").join(found, "copy").select(F.col("id").alias("vec_id"), "n_links", "component_id")
-    alone = named.join(rows.select(F.col("id").alias("vec_id")).distinct(), "vec_id", "left_anti").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    whole = F.expr("vec_id is not null and label is not null and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
+    alone = named.withColumn("v", F.col("embedding").cast("array<double>")).where(~F.coalesce(whole, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).select("*", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

@@ -177,6 +177,14 @@ def test_pairs_in_a_dense_cone_are_found(spark):
     assert got == {k: (want[k], int(near[k].sum())) for k in range(len(m))}
 
 
+def test_unusable_rows_of_an_id_that_is_also_usable_stay(spark):
+    ship(spark)
+    inf, nan = float("inf"), float("nan")
+    rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.0], 0), (2, None, 0), (2, [0.0, -0.0], 0), (2, [], 0), (2, [1.0, 0.0], None), (2, [1.0, None], 0), (1, [nan, 1.0], 0), (1, [1.0, -inf], 0), (None, [1.0, 0.0], 0), (3, [1.0, None], 0)]
+    got = Counter(map(tuple, embed_dedup.embedding_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()))
+    assert got == Counter({(1, 1, 1, True): 1, (2, 1, 1, False): 1, (2, 0, 2, True): 5, (1, 0, 1, True): 2, (None, 0, None, True): 1, (3, 0, 3, True): 1})
+
+
 def test_passes_grow_with_the_input():
     few, many = (embed_dedup.passes_for(n, 128, 0.98, 1e-4) for n in (1_000, 10_000_000))
     assert 4 <= few < many < 200
