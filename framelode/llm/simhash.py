@@ -316,7 +316,8 @@ def band_keys(shingles: np.ndarray, factors: np.ndarray) -> list[int]:
 
 
 def near_duplicates(docs: DataFrame, verify_words: int = 5, min_similarity: float = 0.8, miss: float = 1e-6, block: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) of rows to remove: near copies of the row that has the smallest id of their group.
+    """(doc_id, raw, component_id) of rows to remove: near copies of the row that has the smallest id of
+    their group. ``raw`` is Spark's hash of the text, which tells rows of one id apart.
 
     Candidates are chains of texts that share a band of minima of their sets of
     ``verify_words``-word shingles. Two sets have equal minima with a chance of their Jaccard
@@ -337,17 +338,17 @@ def near_duplicates(docs: DataFrame, verify_words: int = 5, min_similarity: floa
                 words = words_of(text.as_py())
                 keys.append(xxhash.xxh128_digest(b" ".join(words)))
                 bands.append(band_keys(np.unique(shingle_hashes(words, verify_words)), factors))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_key", "bands"])
-
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    rows = written(named.mapInArrow(banded, "doc_id long, text_key binary, bands array<long>"))
-    members = written(rows.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
-    keyed = members.select("doc_id", F.explode("bands").alias("band"))
-    shared = keyed.groupBy("band").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("band", "least")
-    comps = components(keyed.join(shared, "band").select(F.col("doc_id").alias("u"), F.col("least").alias("v")))
-    chain = members.join(comps.withColumnRenamed("node", "doc_id"), "doc_id").withColumnRenamed("component", "chain")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "raw", "text_key", "bands"])
+
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("raw")).where("doc_id is not null")
+    rows = written(named.mapInArrow(banded, "doc_id long, raw long, text_key binary, bands array<long>"))
+    members = written(rows.groupBy("text_key").agg(F.min(F.struct("doc_id", "raw")).alias("row"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
+    keyed = members.select("node", F.explode("bands").alias("band"))
+    shared = keyed.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("band", "least")
+    comps = components(keyed.join(shared, "band").select(F.col("node").alias("u"), F.col("least").alias("v")))
+    chain = members.join(comps, "node").withColumnRenamed("component", "chain")
     sizes = chain.groupBy("chain").agg(F.count("*").alias("n")).where("n > 1")
-    chain = written(chain.join(sizes, "chain").withColumn("blocks", F.ceil(F.col("n") / block)).select("chain", "doc_id", "text_key", "blocks", F.pmod(F.xxhash64("text_key"), "blocks").alias("block")))
+    chain = written(chain.join(sizes, "chain").withColumn("blocks", F.ceil(F.col("n") / block)).select("chain", "node", F.col("row.doc_id").alias("doc_id"), "text_key", "blocks", F.pmod(F.xxhash64("text_key"), "blocks").alias("block")))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -363,7 +364,7 @@ def near_duplicates(docs: DataFrame, verify_words: int = 5, min_similarity: floa
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in batch.to_pylist():
-                ids = [m["doc_id"] for m in c["x"] + (c["y"] or [])]
+                ids = [m["node"] for m in c["x"] + (c["y"] or [])]
                 sets = [np.frombuffer(m["shingles"], dtype="<u8") for m in c["x"] + (c["y"] or [])]
                 n, root = len(c["x"]), list(range(len(ids)))
 
@@ -384,24 +385,27 @@ def near_duplicates(docs: DataFrame, verify_words: int = 5, min_similarity: floa
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(chain.select("doc_id"), "doc_id", "left_semi").select("text")
     sets = texts.mapInArrow(shingled, "text_key binary, shingles binary").dropDuplicates(["text_key"])
-    blocks = chain.join(sets, "text_key").groupBy("chain", "block", "blocks").agg(F.collect_list(F.struct("doc_id", "shingles")).alias("x"))
+    blocks = chain.join(sets, "text_key").groupBy("chain", "block", "blocks").agg(F.collect_list(F.struct("node", "shingles")).alias("x"))
     blocks = written(blocks)
     a, b = blocks.where("blocks > 1").alias("a"), blocks.where("blocks > 1").alias("b")
     pairs = a.join(b, (F.col("a.chain") == F.col("b.chain")) & (F.col("a.block") < F.col("b.block"))).select("a.x", F.col("b.x").alias("y"))
     work = blocks.select("x", F.lit(None).cast(blocks.schema["x"].dataType).alias("y")).union(pairs)
     links = work.mapInArrow(verified, "u long, v long")
     comps = components(links)
-    member_of = members.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("text_key", F.coalesce("component", "doc_id").alias("component_id"))
-    of_text = written(member_of)
-    return rows.select("doc_id", "text_key").join(of_text, "text_key").where("doc_id <> component_id").select("doc_id", "component_id")
+    member_of = written(members.join(comps, "node", "left").select("text_key", "row", F.coalesce("component", "node").alias("group")))
+    kept = member_of.groupBy("group").agg(F.min("row").alias("kept"))
+    of_text = written(member_of.join(kept, "group").select("text_key", "kept"))
+    gone = rows.select("doc_id", "raw", "text_key").join(of_text, "text_key").where("doc_id <> kept.doc_id or raw <> kept.raw")
+    return gone.select("doc_id", "raw", F.col("kept.doc_id").alias("component_id"))
 
 
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each group: that with the smallest id; of repeated rows, one."""
     ship(docs.sparkSession)
     key = options.get("id_col", "doc_id")
-    gone = written(near_duplicates(docs, **options)).select(F.col("doc_id").alias(key)).distinct()
-    left = docs.join(gone, key, "left_anti")
+    gone = written(near_duplicates(docs, **options)).select(F.col("doc_id").alias("_gone_id"), F.col("raw").alias("_gone_raw")).distinct()
+    same = (F.col(key).cast("long") == F.col("_gone_id")) & (F.xxhash64(options.get("text_col", "text")) == F.col("_gone_raw"))
+    left = docs.join(gone, same, "left_anti")
     repeated = docs.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
     if repeated.isEmpty():
         return left

@@ -123,6 +123,15 @@ def test_near_copies_with_replaced_and_appended_passages_go(spark):
     assert {r["doc_id"] for r in left.collect()} == {i for i, _ in rows} - set(copies)
 
 
+def test_one_id_of_several_texts_keeps_the_ones_that_are_no_copies(spark):
+    ship(spark)
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (5, c), (2, c), (7, b), (7, b.upper()), (8, "one"), (8, "One"), (8, "one")]
+    left = simhash.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = Counter((r["doc_id"], r["text"].lower()) for r in left.collect())
+    assert got == Counter([(3, a), (5, b), (2, c), (8, "one")])
+
+
 def vector_rows():
     rng = np.random.default_rng(3)
     rows = []
