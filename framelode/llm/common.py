@@ -6,8 +6,9 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -56,7 +57,30 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, its lineage cut."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    again = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[id(again)] = again, path
+    return again
+
+
+_written: dict[int, tuple[DataFrame, str]] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what :func:`written` wrote, once all that was made of it is written itself or on the driver."""
+    for df in tables:
+        _, path = _written.pop(id(df))
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def kept_by(docs: DataFrame, text_col: str, scored: Callable[[DataFrame, str], DataFrame], good: Callable[[Column], Column]) -> DataFrame:
+    """The rows of ``docs`` whose score is ``good``, with the columns of ``docs``. ``scored`` gets them
+    with the text once more as the last column, and a name that no column has for the score instead of it."""
+    taken = {c.lower() for c in docs.columns}
+    text, score = (next(n for n in (f"_{kind}{i}" for i in range(len(taken) + 1)) if n not in taken) for kind in ("text", "score"))
+    others = [F.col(f"`{c}`") for c in docs.columns]
+    wide = scored(docs.select(*others, F.col(text_col).alias(text)), score)
+    return wide.where(good(F.col(score))).select(*others)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -16,12 +16,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ship, table
+from .common import kept_by, ship, table
 
 HASHED = 1 << 12
 #: Documents below this score are rejected: clean ones with odd passages lie between it and 0.5.
 REJECT = 0.3
+#: Most words that a worker remembers; beyond it, it starts anew.
+REMEMBERED = 150_000
 #: Common words of the corpus's languages.
 FUNCTION_WORDS = frozenset("the of and to in a is that it for was on are as with they be at this have from or by an not he had his but de la que el en y los del las un por con no una su para es al lo le et les des est du dans qui pour au une sur pas plus ce se der die und das von den mit ist im dem nicht ein eine auf sich auch als".split())
 LABELLERS = ("symbols", "capitals", "stutter", "bars", "function_words", "same_lines", "variety")
@@ -149,8 +152,8 @@ def fit(docs: DataFrame, sample: int = 4096, id_col: str = "doc_id", text_col: s
     return weights, {"accuracy": dict(zip(LABELLERS, right.T.tolist(), strict=True)), "share_good": share, "patterns": dict(zip(patterns.tolist(), p.tolist(), strict=True))}
 
 
-def _scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """``docs``, whose last column is the text, with ``score`` instead of it."""
+def _scored(docs: DataFrame, weights: np.ndarray, name: str = "score") -> DataFrame:
+    """``docs``, whose last column is the text, with the score under ``name`` instead of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_feature, same_w, bias = weights[:HASHED], 4.0 * weights[HASHED], weights[-1]
@@ -159,7 +162,7 @@ def _scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             score = []
             for text in batch.columns[-1]:
                 words, z = (text.as_py() or "").split(), 0.0
-                if len(known) > 300_000:
+                if len(known) > REMEMBERED:
                     known.clear()
                 for w in set(words).difference(known):
                     a, b = word_features(w)
@@ -168,22 +171,25 @@ def _scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                     z = (sum(map(known.__getitem__, words)) + same_w * sum(map(str.__eq__, words[1:], words))) / len(words)
                 score.append(z + bias)
             p = 1 / (1 + np.exp(-np.clip(np.array(score, dtype=float), -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], names=[*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], names=[*batch.schema.names[:-1], name])
 
-    return docs.mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in docs.dtypes[:-1]), "score double"]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields[:-1], T.StructField(name, T.DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, weights: np.ndarray, threshold: float = REJECT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, kept) for every row. A null text is empty; an empty one has the bias as its
-    evidence; null and repeated ids are rows like others; other columns are not read."""
+    evidence; a very long one is scored whole; null and repeated ids are rows like others; other
+    columns are not read; an empty table gives no rows."""
     scored = _scored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), weights)
     return scored.withColumn("kept", F.col("score") >= threshold)
 
 
 def good_only(docs: DataFrame, weights: np.ndarray, threshold: float = REJECT, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose score is below ``threshold``."""
-    others = [F.col(f"`{c}`") for c in docs.columns]
-    return _scored(docs.select(*others, F.col(text_col).alias("_scored_text")), weights).where(F.col("score") >= threshold).select(*others)
+    """``docs`` without the rows whose score is below ``threshold``, its columns as they are, whatever
+    their names. A null text is judged as an empty one; rows with null or repeated ids, and repeated
+    rows, are judged one by one; an empty table stays empty."""
+    ship(docs.sparkSession)
+    return kept_by(docs, text_col, lambda wide, name: _scored(wide, weights, name), lambda score: score >= threshold)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

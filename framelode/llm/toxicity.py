@@ -1,12 +1,16 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 A bigram model for toxic and one for ordinary text: absolute discounting, backing off to the
-class's words, and from there to continuation counts that both classes share; some virtual counts
-of each expression, split by the classes' sizes, leave a rare one as likely in either. A text
-counts an expression once. Log-likelihood ratios are normalised by length (their mean, and the
-strong ones by the root of the length), and a logistic map fitted on rows that the models haven't
-seen turns them into a score. All counts are of the whole labelled corpus; a model
-keeps every expression that ``LEAST`` texts have, so it grows with the corpus's expressions.
+class's words, and from there to continuation counts that both classes share. What is held back,
+and some virtual counts of each expression, are split between the classes by their sizes, so that
+a rare expression tells little, and one that neither class has nothing. A text counts an expression once.
+Log-likelihood ratios are normalised by length (their mean, and the strong ones by the root of the
+length), and a logistic map fitted on rows that the models haven't seen turns them into a score.
+
+All counts are of the whole labelled corpus and every expression is counted. A model is a sketch
+of fixed size, whatever the corpus: words are numbers of ``WORD_BITS`` bits, and pairs of them
+share ``PAIRS`` cells; a pair's count is at most its first word's and its second word's, whatever
+else is in its cell. Nothing that the driver holds or sends grows with the input.
 """
 
 from __future__ import annotations
@@ -19,87 +23,90 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ship, table, written
+from .common import discard, kept_by, ship, table, written
 
 STRONG = 1.5
 DISCOUNT, VIRTUAL = 0.75, 10.0
-#: Texts that an expression must be in, whatever the size of the corpus; in fewer it tells nothing.
-LEAST = 3
+WORD_BITS = 20
+#: The number of a text's start; words have the numbers below it.
+START = 1 << WORD_BITS
+SPAN = START + 1
+#: Cells of the pairs' counts: a prime, by which a pair's number is divided.
+PAIRS = 4_194_301
+#: Most words that a worker remembers; beyond it, it starts anew.
+REMEMBERED = 100_000
 _WORD = re.compile(r"\w+")
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
+def word_numbers(words: list[str]) -> list[int]:
     import xxhash
 
-    return np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 6) for w in words], dtype=np.uint64).view(np.int64)
+    return [xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 6) >> (64 - WORD_BITS) for w in words]
 
 
-class Vocabulary:
-    """Kept words as numbers in the order of their hashes; ``size`` for any other, one more for a text's start."""
+class Words:
+    """Words of texts as numbers; a worker remembers those that it met."""
 
-    def __init__(self, hashes: np.ndarray):
-        self.hashes, self.size, self.known = hashes, len(hashes), {}
+    def __init__(self):
+        self.known: dict[str, int] = {}
 
-    def __getstate__(self) -> dict:
-        return {"hashes": self.hashes, "size": self.size, "known": {}}
-
-    def numbers(self, text: str) -> np.ndarray:
-        words = _WORD.findall(text.lower())
-        if len(self.known) > 200_000:
+    def numbers(self, text: str | None) -> np.ndarray:
+        words = _WORD.findall((text or "").lower())
+        if len(self.known) > REMEMBERED:
             self.known.clear()
         new = list(set(words).difference(self.known))
-        if new:
-            h = word_hashes(new)
-            at = np.minimum(np.searchsorted(self.hashes, h), max(0, self.size - 1))
-            found = np.where(self.hashes[at] == h, at, self.size) if self.size else np.full(len(h), 0)
-            self.known.update(zip(new, found.tolist(), strict=True))
+        self.known.update(zip(new, word_numbers(new), strict=True))
         return np.array(list(map(self.known.__getitem__, words)), dtype=np.int64)
 
 
+def pair_numbers(two: np.ndarray) -> np.ndarray:
+    """Of a text's words, each with the one before it (or the text's start)."""
+    return np.concatenate([[START], two[:-1]]) * SPAN + two if len(two) else two
+
+
 @dataclass
 class Class:
-    """Of one class: word counts and their total and kinds, context counts and kinds of followers, pair counts."""
+    """Counts of one class: texts with a word, pairs by first word, kinds of followers, texts in a pair's cell."""
 
     words: np.ndarray
-    total: float
-    kinds: float
     context: np.ndarray
     followers: np.ndarray
     pairs: np.ndarray
 
-    def p(self, one: np.ndarray, two: np.ndarray, pair: np.ndarray, shared: np.ndarray, share: float, pair_share: np.ndarray) -> np.ndarray:
-        """Chances of words ``two`` after ``one``. Discounted pairs back off to the class's words,
-        those to continuation counts of both classes; ``VIRTUAL`` counts of each kept expression
-        are split between the classes by their sizes, so that a rare one tells little."""
-        uni = (np.maximum(self.words[two] - DISCOUNT, 0) + DISCOUNT * self.kinds * shared[two] + VIRTUAL * share) / (self.total + VIRTUAL)
-        count = np.maximum(self.pairs[pair] - DISCOUNT, 0) + VIRTUAL * pair_share if len(self.pairs) else 0.0
-        backed = (DISCOUNT * self.followers[one] + VIRTUAL) * uni
-        return (np.where(pair >= 0, count, 0) + backed) / (self.context[one] + VIRTUAL)
-
 
 @dataclass
 class Model:
-    vocabulary: Vocabulary
-    pair_keys: np.ndarray
     toxic: Class
     ordinary: Class
-    shared: np.ndarray
+    shared: np.ndarray  # of all kinds of pairs, the share that ends in a word
     weights: np.ndarray  # of 1 and the two kinds of evidence
     prior: float
 
+    def __post_init__(self):
+        classes = (self.ordinary, self.toxic)
+        total = np.array([c.words.sum(dtype=float) for c in classes]) + 0.5
+        self.sizes = total / total.sum()
+        self.kinds = float(((self.ordinary.words + self.toxic.words) > 0).sum())
+
     def ratios(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Log-likelihood ratios of words ``two`` after ``one``; 0 for words that no model keeps."""
-        key = one * (self.vocabulary.size + 2) + two
-        pair = np.full(len(key), -1)
-        if len(self.pair_keys):
-            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-            pair = np.where(self.pair_keys[at] == key, at, -1)
-        c = (self.toxic, self.ordinary)
-        total, context = sum(x.total for x in c) + 1, sum(x.context[one] for x in c) + 1
-        p = [x.p(one, two, pair, self.shared, x.total / total, x.context[one] / context) for x in c]
-        out = np.log(np.maximum(p[0], 1e-12)) - np.log(np.maximum(p[1], 1e-12))
-        return np.where(two < self.vocabulary.size, out, 0.0)
+        """Log-likelihood ratios of words ``two`` after ``one``; 0 for words that neither class has.
+
+        A word's discounted count in a class, and the class's share by its size of what is held
+        back: ``VIRTUAL`` counts, and discounts spread by the shared continuation counts. A pair's
+        likewise, the class's share being that of the first word, and what is held back going
+        by the class's chance of the second word. Chances are over those of both classes together."""
+        classes = (self.ordinary, self.toxic)
+        back = VIRTUAL + DISCOUNT * self.kinds * self.shared[two]
+        held = [np.maximum(c.words[two] - DISCOUNT, 0) for c in classes]
+        word = [(n / share + back) / (held[0] + held[1] + back) for n, share in zip(held, self.sizes, strict=True)]
+        cell = (one * SPAN + two) % len(self.toxic.pairs)
+        near = [np.maximum(np.minimum(np.minimum(c.pairs[cell], c.context[one]), c.words[two]) - DISCOUNT, 0) for c in classes]
+        context = [c.context[one] + VIRTUAL * share for c, share in zip(classes, self.sizes, strict=True)]
+        after = VIRTUAL + DISCOUNT * (classes[0].followers[one] + classes[1].followers[one]) * self.shared[two]
+        p = [n * (context[0] + context[1]) / c + after * w for n, c, w in zip(near, context, word, strict=True)]
+        return np.log(p[1]) - np.log(p[0])
 
     def evidence(self, docs: list[np.ndarray]) -> np.ndarray:
         """Of each document, the mean ratio, and the sum of its strong ratios over the square root of
@@ -112,11 +119,11 @@ class Model:
         two = np.concatenate([docs[k] for k in full])
         first = np.cumsum([0, *size[full][:-1]])
         one = np.concatenate([[0], two[:-1]])
-        one[first] = self.vocabulary.size + 1
+        one[first] = START
         n = size[full]
         # a document's repetitions of an expression say nothing more
         doc = np.repeat(np.arange(len(full)), n)
-        order = np.lexsort((np.arange(len(two)), two, one, doc))
+        order = np.lexsort((one * SPAN + two, doc))
         again = np.zeros(len(two), dtype=bool)
         again[order[1:]] = (doc[order[1:]] == doc[order[:-1]]) & (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
         ratio = np.where(again, 0.0, self.ratios(one, two))
@@ -143,113 +150,100 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def _counted(keys: list[np.ndarray], cell: list[int], names: list[str]) -> pa.RecordBatch:
+def _counted(keys: list[np.ndarray], cell: list[int]) -> pa.RecordBatch:
     """Distinct keys with their counts in four cells, of fold 0 and 1, ordinary and toxic."""
     found, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     where = np.repeat(np.array(cell), [len(k) for k in keys])
-    n = np.bincount(inverse * 4 + where, minlength=4 * len(found)).reshape(-1, 4)
-    return pa.RecordBatch.from_arrays([pa.array(found), *(pa.array(np.ascontiguousarray(n[:, i])) for i in range(4))], names=names)
+    n = np.bincount(inverse * 4 + where, minlength=4 * len(found)).reshape(-1, 4).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(found), *(pa.array(np.ascontiguousarray(n[:, i])) for i in range(4))], names=["k", *CELLS])
 
 
 CELLS = ("n0", "n1", "n2", "n3")  # 2 * fold + toxic
 
 
-def _counts(labelled: DataFrame, key: str, keys_of) -> DataFrame:
-    """(key, n0, n1, n2, n3) over all labelled texts, summed in each task before the shuffle."""
+def _counts(labelled: DataFrame) -> DataFrame:
+    """(k, n0, n1, n2, n3) over all labelled texts, summed in each task before the shuffle: of each
+    pair of words by its number, and of each word by -1 less its number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, keys, cell, size = Words(), [], [], 0
         for batch in batches:
-            keys, cell, size = [], [], 0
-            for f, t, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                k = np.unique(keys_of(text or ""))  # once for each text, however often it repeats it
-                if len(k):
-                    keys.append(k)
-                    cell.append(2 * f + t)
-                    size += len(k)
+            for f, t, text in zip(*batch.columns, strict=True):
+                two = words.numbers(text.as_py())
+                if len(two):  # once for each text, however often it repeats it
+                    keys.append(np.concatenate([np.unique(pair_numbers(two)), -1 - np.unique(two)]))
+                    cell.append(2 * f.as_py() + t.as_py())
+                    size += len(keys[-1])
                 if size > 500_000:
-                    yield _counted(keys, cell, [key, *CELLS])
+                    yield _counted(keys, cell)
                     keys, cell, size = [], [], 0
-            if keys:
-                yield _counted(keys, cell, [key, *CELLS])
+        if keys:
+            yield _counted(keys, cell)
 
-    rows = labelled.select("fold", "toxic", "text").mapInArrow(run, ", ".join([f"{key} long", *(f"{c} long" for c in CELLS)]))
-    return rows.groupBy(key).agg(*(F.sum(c).alias(c) for c in CELLS))
+    rows = labelled.select("fold", "toxic", "text").mapInArrow(run, ", ".join(["k long", *(f"{c} int" for c in CELLS)]))
+    return rows.groupBy("k").agg(*(F.sum(c).alias(c) for c in CELLS))
 
 
-def _total() -> Column:
-    return F.col("n0") + F.col("n1") + F.col("n2") + F.col("n3")
-
-
-def fit(labelled: DataFrame, calibration_rows: int = 20_000) -> Model:
+def fit(labelled: DataFrame, calibration_rows: int = 20_000, cells: int = PAIRS) -> Model:
     """``labelled``: (doc_id, fold 0 or 1, toxic 0 or 1, text). Counts are of all its rows.
 
     The score's map is fitted on at most ``calibration_rows`` rows of fold 1 (those with the least
-    hashes of their ids) under models of fold 0; the models that score are of both folds. Every
-    word and pair that ``LEAST`` texts have comes to the driver.
+    hashes of their ids) under models of fold 0; the models that score are of both folds. The
+    driver gets the sketch: at most a row for each word number and each of ``cells`` for pairs.
     """
-    words = written(_counts(labelled, "h", lambda text: word_hashes(_WORD.findall(text.lower()))))
-    totals = np.array(words.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in CELLS)).first(), dtype=float)
-    kept = words.where(_total() >= LEAST).orderBy("h").toArrow()
-    vocabulary = Vocabulary(kept.column(0).to_numpy())
-    of_word = np.stack([kept.column(c).to_numpy() for c in CELLS], axis=1).astype(float).reshape(-1, 4)
-    kinds = [(of_word[:, 0] > 0).sum(), (of_word[:, 1] > 0).sum(), (of_word[:, 0] + of_word[:, 2] > 0).sum(), (of_word[:, 1] + of_word[:, 3] > 0).sum()]
-    size = vocabulary.size + 2
-    sent = labelled.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def pair_keys(text: str) -> np.ndarray:
-        two = sent.value.numbers(text)
-        return np.concatenate([[sent.value.size + 1], two[:-1]]) * size + two if len(two) else two
-
-    pairs = written(_counts(labelled, "k", pair_keys))
-    both = pairs.select(F.expr(f"k div {size}").alias("one"), F.expr(f"k % {size}").alias("two"), *((F.col(f"n{t}") > 0).cast("long").alias(f"a{t}") for t in (0, 1)), *(((F.col(f"n{t}") + F.col(f"n{t + 2}")) > 0).cast("long").alias(f"b{t}") for t in (0, 1)), *CELLS)
-    contexts = both.groupBy("one").agg(*(F.sum(c).alias(c) for c in (*CELLS, "a0", "a1", "b0", "b1"))).toArrow()
-    after = both.groupBy("two").agg(F.sum(F.col("a0") + F.col("a1")), F.sum(F.col("b0") + F.col("b1"))).toArrow()
-    common = pairs.where(_total() >= LEAST).orderBy("k").toArrow()
-
-    def spread(t: pa.Table, columns: int) -> np.ndarray:
-        out = np.zeros((size, columns))
-        if t.num_rows:
-            out[t.column(0).to_numpy()] = np.stack([t.column(i + 1).to_numpy() for i in range(columns)], axis=1)
+    counts = written(_counts(labelled))
+    pairs = counts.where("k >= 0")
+
+    def spread(df: DataFrame, size: int) -> np.ndarray:
+        """A column for each of ``df``'s after the first, which says where."""
+        t = df.toArrow()
+        out = np.zeros((t.num_columns - 1, size), dtype=np.float32)
+        for i in range(len(out)):
+            out[i, t.column(0).to_numpy()] = t.column(i + 1).to_numpy()
         return out
 
-    context, follows = spread(contexts, 8), spread(after, 2)
-    of_pair = np.stack([common.column(c).to_numpy() for c in CELLS], axis=1).astype(float).reshape(-1, 4)
-    of_word = np.concatenate([of_word, np.zeros((2, 4))])
+    of_word = spread(counts.where("k < 0").select(F.expr("-1 - k"), *(F.col(c).cast("float") for c in CELLS)), SPAN)
+    kinds = [(F.col(f"n{t}") > 0).cast("float") for t in (0, 1)] + [((F.col(f"n{t}") + F.col(f"n{t + 2}")) > 0).cast("float") for t in (0, 1)]
+    by_first = spread(pairs.groupBy(F.expr(f"k div {SPAN}")).agg(*(F.sum(c).cast("float") for c in CELLS), *(F.sum(x).cast("float") for x in kinds)), SPAN)
+    by_last = spread(pairs.groupBy(F.expr(f"k % {SPAN}")).agg(F.sum(kinds[0] + kinds[1]).cast("float"), F.sum(kinds[2] + kinds[3]).cast("float")), SPAN)
+    of_pair = spread(pairs.groupBy(F.expr(f"k % {cells}")).agg(*(F.sum(c).cast("float") for c in CELLS)), cells)
+    discard(counts)
 
     def model(folds: int, weights: np.ndarray, prior: float) -> Model:
-        def cells(x: np.ndarray, t: int) -> np.ndarray:
-            return (x[..., t] if folds == 1 else x[..., t] + x[..., t + 2]).astype(np.float32)
-
-        classes = [Class(cells(of_word, t), float(cells(totals, t)), float(kinds[t + 2 * (folds - 1)]), cells(context, t), context[:, 4 + t + 2 * (folds - 1)].astype(np.float32), cells(of_pair, t)) for t in (0, 1)]
-        seen = follows[:, folds - 1]
-        shared = ((seen + 0.5) / (seen.sum() + 0.5 * size)).astype(np.float64)
-        return Model(vocabulary, common.column(0).to_numpy(), classes[1], classes[0], shared, weights, prior)
-
-    held = _scored(labelled.where("fold = 1").select("doc_id", "toxic", "text"), model(1, np.zeros(3), 0.0), evidence=True)
-    got = held.orderBy(F.xxhash64("doc_id"), "mean", "strong").limit(calibration_rows).select("toxic", "mean", "strong").collect()
-    x, y = np.array([(r["mean"], r["strong"]) for r in got]).reshape(-1, 2), np.array([r["toxic"] for r in got], dtype=float)
+        def of(x: np.ndarray, t: int) -> np.ndarray:
+            return x[t] if folds == 1 else x[t] + x[t + 2]
+
+        classes = []
+        for t in (0, 1):
+            classes.append(Class(of(of_word, t), of(by_first, t), by_first[4 + t + 2 * (folds - 1)], of(of_pair, t)))
+        ends = by_last[folds - 1] + np.float32(0.5)
+        return Model(classes[1], classes[0], (ends / ends.sum(dtype=float)).astype(np.float32), weights, prior)
+
+    held = _scored(labelled.where("fold = 1").select("doc_id", "toxic", "text"), model(1, np.zeros(3), 0.0), ["_mean", "_strong"])
+    got = held.orderBy(F.xxhash64("doc_id"), "_mean", "_strong").limit(calibration_rows).select("toxic", "_mean", "_strong").collect()
+    x, y = np.array([(r["_mean"], r["_strong"]) for r in got]).reshape(-1, 2), np.array([r["toxic"] for r in got], dtype=float)
     weights = logistic(x, y) if len(y) else np.array([-5.0, 0.0, 5.0])
     return model(2, weights, float(y.mean()) if len(y) else 0.0)
 
 
-def _scored(docs: DataFrame, model: Model, evidence: bool = False) -> DataFrame:
-    """``docs``, whose last column is the text, with its evidence or score instead of that."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
-    names = ["mean", "strong"] if evidence else ["score"]
+def _scored(docs: DataFrame, model: Model, names: list[str]) -> DataFrame:
+    """``docs``, whose last column is the text, with two columns of evidence or one of scores instead of that."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    give_evidence = len(names) == 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
         for batch in batches:
             values, part, size = [], [], 0
 
             def flush() -> None:
                 nonlocal part, size
                 if part:
-                    values.append(sent.value.evidence(part) if evidence else sent.value.score(part)[:, None])
+                    values.append(sent.value.evidence(part) if give_evidence else sent.value.score(part)[:, None])
                 part, size = [], 0
 
             for text in batch.columns[-1]:
-                part.append(sent.value.vocabulary.numbers(text.as_py() or ""))
+                part.append(words.numbers(text.as_py()))
                 size += len(part[-1]) + 1
                 if size > 200_000:
                     flush()
@@ -258,8 +252,7 @@ def _scored(docs: DataFrame, model: Model, evidence: bool = False) -> DataFrame:
                 both = np.concatenate(values)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(np.ascontiguousarray(both[:, i])) for i in range(len(names)))], names=[*batch.schema.names[:-1], *names])
 
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in docs.dtypes[:-1]), *(f"{n} double" for n in names)])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields[:-1], *(T.StructField(n, T.DoubleType()) for n in names)]))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, fold: Column | None = None) -> DataFrame:
@@ -273,17 +266,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, fold: Column | None = None
 
 def toxicity_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) for every row. A null or empty text, or one without words, has the share of
-    toxic rows as its score; null and repeated ids are rows like others; other columns are not read."""
+    toxic rows as its score; a very long one is scored whole; null and repeated ids are rows like
+    others; other columns are not read; an empty table gives no rows."""
     ship(docs.sparkSession)
-    return _scored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), model)
+    return _scored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), model, ["score"])
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose score is at least ``threshold``."""
+    """``docs`` without the rows whose score is at least ``threshold``, its columns as they are,
+    whatever their names. A null or empty text has the share of toxic rows as its score; rows with
+    null or repeated ids, and repeated rows, are judged one by one; an empty table stays empty."""
     ship(docs.sparkSession)
-    others = [F.col(f"`{c}`") for c in docs.columns]
-    wide = docs.select(*others, F.col(text_col).alias("_scored_text"))
-    return _scored(wide, model).where(F.col("score") < threshold).select(*others)
+    return kept_by(docs, text_col, lambda wide, name: _scored(wide, model, [name]), lambda score: score < threshold)
 
 
 def held_fold(id_col: str = "doc_id") -> Column:
@@ -302,6 +296,8 @@ def learnt_fold(id_col: str = "doc_id") -> Column:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit(written(training_rows(docs, table(spark, sf_dir, "labels"), learnt_fold())))
+    rows = written(training_rows(docs, table(spark, sf_dir, "labels"), learnt_fold()))
+    model = fit(rows)
+    discard(rows)
     scored = toxicity_scores(docs, model)
     return scored.select("doc_id", F.coalesce(third() == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

@@ -158,32 +158,60 @@ def test_toxicity_of_odd_documents(spark):
     assert toxicity.without_toxic(empty(spark), model).columns == docs.columns
 
 
-def test_kneser_ney_prefers_what_a_class_says(spark):
+def plain_ratios(said, text):
+    """Log-likelihood ratios of a text's words by the definition, from texts (text, toxic) and Python counts."""
+    words, pairs = ([Counter() for _ in range(2)] for _ in range(2))
+    for x, t in said:
+        w = ["<s>", *re.findall(r"\w+", x.lower())]
+        words[t].update(set(w[1:]))
+        pairs[t].update(set(zip(w, w[1:])))
+    sizes = [sum(w.values()) + 0.5 for w in words]
+    share = [n / sum(sizes) for n in sizes]
+    kinds = len(words[0] + words[1])
+    every = sum(len(p) for p in pairs) + 0.5 * toxicity.SPAN  # a word number has half a kind of pair more
+    out, w = [], ["<s>", *re.findall(r"\w+", text.lower())]
+    for one, two in zip(w, w[1:]):
+        continues = (sum(b == two for p in pairs for _, b in p) + 0.5) / every
+        back = 10 + 0.75 * kinds * continues
+        held = [max(x[two] - 0.75, 0) for x in words]
+        alone = [(n / s + back) / (sum(held) + back) for n, s in zip(held, share)]
+        before = [sum(n for (a, _), n in p.items() if a == one) + 10 * s for p, s in zip(pairs, share)]
+        after = 10 + 0.75 * sum(a == one for p in pairs for a, _ in p) * continues
+        chance = [max(p[one, two] - 0.75, 0) * sum(before) / c + after * u for p, c, u in zip(pairs, before, alone)]
+        out.append(math.log(chance[1] / chance[0]))
+    return out
+
+
+def test_kneser_ney_equals_its_definition(spark):
     ship(spark)
-    said = [("you stupid fool", 1), ("a nice day", 0), ("a nice walk", 0), ("stupid fool again", 1), ("a day again", 0)]
-    rows = spark.createDataFrame([(i, i % 2, t, x) for i, (x, t) in enumerate(said * 4)], "doc_id long, fold int, toxic int, text string")
-    model = toxicity.fit(rows)
-    texts = ("stupid fool", "nice walk", "", "unheard words", "stupid again")
-    e = model.evidence([model.vocabulary.numbers(t) for t in texts])
-    assert e[0, 0] > 1 and e[1, 0] < -1 and e[2].tolist() == [0, 0] and e[3].tolist() == [0, 0] and abs(e[4, 0]) < e[0, 0]
-    assert model.toxic.words[model.vocabulary.numbers("stupid")] == 8 and model.ordinary.words[model.vocabulary.numbers("stupid")] == 0
-    # by hand, "stupid" at a text's start: four of eight toxic texts, none of twelve ordinary ones
-    one, two = np.array([model.vocabulary.size + 1]), model.vocabulary.numbers("stupid")
-    p, shared = [], model.shared[two][0]
-    for c, texts_of, begun, kinds in ((model.toxic, 8, 4, 2), (model.ordinary, 12, 0, 1)):
-        share = c.total / (model.toxic.total + model.ordinary.total + 1)
-        uni = (max(c.words[two][0] - 0.75, 0) + 0.75 * c.kinds * shared + 10 * share) / (c.total + 10)
-        p.append((max(begun - 0.75, 0) + 10 * texts_of / 21 + (0.75 * kinds + 10) * uni) / (texts_of + 10))
-    assert np.isclose(model.ratios(one, two)[0], np.log(p[0] / p[1]), atol=1e-4)
-
-
-def test_rare_toxic_expressions_are_kept_beside_many_commoner_ones(spark, monkeypatch):
+    rng = random.Random(8)
+    said = [("you stupid fool", 1), ("a nice day", 0), ("a nice walk", 0), ("stupid fool again", 1), ("a day again", 0)] * 6
+    said += [(" ".join(f"w{min(rng.randrange(40), rng.randrange(40))}" for _ in range(rng.randrange(30))), rng.randrange(2)) for _ in range(200)]
+    rows = spark.createDataFrame([(i, i % 2, t, x) for i, (x, t) in enumerate(said)], "doc_id long, fold int, toxic int, text string")
+    model, words = toxicity.fit(rows), toxicity.Words()
+    for text in ["stupid fool", "a nice walk", "unheard words", "stupid again a w3", *(x for x, _ in said[30:60] if x)]:
+        two = words.numbers(text)
+        got = model.ratios(np.concatenate([[toxicity.START], two[:-1]]), two)
+        assert np.allclose(got, plain_ratios(said, text), atol=1e-3), text
+    e = model.evidence([words.numbers(t) for t in ("you stupid fool", "a nice walk", "", "unheard words", "fool fool fool")])
+    assert e[0, 0] > 0.3 and e[1, 0] < -0.3 and e[2].tolist() == [0, 0] and np.allclose(e[3], 0, atol=1e-6) and e[4, 0] > 0
+
+
+def test_rare_toxic_expressions_count_beside_many_commoner_ones(spark):
     ship(spark)
-    for cap in ("WORDS", "PAIRS"):
-        monkeypatch.setattr(toxicity, cap, 40, raising=False)  # a corpus larger than any cap
-    rows = [(f"w{i % 60} x{i % 60} again", i % 2) for i in range(3000)] + [("vile wretch", 1)] * 20
-    model = toxicity.fit(spark.createDataFrame([(i, i // 2 % 2, t, x) for i, (x, t) in enumerate(rows)], "doc_id long, fold int, toxic int, text string"))
-    assert model.evidence([model.vocabulary.numbers("vile wretch")])[0, 0] > 0.3
+    rows = [(f"w{i % 60} x{i % 60} again", i % 2) for i in range(3000)] + [("vile wretch", 1)] * 20 + [("mean cur", 1)] * 2
+    model, words = toxicity.fit(spark.createDataFrame([(i, i // 2 % 2, t, x) for i, (x, t) in enumerate(rows)], "doc_id long, fold int, toxic int, text string")), toxicity.Words()
+    often, twice, common, unheard = model.evidence([words.numbers(t) for t in ("vile wretch", "mean cur", "w1 x1", "zig zag")])[:, 0]
+    assert often > 0.3 and often > twice > 0 and abs(unheard) < 1e-6
+
+
+def test_counts_in_one_cell_are_bound_by_their_words(spark):
+    ship(spark)
+    rows = [(f"w{i % 60} x{i % 60} again", 0) for i in range(600)] + [("vile wretch", 1)] * 20
+    rows = spark.createDataFrame([(i, i // 2 % 2, t, x) for i, (x, t) in enumerate(rows)], "doc_id long, fold int, toxic int, text string")
+    model, words = toxicity.fit(rows, cells=1), toxicity.Words()  # all pairs in one, as in a corpus with far more pairs than cells
+    toxic, ordinary = model.evidence([words.numbers(t) for t in ("vile wretch", "w1 x1 again")])[:, 0]
+    assert toxic > 0.3 and ordinary < 0
 
 
 def test_quality_agrees_with_labels_it_never_saw(spark, labelled):
