@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from framelode.llm import pii, quality, toxicity
-from framelode.llm.common import shared_dir, ship, table, written
+from framelode.llm.common import discard, shared_dir, ship, table, written
 from framelode.llm.encoding import tokenizer_path
 from framelode.llm.packing import pack
 from framelode.llm.simhash import without_near_duplicates
@@ -26,7 +26,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.7; two thirds of the labels are learnt from, as in the query."""
-    model = toxicity.fit(written(toxicity.training_rows(docs, table(spark, sf_dir, "labels"), toxicity.learnt_fold())))
+    rows = written(toxicity.training_rows(docs, table(spark, sf_dir, "labels"), toxicity.learnt_fold()))
+    model = toxicity.fit(rows)
+    discard(rows)
     return toxicity.without_toxic(docs, model)
 
 
