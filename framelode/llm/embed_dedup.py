@@ -6,7 +6,8 @@ vectors agree in a bit with a chance that only their angle sets, so the number o
 from the number of bits: a pair at the threshold is missed with a probability of at most ``miss``,
 however the vectors lie. The number of bits is the one that costs least on a sample. Pairs that
 pass the exact cosine test are united across passes. Within each component, links are then
-counted exactly, in blocks.
+counted exactly. Long runs and large components are compared in cells, each of two of their
+parts, so that no task gets a whole one.
 """
 
 from __future__ import annotations
@@ -16,12 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, table, written
+from .common import components, discard, table, written
 from .simhash import joined
-from .vectors import matrix, usable
+from .vectors import matrix, scaled, usable
 
 BITS = 60
 
@@ -39,7 +40,7 @@ def passes_for(largest: int, window: int, threshold: float, miss: float) -> int:
 
 def hashed(m: np.ndarray, planes: np.ndarray, bits: int) -> np.ndarray:
     """(rows, passes): the signs of ``bits`` projections each, as numbers."""
-    return ((m @ planes) > 0).reshape(len(m), -1, bits) @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))
+    return ((scaled(m) @ planes) > 0).reshape(len(m), -1, bits) @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))
 
 
 def bits_for(reps: DataFrame, window: int, threshold: float, miss: float, seed: int, sample: int = 1 << 15) -> int:
@@ -87,7 +88,7 @@ def sorted_pass_edges(reps: DataFrame, bits: int, passes: int, window: int, thre
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, p, dtype=np.int32)), grp.take(at), pa.array(np.full(n, d, dtype=np.int32)), pa.array(np.ascontiguousarray(keys[:, p])), ids.take(at), some], names=["pass", "grp", "dim", "key", "id", "vec"])
 
     def unit(vecs: bytes, n: int) -> np.ndarray:
-        m = np.frombuffer(vecs, dtype="<f8").reshape(n, -1)
+        m = scaled(np.frombuffer(vecs, dtype="<f8").reshape(n, -1))
         return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
     def linked(own: np.ndarray, near: np.ndarray, right: int) -> tuple[np.ndarray, np.ndarray] | None:
@@ -143,53 +144,68 @@ def sorted_pass_edges(reps: DataFrame, bits: int, passes: int, window: int, thre
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y, v, w in zip(*batch.columns, strict=True):
-                a, b = (np.frombuffer(z.as_py(), dtype="<i8") for z in (x, y))
-                near = unit(v.as_py(), len(a)) @ unit(w.as_py(), len(b)).T >= threshold
-                if (out := linked(np.concatenate([a, b]), near, len(a))) is not None:
+            for one, other, blocks in zip(*batch.columns, strict=True):
+                one, other, sides = one.as_py(), other.as_py(), ([], [])
+                for x in blocks.as_py():
+                    sides[x["part"] != one].append(x)
+                if len(blocks) < 2 or (one != other and not all(sides)):
+                    continue
+                ids = [np.frombuffer(b"".join(x["ids"] for x in side), dtype="<i8") for side in sides]
+                m = [unit(b"".join(x["vecs"] for x in side), len(i)) if side else None for side, i in zip(sides, ids, strict=True)]
+                near = np.triu(m[0] @ m[0].T >= threshold, 1) if one == other else m[0] @ m[1].T >= threshold
+                if (out := linked(np.concatenate(ids), near, 0 if one == other else len(ids[0]))) is not None:
                     yield pa.RecordBatch.from_arrays([*map(pa.array, out)], names=["u", "v"])
 
     order = ["pass", "grp", "dim", "key", "id"]
     rows = reps.select("id", "grp", "dim", "vec").mapInArrow(keyed, "pass int, grp long, dim int, key long, id long, vec binary")
     found = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(runs, schema)
     found = written(found.withColumn("node", F.monotonically_increasing_id()))
-    a, b = found.where("ids is not null").alias("a"), found.where("ids is not null").alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in order[:4]]
-    pairs = a.join(b, [*same, F.col("a.node") < F.col("b.node")])
-    cross = pairs.select(F.col("a.ids").alias("x"), F.col("b.ids").alias("y"), F.col("a.vecs").alias("v"), F.col("b.vecs").alias("w")).mapInArrow(across, "u long, v long")
-    return found.where("ids is null").select("u", "v").union(cross)
+    blocks = found.where("ids is not null").drop("u", "v")
+    cross = in_cells(blocks, order[:4], 8, "node", F.struct("part", "ids", "vecs")).mapInArrow(across, "u long, v long")
+    edges = written(found.where("ids is null").select("u", "v").union(cross))
+    discard(found)
+    return edges
+
 
+def in_cells(rows: DataFrame, keys: list[str], size: int, by: str, kept: Column) -> DataFrame:
+    """(one, other, x): each key's rows are dealt to parts of about ``size`` rows by the hash of ``by``, and
+    each two parts, and each part with itself, meet in a cell. Keys with a single row are left out."""
+    parts = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys, F.ceil(F.col("n") / size).alias("parts"))
+    dealt = rows.join(parts, keys).withColumn("part", F.pmod(F.xxhash64(by), "parts")).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    cells = dealt.groupBy(*keys, F.least("part", "with").alias("one"), F.greatest("part", "with").alias("other"))
+    return cells.agg(F.collect_list(kept).alias("x")).select("one", "other", "x")
 
-def link_counts(members: DataFrame, threshold: float, block: int = 512) -> DataFrame:
+
+def link_counts(members: DataFrame, threshold: float, part: int = 1024) -> DataFrame:
     """(id, links): for each of ``members`` (component, id, n, vec), how many rows the vectors of its
-    component at the threshold or above stand for, itself left out. Blocks of a component meet
-    in pairs; only counts leave a task."""
-    blocks = members.groupBy("component").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    dealt = members.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
-    packed = written(dealt.groupBy("component", "block", "blocks").agg(F.collect_list(F.struct("id", "n", "vec")).alias("x")))
-    a, b = packed.where("blocks > 1").alias("a"), packed.where("blocks > 1").alias("b")
-    pairs = a.join(b, (F.col("a.component") == F.col("b.component")) & (F.col("a.block") < F.col("b.block"))).select("a.x", F.col("b.x").alias("y"))
-    work = packed.select("x", F.lit(None).cast(packed.schema["x"].dataType).alias("y")).union(pairs)
+    component at the threshold or above stand for, itself left out. Parts of a component meet in
+    cells; only counts leave a task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def side(z: list[dict]) -> tuple[list[int], np.ndarray, np.ndarray]:
-            m = matrix([r["vec"] for r in z])
+            m = scaled(matrix([r["vec"] for r in z]))
             return [r["id"] for r in z], np.array([r["n"] for r in z], dtype=np.int64), m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
         for batch in batches:
-            for x, y in zip(batch.column(0), batch.column(1), strict=True):
-                ids, n, m = side(x.as_py())
-                if y.is_valid:
-                    other, k, w = side(y.as_py())
+            for one, other, x in zip(*batch.columns, strict=True):
+                one, other, sides = one.as_py(), other.as_py(), ([], [])
+                for r in x.as_py():
+                    sides[r["part"] != one].append(r)
+                if one != other and not all(sides):
+                    continue
+                ids, n, m = side(sides[0])
+                if one != other:
+                    more, k, w = side(sides[1])
                     near = m @ w.T >= threshold
-                    ids, links = ids + other, np.concatenate([near @ k, n @ near])
+                    ids, links = ids + more, np.concatenate([near @ k, n @ near])
                 else:
                     near = m @ m.T >= threshold
                     np.fill_diagonal(near, False)
                     links = near @ n
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(links)], names=["id", "links"])
 
-    return work.mapInArrow(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    cells = in_cells(members, ["component"], part, "id", F.struct("part", "id", "n", "vec"))
+    return cells.mapInArrow(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
 def embedding_duplicates(df: DataFrame, threshold: float = 0.98, window: int = 128, miss: float = 1e-4, seed: int = 2, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -200,18 +216,23 @@ def embedding_duplicates(df: DataFrame, threshold: float = 0.98, window: int = 1
     a null, empty or zero vector or one with null or non-finite components, links with nothing
     and is kept. Equal vectors of one label are one member that counts for all its rows, so a
     large group of copies is neither compared nor listed in pairs. Repeated ids are rows of
-    their own that share the smallest id's component. An empty table gives no rows.
+    their own, each linked with the others of its vector; a component has its smallest id's name.
+    Other columns are not read. An empty table gives no rows.
     """
     named = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("embedding"), F.col(label_col).cast("long").alias("label"))
     copy = F.md5(F.concat_ws("|", F.col("grp"), F.col("dim"), F.hex("vec")))
-    rows = written(usable(named.where("label is not null"), more=("label",)).withColumnRenamed("label", "grp").withColumn("copy", copy))
-    reps = written(rows.groupBy("copy").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("grp").alias("grp"), F.first("dim").alias("dim"), F.first("vec").alias("vec")))
+    rows = written(usable(named.where("label is not null"), more=("label",)).withColumnRenamed("id", "vec_id").withColumnRenamed("label", "grp").withColumn("copy", copy))
+    reps = rows.groupBy("copy").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("grp").alias("grp"), F.first("dim").alias("dim"), F.first("vec").alias("vec"))
+    reps = written(reps.withColumn("id", F.monotonically_increasing_id()))
     bits = bits_for(reps, window, threshold, miss, seed)
     edges = sorted_pass_edges(reps, bits, passes_of(bits, threshold, miss), window, threshold, seed)
-    comps = components(edges)
-    members = written(reps.join(comps, reps["id"] == comps["node"]).select("component", "id", "n", "vec"))
-    found = written(reps.select("copy", "id", "n").join(link_counts(members, threshold), "id", "left").join(members.select("id", "component"), "id", "left").select("copy", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")))
-    linked = rows.select("id", "copy").join(found, "copy").select(F.col("id").alias("vec_id"), "n_links", "component_id")
+    members = written(reps.join(components(edges).withColumnRenamed("node", "id"), "id").select("component", "id", "least", "n", "vec"))
+    names = members.groupBy("component").agg(F.min("least").alias("component_id"))
+    of = members.select("id", "component").join(names, "component").select("id", "component_id")
+    found = reps.select("copy", "id", "n", "least").join(link_counts(members, threshold), "id", "left").join(of, "id", "left")
+    found = written(found.select("copy", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least").alias("component_id")))
+    discard(reps, edges, members)
+    linked = rows.select("vec_id", "copy").join(found, "copy").select("vec_id", "n_links", "component_id")
     whole = F.expr("vec_id is not null and label is not null and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
     alone = named.withColumn("v", F.col("embedding").cast("array<double>")).where(~F.coalesce(whole, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).select("*", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -41,3 +41,8 @@ def usable(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", mo
 
 def matrix(vecs: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(vecs), dtype="<f8").reshape(len(vecs), -1)
+
+
+def scaled(m: np.ndarray) -> np.ndarray:
+    """Rows, none of them zero, times powers of two that bring their largest components near 1, so that no square overflows or vanishes."""
+    return np.ldexp(m, -np.frexp(np.abs(m).max(axis=1, keepdims=True))[1])

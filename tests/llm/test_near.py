@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -194,6 +195,56 @@ def test_unusable_rows_of_an_id_that_is_also_usable_stay(spark):
     assert got == Counter({(1, 1, 1, True): 1, (2, 1, 1, False): 1, (2, 0, 2, True): 5, (1, 0, 1, True): 2, (None, 0, None, True): 1, (3, 0, 3, True): 1})
 
 
+def test_repeated_ids_and_extreme_norms_link_like_others(spark):
+    ship(spark)
+    rows = [(5, [1.0, 0.0], 0), (5, [1.0, 0.01], 0), (6, [2.0, 0.0], 0), (None, [1.0, 0.0], 0), (9, [0.0, 1.0], 0), (9, [0.0, 1.0], 0)]
+    rows += [(20, [1e200, 1e200], 1), (21, [1e-200, 1e-200], 1), (22, [3.0, 3.1], 1), (23, [5e-324, 0.0], 1), (24, [1.7e308, 0.0], 1)]
+    schema = "vec_id long, embedding array<double>, label int, n long, copy string, least long, part long"
+    got = Counter(tuple(r) for r in embed_dedup.embedding_duplicates(spark.createDataFrame([(*r, 1, "c", 2, 3) for r in rows], schema)).collect())
+    want = Counter({(5, 2, 5, True): 2, (6, 2, 5, False): 1, (None, 0, None, True): 1, (9, 1, 9, True): 2, (20, 2, 20, True): 1, (21, 2, 20, False): 1, (22, 2, 20, False): 1, (23, 1, 23, True): 1, (24, 1, 23, False): 1})
+    assert got == want
+
+
+@pytest.mark.parametrize("mean", [0.0, 0.8, 0.95])
+def test_labels_of_20000_vectors_lose_no_link(spark, mean):
+    ship(spark)
+    rng = np.random.default_rng(11)
+    n, centre = 20_000, np.zeros(64)
+    centre[0] = 1.0
+    m = rng.standard_normal((n, 64))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    m = np.sqrt(mean) * centre + np.sqrt(1 - mean) * m
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    side = rng.standard_normal((2000, 64))
+    side -= (side * m[:2000]).sum(axis=1, keepdims=True) * m[:2000]
+    m[2000:4000] = 0.981 * m[:2000] + np.sqrt(1 - 0.981**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    degree, links = np.zeros(n, dtype=int), []
+    for at in range(0, n, 2000):
+        near = m[at : at + 2000] @ m.T >= 0.98
+        i, j = np.nonzero(near)
+        other = i + at != j
+        i, j = i[other] + at, j[other]
+        degree += np.bincount(i, minlength=n)
+        links += [(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if a < b]
+    want = least_components(range(n), links)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(m.reshape(-1)), 64).cast(pa.list_(pa.float64()))})).selectExpr("*", "1 as label")
+    got = {r["vec_id"]: (r["component_id"], r["n_links"]) for r in embed_dedup.embedding_duplicates(df).select("vec_id", "component_id", "n_links").collect()}
+    assert got == {k: (want[k], int(degree[k])) for k in range(n)} and len(links) >= 2000
+
+
+def test_sql_of_embedding_links_on_a_table_that_has_them(spark, tmp_path):
+    ship(spark)
+    import duckdb
+
+    rows = [r for r in vector_rows() if r[1] != []]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/e")
+    want = duckdb.connect()
+    want.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/e/*.parquet'")
+    want = Counter(want.execute(embed_dedup.OP2_SQL).fetchall())
+    got = Counter(tuple(r) for r in embed_dedup.embedding_duplicates(spark.read.parquet(f"{tmp_path}/e")).collect())
+    assert got == want and sum(r[1] > 0 for r in got) > 300
+
+
 def test_passes_grow_with_the_input():
     few, many = (embed_dedup.passes_for(n, 128, 0.98, 1e-4) for n in (1_000, 10_000_000))
     assert 4 <= few < many < 200
