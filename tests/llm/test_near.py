@@ -281,6 +281,47 @@ def test_neighbours_found(spark):
     assert ann.nearest(none, none).count() == 0
 
 
+def recall_of(spark, m, **options):
+    ids = np.arange(len(m)) * 10
+    df = spark.createDataFrame(pa.table({"vec_id": ids, "embedding": pa.array(m.tolist(), pa.list_(pa.float64()))}))
+    found = {}
+    for r in ann.nearest(df, df.where("vec_id % 100 = 0"), **options).collect():
+        found.setdefault(r["query_id"], set()).add((r["vec_id"], r["score"]))
+    hits = 0
+    for q in range(0, len(m), 10):
+        d = np.sqrt(((m - m[q]) ** 2).sum(axis=1))
+        assert all(s == d[v // 10] for v, s in found[10 * q])
+        d[q] = np.inf
+        hits += len({v for v, _ in found[10 * q]} & set((10 * np.lexsort((ids, d))[:10]).tolist()))
+    return hits / (len(m) // 10 * 10)
+
+
+@pytest.mark.parametrize("kind", ["small", "clustered", "offset"])
+def test_partitions_find_what_brute_force_finds(spark, kind):
+    ship(spark)
+    rng = np.random.default_rng(6)
+    m = rng.standard_normal((500 if kind == "small" else 3000, 16))
+    if kind == "clustered":
+        m = 6 * rng.standard_normal((40, 16))[rng.integers(0, 40, len(m))] + m
+    if kind == "offset":
+        m = m + 1e8
+    assert recall_of(spark, m) >= 0.9
+
+
+def test_partitions_grow_with_the_rows():
+    assert [ann.parts_for(n, min(n, 4096)) for n in (4, 8, 40, 500, 2000, 50_000, 10**9)] == [1, 2, 2, 16, 32, 128, 256]
+
+
+def test_distances_of_extreme_vectors(spark):
+    ship(spark)
+    x = np.array([[1e200, 0.0], [3e200, 4e200], [1e-200, 0.0], [4e-200, 4e-200], [-1.7e308, 1e308], [1.7e308, 0.0]])
+    assert np.allclose(ann.distances(x[:4] , x[0]), [0, np.hypot(2e200, 4e200), 1e200, 1e200], rtol=1e-15)
+    assert np.isclose(ann.distances(x[2:4], x[2])[1], 5e-200, rtol=1e-15) and np.isinf(ann.distances(x[4:5], x[5])[0])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(0, [1e200, 1e200]), (0, [2e200, 0.0])], "vec_id long, embedding array<double>")
+    got = [(r["rank"], r["vec_id"]) for r in ann.nearest(df, df.where("vec_id = 2")).orderBy("rank").collect()]
+    assert got == [(1, 3), (2, 0), (3, 0), (4, 0), (5, 1), (6, 5), (7, 4)]
+
+
 def test_partitions_are_balanced():
     m = np.random.default_rng(0).standard_normal((512, 8))
     part = ann.balanced_partitions(m, ann.neighbours(m, 5), 8)
