@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,6 +67,21 @@ def pair_numbers(two: np.ndarray) -> np.ndarray:
     return np.concatenate([[START], two[:-1]]) * SPAN + two if len(two) else two
 
 
+def squeezed(state: dict) -> dict:
+    """Arrays of single floats as compressed bytes of one byte plane after the other: most counts are small."""
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=1)
+    return {k: squeeze.compress(v.view(np.uint8).reshape(-1, 4).T.tobytes()) if isinstance(v, np.ndarray) and v.dtype == np.float32 else v for k, v in state.items()}
+
+
+def expanded(state: dict) -> dict:
+    import zstandard
+
+    expand = zstandard.ZstdDecompressor()
+    return {k: np.ascontiguousarray(np.frombuffer(expand.decompress(v), dtype=np.uint8).reshape(4, -1).T).view("<f4").reshape(-1) if isinstance(v, bytes) else v for k, v in state.items()}
+
+
 @dataclass
 class Class:
     """Counts of one class: texts with a word, pairs by first word, kinds of followers, texts in a pair's cell."""
@@ -75,20 +91,33 @@ class Class:
     followers: np.ndarray
     pairs: np.ndarray
 
+    def __getstate__(self) -> dict:
+        return squeezed(self.__dict__)
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(expanded(state))
+
 
 @dataclass
 class Model:
     toxic: Class
     ordinary: Class
-    shared: np.ndarray  # of all kinds of pairs, the share that ends in a word
+    ends: np.ndarray  # kinds of pairs that end in a word, and a half
     weights: np.ndarray  # of 1 and the two kinds of evidence
     prior: float
 
+    def __getstate__(self) -> dict:
+        return squeezed(self.__dict__)
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(expanded(state))
+
     def __post_init__(self):
         classes = (self.ordinary, self.toxic)
         total = np.array([c.words.sum(dtype=float) for c in classes]) + 0.5
         self.sizes = total / total.sum()
         self.kinds = float(((self.ordinary.words + self.toxic.words) > 0).sum())
+        self.every = float(self.ends.sum(dtype=float))
 
     def ratios(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Log-likelihood ratios of words ``two`` after ``one``; 0 for words that neither class has.
@@ -98,13 +127,14 @@ class Model:
         likewise, the class's share being that of the first word, and what is held back going
         by the class's chance of the second word. Chances are over those of both classes together."""
         classes = (self.ordinary, self.toxic)
-        back = VIRTUAL + DISCOUNT * self.kinds * self.shared[two]
+        shared = self.ends[two] / self.every
+        back = VIRTUAL + DISCOUNT * self.kinds * shared
         held = [np.maximum(c.words[two] - DISCOUNT, 0) for c in classes]
         word = [(n / share + back) / (held[0] + held[1] + back) for n, share in zip(held, self.sizes, strict=True)]
         cell = (one * SPAN + two) % len(self.toxic.pairs)
         near = [np.maximum(np.minimum(np.minimum(c.pairs[cell], c.context[one]), c.words[two]) - DISCOUNT, 0) for c in classes]
         context = [c.context[one] + VIRTUAL * share for c, share in zip(classes, self.sizes, strict=True)]
-        after = VIRTUAL + DISCOUNT * (classes[0].followers[one] + classes[1].followers[one]) * self.shared[two]
+        after = VIRTUAL + DISCOUNT * (classes[0].followers[one] + classes[1].followers[one]) * shared
         p = [n * (context[0] + context[1]) / c + after * w for n, c, w in zip(near, context, word, strict=True)]
         return np.log(p[1]) - np.log(p[0])
 
@@ -217,17 +247,19 @@ def fit(labelled: DataFrame, calibration_rows: int = 20_000, cells: int = PAIRS)
         for t in (0, 1):
             classes.append(Class(of(of_word, t), of(by_first, t), by_first[4 + t + 2 * (folds - 1)], of(of_pair, t)))
         ends = by_last[folds - 1] + np.float32(0.5)
-        return Model(classes[1], classes[0], (ends / ends.sum(dtype=float)).astype(np.float32), weights, prior)
+        return Model(classes[1], classes[0], ends, weights, prior)
 
-    held = _scored(labelled.where("fold = 1").select("doc_id", "toxic", "text"), model(1, np.zeros(3), 0.0), ["_mean", "_strong"])
+    held, sent = _scored(labelled.where("fold = 1").select("doc_id", "toxic", "text"), model(1, np.zeros(3), 0.0), ["_mean", "_strong"])
     got = held.orderBy(F.xxhash64("doc_id"), "_mean", "_strong").limit(calibration_rows).select("toxic", "_mean", "_strong").collect()
+    sent.destroy()
     x, y = np.array([(r["_mean"], r["_strong"]) for r in got]).reshape(-1, 2), np.array([r["toxic"] for r in got], dtype=float)
     weights = logistic(x, y) if len(y) else np.array([-5.0, 0.0, 5.0])
     return model(2, weights, float(y.mean()) if len(y) else 0.0)
 
 
-def _scored(docs: DataFrame, model: Model, names: list[str]) -> DataFrame:
-    """``docs``, whose last column is the text, with two columns of evidence or one of scores instead of that."""
+def _scored(docs: DataFrame, model: Model, names: list[str]) -> tuple[DataFrame, Broadcast]:
+    """``docs``, whose last column is the text, with two columns of evidence or one of scores instead of
+    that; and the model as it is sent, a sketch of fixed size."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     give_evidence = len(names) == 2
 
@@ -252,7 +284,7 @@ def _scored(docs: DataFrame, model: Model, names: list[str]) -> DataFrame:
                 both = np.concatenate(values)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(np.ascontiguousarray(both[:, i])) for i in range(len(names)))], names=[*batch.schema.names[:-1], *names])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields[:-1], *(T.StructField(n, T.DoubleType()) for n in names)]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields[:-1], *(T.StructField(n, T.DoubleType()) for n in names)])), sent
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, fold: Column | None = None) -> DataFrame:
@@ -269,7 +301,7 @@ def toxicity_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     toxic rows as its score; a very long one is scored whole; null and repeated ids are rows like
     others; other columns are not read; an empty table gives no rows."""
     ship(docs.sparkSession)
-    return _scored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), model, ["score"])
+    return _scored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), model, ["score"])[0]
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
@@ -277,7 +309,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7, text_co
     whatever their names. A null or empty text has the share of toxic rows as its score; rows with
     null or repeated ids, and repeated rows, are judged one by one; an empty table stays empty."""
     ship(docs.sparkSession)
-    return kept_by(docs, text_col, lambda wide, name: _scored(wide, model, [name]), lambda score: score < threshold)
+    return kept_by(docs, text_col, lambda wide, name: _scored(wide, model, [name])[0], lambda score: score < threshold)
 
 
 def held_fold(id_col: str = "doc_id") -> Column:
