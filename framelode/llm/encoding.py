@@ -6,6 +6,8 @@ whole text: ``words`` cuts at spaces and line feeds (for a tokenizer that drops
 with the word after it), ``None`` encodes whole texts. ``ranks`` (for a byte-level tokenizer with
 the usual pattern) reads the same file's vocabulary as merge ranks, with which whole texts take
 a third of the time; a test holds its ids against the tokenizers library for every code point.
+A text that has the literal string of one of the file's special tokens is encoded whole, so that
+the string becomes that token, as the library makes of it.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Most words that a worker remembers; beyond it, it starts anew.
-REMEMBERED = 700_000
+REMEMBERED = 500_000
 #: Characters of text that are cut at once.
 SLICE = 1_000_000
 _CUT = re.compile(r"(?= \S)")
@@ -36,9 +38,10 @@ class Encoder:
         self.cut, self.known = cut, {}
         if cut == "ranks":
             self.ranks = _ranks(path)
+            self.special = tuple(self.ranks.special_tokens_set)
             return
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         # where a run of letters begins or ends in a row of ids, by the mark that the vocabulary has for it
         vocab = self.tokenizer.get_vocab()
         self.mark = np.zeros(max(vocab.values()) + 1, dtype=bool)
@@ -60,16 +63,23 @@ class Encoder:
         for e in self.tokenizer.encode_batch(texts, add_special_tokens=False):
             yield np.array(e.ids, dtype="<u4").tobytes()
 
+    def _odd(self, text: str) -> bool:
+        return any(s in text for s in self.special)
+
     def _slice(self, texts: list[str]) -> Iterator[bytes]:
         if self.cut == "ranks":
             for t in texts:
-                yield np.array(self.ranks.encode_ordinary(t), dtype="<u4").tobytes()
+                ids = self.ranks.encode(t, allowed_special="all") if self._odd(t) else self.ranks.encode_ordinary(t)
+                yield np.array(ids, dtype="<u4").tobytes()
             return
         if self.cut is None:
             yield from self._whole(texts)
             return
         if len(self.known) > REMEMBERED:
             self.known.clear()
+        whole = {k: next(self._whole([t])) for k, t in enumerate(texts) if self._odd(t)}
+        if whole:
+            texts = ["" if k in whole else t for k, t in enumerate(texts)]
         if self.cut == "words":
             cut = [text.replace("\n", " ").split(" ") for text in texts]
         else:  # words that follow a space are remembered without it
@@ -81,8 +91,8 @@ class Encoder:
         new = set().union(*cut).difference(self.known)
         self._learn(new)
         get = self.known.__getitem__
-        for pieces in cut:
-            yield b"".join(map(get, pieces))
+        for k, pieces in enumerate(cut):
+            yield whole[k] if k in whole else b"".join(map(get, pieces))
         for w in new:
             if len(w) > 200:
                 del self.known[w]
@@ -152,9 +162,9 @@ def _ranks(path: str):
     byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
-    special = {t["content"] for t in model["added_tokens"]}
+    special = {t["content"]: t["id"] for t in model["added_tokens"]}
     ranks = {bytes(map(byte_of.__getitem__, token)): i for token, i in model["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def encoder(path: str, cut: str | None) -> Encoder:

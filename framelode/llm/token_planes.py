@@ -58,7 +58,7 @@ def from_planes(n_ids: int, planes: str, sizes: list[int], payload: bytes) -> np
 def write_token_planes(docs: DataFrame, path: str, tokenizer: str, cut: str | None = None, end_id: int | None = None, block: int = 65_536, planes: str = "byte", id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode whole texts and write the ids in ascending ``id_col`` order.
 
-    A null text is empty and has only ``end_id``. Null ids come first; rows with the same id
+    A null text is empty and has only ``end_id``; a very long one is encoded whole. Null ids come first; rows with the same id
     follow one another in text order. Other columns, whatever their names, are not read. An
     empty table gives a table without rows.
     """

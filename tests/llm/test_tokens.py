@@ -16,9 +16,12 @@ from framelode.llm.encoding import Encoder
 from .helpers import empty, odd_docs, odd_texts
 
 
+#: Literal strings of special tokens, which the library maps to their ids, and others that only look like them.
+SPECIAL = ["a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "<|ENDOFTEXT|> <|endoftext|", "so  <|endoftext|>\n\n end ", "<|endoftext|><|endoftext|>"]
+
+
 def plain_ids(name, texts):
     t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
     return [np.array(e.ids, dtype="<u4") for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -47,7 +50,7 @@ def test_planes_round_trip(planes, n):
 @pytest.mark.parametrize(("planes", "block"), [("byte", 64), ("bit", 1000), ("byte", 65_536)])
 def test_written_ids_are_read_back(spark, tmp_path, planes, block):
     ship(spark)
-    rows, docs = odd_docs(spark)
+    rows, docs = odd_docs(spark, [*odd_texts(), *SPECIAL])
     path = f"{tmp_path}/planes"
     token_planes.write_token_planes(docs, path, P.path("word_bpe_49k.json"), "words", 1, block, planes)
     got = token_planes.read_token_planes(spark, path).orderBy("start").collect()
@@ -79,7 +82,7 @@ def test_hilbert_neighbours_touch():
 
 def test_packing_places_each_id_once(spark):
     ship(spark)
-    rows, docs = odd_docs(spark)
+    rows, docs = odd_docs(spark, [*odd_texts(), *SPECIAL])
     got = packing.pack(docs, P.path("byte_bpe_50k.json"), "ranks", length=64).collect()
     want = Counter((i, (*x.tolist(), 0)) for (i, _), x in zip(rows, plain_ids("byte_bpe_50k.json", [t for _, t in rows]), strict=True))
     sequences = defaultdict(list)
