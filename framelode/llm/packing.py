@@ -22,6 +22,8 @@ from .encoding import encoder, tokenizer_path
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 DIMS, BITS, HASHED = 4, 12, 65_536
+#: Bytes of ids that a task sorts and packs.
+RANGE = 64 << 20
 
 
 def hilbert_keys(grid: np.ndarray, bits: int) -> np.ndarray:
@@ -64,7 +66,7 @@ def curve_keys(ids: list[np.ndarray], signs: np.ndarray) -> np.ndarray:
 def pack(docs: DataFrame, tokenizer: str, cut: str | None = None, end_id: int = 0, length: int = 1024, seed: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of documents in sequences of at most ``length`` ids (a power of two).
 
-    A null text is empty: its only id is ``end_id``. Null and repeated ids are documents of
+    A null text is empty: its only id is ``end_id``. A very long one is encoded whole and cut. Null and repeated ids are documents of
     their own. Documents with one key (copies) are told apart by their id and row, so that a
     large group of copies spreads over ranges. Other columns are not read; an empty table gives
     no pieces. ``sequence_id`` has the range in its upper bits and counts from 0 within it.
@@ -79,7 +81,8 @@ def pack(docs: DataFrame, tokenizer: str, cut: str | None = None, end_id: int =
 
         def out(doc_ids: list, raw: list[bytes]) -> pa.RecordBatch:
             keys = curve_keys([np.frombuffer(x, dtype="<u4") for x in raw], signs)
-            return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(keys, pa.int64()), pa.array([short(x) for x in raw], pa.binary())], names=["doc_id", "key", "ids"])
+            ids = [short(x) for x in raw]
+            return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(map(len, ids), pa.int64(), size=len(ids)), pa.array(ids, pa.binary())], names=["doc_id", "key", "bytes", "ids"])
 
         for batch in batches:
             doc_ids, raw, size = [], [], 0
@@ -139,10 +142,14 @@ def pack(docs: DataFrame, tokenizer: str, cut: str | None = None, end_id: int =
             yield batch_out()
 
     ship(docs.sparkSession)
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, "doc_id long, key long, ids binary")
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, "doc_id long, key long, bytes long, ids binary")
     keyed = written(keyed.withColumn("row", F.monotonically_increasing_id()))
     order = ["key", "doc_id", "row"]
-    return keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(fill, PIECES)
+    # ranges of about RANGE bytes, where the usual number of partitions would make them larger
+    ranges = -(-(keyed.agg(F.sum("bytes")).first()[0] or 0) // RANGE)
+    usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = keyed.repartitionByRange(ranges, *order) if ranges > usual else keyed.repartitionByRange(*order)
+    return ranged.sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(fill, PIECES)
 
 
 def short(raw: bytes) -> bytes:
