@@ -127,6 +127,27 @@ def test_shards_follow_the_bytes(spark):
     assert sharding.assign_shards(empty(spark)).count() == 0
 
 
+def test_shards_split_rows_equal_in_text_and_id(spark):
+    rows = [(None, "hot text", i) for i in range(3000)] + [(7, "hot too", i) for i in range(2000)] + [(i, f"text {i}", i) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, size int").repartition(4)
+    got = sharding.assign_shards(docs, rows_per_range=100, carry=("size",)).collect()
+    assert sorted(r["carried_size"] for r in got) == sorted(r[2] for r in rows)
+    sizes = Counter()
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+    assert len(sizes) == 8 and max(sizes.values()) - min(sizes.values()) <= 2 * 9
+    assert all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got))) for s in sizes)
+
+
+def test_ranges_do_not_grow_beyond_their_bound(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "MOST", 16)
+    seen = []
+    real = sharding.splitters
+    monkeypatch.setattr(sharding, "splitters", lambda *a: seen.append(real(*a)) or seen[-1])
+    docs = spark.range(20_000).selectExpr("id as doc_id", "concat('text ', id) as text")
+    assert sharding.assign_shards(docs, rows_per_range=10).count() == 20_000 and len(seen[0]) <= 3 * 16
+
+
 def test_ranges_split_equal_hashes_by_id():
     bounds = np.array([(5, 10), (5, 20), (9, 0)], dtype=np.int64)
     got = sharding.ranges_of(np.array([4, 5, 5, 5, 5, 9, 10]), np.array([99, 9, 10, 15, 20, -1, 0]), bounds)
