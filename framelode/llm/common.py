@@ -88,6 +88,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def in_cells(rows: DataFrame, keys: list[str], size: int, by: str, kept: Column, weight: str | None = None) -> DataFrame:
+    """(one, other, x): each key's rows are dealt to parts of about ``size`` rows (or of that much ``weight``) by
+    the hash of ``by``, and each two parts, and each part with itself, meet in a cell. Keys with a
+    single row are left out; ``kept`` is what a row brings, its ``part`` among it."""
+    parts = rows.groupBy(*keys).agg(F.count("*").alias("n"), (F.count("*") if weight is None else F.sum(weight)).alias("all"))
+    parts = parts.where("n > 1").select(*keys, F.least("n", F.greatest(F.lit(1), F.ceil(F.col("all") / size))).alias("parts"))
+    dealt = rows.join(parts, keys).withColumn("part", F.pmod(F.xxhash64(by), "parts")).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    cells = dealt.groupBy(*keys, F.least("part", "with").alias("one"), F.greatest("part", "with").alias("other"))
+    return cells.agg(F.collect_list(kept).alias("x")).select("one", "other", "x")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v): the smallest node reachable.
 

@@ -17,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, discard, table, written
+from .common import components, discard, in_cells, table, written
 from .simhash import joined
 from .vectors import matrix, scaled, usable
 
@@ -167,15 +167,6 @@ def sorted_pass_edges(reps: DataFrame, bits: int, passes: int, window: int, thre
     return edges
 
 
-def in_cells(rows: DataFrame, keys: list[str], size: int, by: str, kept: Column) -> DataFrame:
-    """(one, other, x): each key's rows are dealt to parts of about ``size`` rows by the hash of ``by``, and
-    each two parts, and each part with itself, meet in a cell. Keys with a single row are left out."""
-    parts = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys, F.ceil(F.col("n") / size).alias("parts"))
-    dealt = rows.join(parts, keys).withColumn("part", F.pmod(F.xxhash64(by), "parts")).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    cells = dealt.groupBy(*keys, F.least("part", "with").alias("one"), F.greatest("part", "with").alias("other"))
-    return cells.agg(F.collect_list(kept).alias("x")).select("one", "other", "x")
-
-
 def link_counts(members: DataFrame, threshold: float, part: int = 1024) -> DataFrame:
     """(id, links): for each of ``members`` (component, id, n, vec), how many rows the vectors of its
     component at the threshold or above stand for, itself left out. Parts of a component meet in

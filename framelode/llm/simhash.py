@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, ship, table, written
+from .common import components, discard, in_cells, ship, table, written
 
 #: Fingerprints in the largest run that one task compares at once; longer runs are several nodes.
 RUN = 2048
 FAN = 16
 #: Minima in a band of ``near_duplicates``.
 ROWS = 5
+#: Shingles that one task compares at once in it.
+PART = 1 << 18
 _TOP = np.uint64(1 << 63)
 
 
@@ -259,14 +261,32 @@ def near_fingerprints(fps: DataFrame, max_bits: int) -> DataFrame:
                 if (out := edges_out(t, np.concatenate([a, b]), label)) is not None:
                     yield out.select(["u", "v"])
 
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of nodes of a cell whose shared bits differ in no more than ``max_bits``; all others are pruned here, whole."""
+        for batch in batches:
+            for one, other, x in zip(*batch.columns, strict=True):
+                one, sides = one.as_py(), ([], [])
+                for r in x.as_py():
+                    sides[r["part"] != one].append(r)
+                whole = one == other.as_py()
+                a, b = sides[0], sides[0] if whole else sides[1]
+                (na, ma, pa_), (nb, mb, pb) = (tuple(np.array([r[c] for r in z], dtype=np.int64) for c in ("nid", "mask", "pattern")) for z in (a, b))
+                near = np.bitwise_count(((pa_[:, None] ^ pb) & ma[:, None] & mb).view(np.uint64)) <= max_bits
+                i, j = np.nonzero(np.triu(near, 1) if whole else near)
+                yield pa.RecordBatch.from_arrays([pa.array(na[i]), pa.array(nb[j])], names=["a", "b"])
+
     ranked = fps.select("fp").mapInArrow(rank_rows, "tbl int, rank long")
-    found = written(ranked.repartitionByRange("tbl", "rank").sortWithinPartitions("tbl", "rank").mapInArrow(runs, "u long, v long, tbl int, lead long, node long, mask long, pattern long, codes binary"))
+    found = ranked.repartitionByRange("tbl", "rank").sortWithinPartitions("tbl", "rank").mapInArrow(runs, "u long, v long, tbl int, lead long, node long, mask long, pattern long, codes binary")
+    found = written(found.withColumn("nid", F.monotonically_increasing_id()))
     nodes = found.where("codes is not null")
-    a, b = nodes.alias("a"), nodes.alias("b")
-    alike = F.bit_count(F.expr("(a.pattern ^ b.pattern) & a.mask & b.mask")) <= max_bits
-    pairs = a.join(b, (F.col("a.tbl") == F.col("b.tbl")) & (F.col("a.lead") == F.col("b.lead")) & (F.col("a.node") < F.col("b.node")) & alike)
-    cross = pairs.select("a.tbl", F.col("a.codes").alias("x"), F.col("b.codes").alias("y")).mapInArrow(across, "u long, v long")
-    return found.where("codes is null").select("u", "v").union(cross)
+    cells = in_cells(nodes.select("tbl", "lead", "nid", "mask", "pattern"), ["tbl", "lead"], 1024, "nid", F.struct("part", "nid", "mask", "pattern"))
+    pairs = cells.mapInArrow(alike, "a long, b long")
+    a = nodes.select("tbl", F.col("nid").alias("a"), F.col("codes").alias("x"))
+    b = nodes.select(F.col("nid").alias("b"), F.col("codes").alias("y"))
+    cross = pairs.join(a, "a").join(b, "b").select("tbl", "x", "y").mapInArrow(across, "u long, v long")
+    edges = written(found.where("codes is null").select("u", "v").union(cross))
+    discard(found)
+    return edges
 
 
 def simhash_components(docs: DataFrame, shingle_words: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -284,6 +304,7 @@ def simhash_components(docs: DataFrame, shingle_words: int = 3, max_bits: int =
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     of_fp = grouped.select("fp", "component").join(least, "component").select("fp", "component_id")
     of_fp = written(members.join(of_fp, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
+    discard(members)
     return rows.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -315,17 +336,44 @@ def band_keys(shingles: np.ndarray, factors: np.ndarray) -> list[int]:
     return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(bands)], dtype=np.uint64).view(np.int64).tolist()
 
 
-def near_duplicates(docs: DataFrame, verify_words: int = 5, min_similarity: float = 0.8, miss: float = 1e-6, block: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar(sets: list[np.ndarray], least: float, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (i < j) of sorted sets with a Jaccard similarity of at least ``least``; with ``first``, only
+    pairs of the first so many and the others. Shared members are counted in columns, some at once."""
+    n = np.array([len(x) for x in sets])
+    _, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, shared = np.repeat(np.arange(len(sets)), n), often[at] > 1
+    owner, column = owner[shared], (np.cumsum(often > 1) - 1)[at[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    width = max(1, (1 << 22) // len(sets))
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [low, low + width])
+        some = np.zeros((len(sets), width), dtype=np.float32)
+        some[owner[a:b], column[a:b] - low] = 1
+        both += some @ some.T
+    near = np.triu(both >= least * (n[:, None] + n - both) - 1e-6, 1)
+    if first is not None:
+        near[:first, :first] = False
+        near[first:, first:] = False
+    return np.nonzero(near)
+
+
+def near_duplicates(docs: DataFrame, verify_words: int = 5, min_similarity: float = 0.8, miss: float = 1e-6, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, raw, component_id) of rows to remove: near copies of the row that has the smallest id of
     their group. ``raw`` is Spark's hash of the text, which tells rows of one id apart.
 
-    Candidates are chains of texts that share a band of minima of their sets of
-    ``verify_words``-word shingles. Two sets have equal minima with a chance of their Jaccard
-    similarity, wherever they differ, so a pair at ``min_similarity`` is in no chain with a chance
-    of at most ``miss``, and a closer one with less. Within a chain, texts with a similarity of at
-    least ``min_similarity`` are linked; every text is compared with every other one, in blocks,
-    unless both are in one group already. Texts with the same words are one member. Rows with a
-    null id are never removed; an empty table gives no rows.
+    Texts link if the sets of their ``verify_words``-word shingles have a Jaccard similarity of at
+    least ``min_similarity``. Candidates share a bucket: a chain of fingerprints within
+    ``max_bits`` in the Gray-order index, or a band of minima, of which a pair at
+    ``min_similarity`` shares none with a chance of at most ``miss``, wherever the texts differ
+    (fingerprints alone see few such pairs: they differ in 10 of 64 bits). Each text is first
+    compared with the first one of each of its buckets. Texts of buckets that this leaves in
+    several groups are then searched exactly: two sets at the similarity share a member among
+    their rarest, so many as may be missing and one more, and all that share one are compared, in cells.
+
+    Texts with the same words are one member; a null text has no words; a very long one is read
+    whole. Rows with a null id are never removed; an empty table gives no rows.
     """
     factors = np.random.default_rng(3).integers(0, 1 << 64, ROWS * bands_for(min_similarity, miss), dtype=np.uint64) | np.uint64(1)
 
@@ -333,22 +381,14 @@ def near_duplicates(docs: DataFrame, verify_words: int = 5, min_similarity: floa
         import xxhash
 
         for batch in batches:
-            keys, bands = [], []
+            keys, bands, fps = [], [], []
             for text in batch.column(1):
                 words = words_of(text.as_py())
+                hashes = shingle_hashes(words, verify_words)
                 keys.append(xxhash.xxh128_digest(b" ".join(words)))
-                bands.append(band_keys(np.unique(shingle_hashes(words, verify_words)), factors))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "raw", "text_key", "bands"])
-
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("raw")).where("doc_id is not null")
-    rows = written(named.mapInArrow(banded, "doc_id long, raw long, text_key binary, bands array<long>"))
-    members = written(rows.groupBy("text_key").agg(F.min(F.struct("doc_id", "raw")).alias("row"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
-    keyed = members.select("node", F.explode("bands").alias("band"))
-    shared = keyed.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("band", "least")
-    comps = components(keyed.join(shared, "band").select(F.col("node").alias("u"), F.col("least").alias("v")))
-    chain = members.join(comps, "node").withColumnRenamed("component", "chain")
-    sizes = chain.groupBy("chain").agg(F.count("*").alias("n")).where("n > 1")
-    chain = written(chain.join(sizes, "chain").withColumn("blocks", F.ceil(F.col("n") / block)).select("chain", "node", F.col("row.doc_id").alias("doc_id"), "text_key", "blocks", F.pmod(F.xxhash64("text_key"), "blocks").alias("block")))
+                fps.append(fingerprint(hashes))
+                bands.append(band_keys(np.unique(hashes), factors))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "raw", "text_key", "fp", "bands"])
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -359,58 +399,109 @@ def near_duplicates(docs: DataFrame, verify_words: int = 5, min_similarity: floa
                 words = words_of(text.as_py())
                 keys.append(xxhash.xxh128_digest(b" ".join(words)))
                 sets.append(np.unique(shingle_hashes(words, verify_words)).astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["text_key", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary()), pa.array([len(x) // 8 for x in sets], pa.int64())], names=["text_key", "shingles", "size"])
+
+    def of_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pivot, own, others in zip(*batch.columns, strict=True):
+                own, u = np.frombuffer(own.as_py(), dtype="<u8"), []
+                for other in others.as_py():
+                    x = np.frombuffer(other["shingles"], dtype="<u8")
+                    if min(len(own), len(x)) >= min_similarity * max(len(own), len(x)) and jaccard(own, x) >= min_similarity:
+                        u.append(other["node"])
+                if u:
+                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array([pivot.as_py()] * len(u), pa.int64())], names=["u", "v"])
+
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, size, raw in zip(*batch.columns, strict=True):
+                x = np.frombuffer(raw.as_py(), dtype="<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), node.as_py())), pa.array(np.full(len(x), size.as_py())), pa.array(x)], names=["node", "size", "member"])
 
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in batch.to_pylist():
-                ids = [m["node"] for m in c["x"] + (c["y"] or [])]
-                sets = [np.frombuffer(m["shingles"], dtype="<u8") for m in c["x"] + (c["y"] or [])]
-                n, root = len(c["x"]), list(range(len(ids)))
-
-                def find(k: int) -> int:
-                    while root[k] != k:
-                        root[k] = root[root[k]]
-                        k = root[k]
-                    return k
-
-                for i in range(n):
-                    for j in range(n, len(ids)) if c["y"] else range(i + 1, n):
-                        low, high = sorted((len(sets[i]), len(sets[j])))
-                        if low >= min_similarity * high and (p := find(i)) != (q := find(j)) and jaccard(sets[i], sets[j]) >= min_similarity:
-                            root[max(p, q)] = min(p, q)
-                out = [(ids[k], ids[r]) for k in range(len(ids)) if (r := find(k)) != k]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in zip(*out, strict=True)], names=["u", "v"])
-
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(chain.select("doc_id"), "doc_id", "left_semi").select("text")
-    sets = texts.mapInArrow(shingled, "text_key binary, shingles binary").dropDuplicates(["text_key"])
-    blocks = chain.join(sets, "text_key").groupBy("chain", "block", "blocks").agg(F.collect_list(F.struct("node", "shingles")).alias("x"))
-    blocks = written(blocks)
-    a, b = blocks.where("blocks > 1").alias("a"), blocks.where("blocks > 1").alias("b")
-    pairs = a.join(b, (F.col("a.chain") == F.col("b.chain")) & (F.col("a.block") < F.col("b.block"))).select("a.x", F.col("b.x").alias("y"))
-    work = blocks.select("x", F.lit(None).cast(blocks.schema["x"].dataType).alias("y")).union(pairs)
-    links = work.mapInArrow(verified, "u long, v long")
-    comps = components(links)
-    member_of = written(members.join(comps, "node", "left").select("text_key", "row", F.coalesce("component", "node").alias("group")))
+            for one, other, x in zip(*batch.columns, strict=True):
+                one, sides = one.as_py(), ([], [])
+                for r in x.as_py():
+                    sides[r["part"] != one].append(r)
+                if one != other.as_py() and not all(sides):
+                    continue
+                rows = sides[0] + sides[1]
+                i, j = similar([np.frombuffer(r["shingles"], dtype="<u8") for r in rows], min_similarity, len(sides[0]) if sides[1] else None)
+                label = np.arange(len(rows))
+                joined(label, i, j)
+                nodes = np.array([r["node"] for r in rows], dtype=np.int64)
+                moved = np.flatnonzero(label != np.arange(len(rows)))
+                if len(moved):
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], names=["u", "v"])
+
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("raw")).where("doc_id is not null")
+    rows = written(named.mapInArrow(banded, "doc_id long, raw long, text_key binary, fp long, bands array<long>"))
+    members = written(rows.groupBy("text_key").agg(F.min(F.struct("doc_id", "raw")).alias("row"), F.first("fp").alias("fp"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
+    fps = written(members.where("size(bands) > 0").select("fp").distinct())
+    chains = components(near_fingerprints(fps, max_bits)).withColumnRenamed("node", "fp")
+    by_fp = members.where("size(bands) > 0").select("node", "fp").join(chains, "fp", "left").select("node", F.xxhash64(F.lit("fp"), F.coalesce("component", "fp")).alias("bucket"))
+    keyed = members.select("node", F.explode("bands").alias("bucket")).union(by_fp)
+    shared = keyed.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+    held = written(keyed.join(shared, "bucket"))
+    pairs = written(held.where("node <> pivot").select("pivot", "node").distinct())
+
+    met = pairs.select("node").union(pairs.select("pivot")).distinct().join(members.select("node", "text_key", F.col("row.doc_id").alias("doc_id")), "node")
+    met = written(met)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(met.select("doc_id"), "doc_id", "left_semi").select("text")
+    sets = texts.mapInArrow(shingled, "text_key binary, shingles binary, size long").dropDuplicates(["text_key"])
+    sets = written(met.select("node", "text_key").join(sets, "text_key").select("node", "shingles", "size"))
+
+    # each text with the first of each of its buckets; a first one's texts in parts of about PART shingles
+    parts = pairs.join(sets.select("node", "size"), "node").groupBy("pivot").agg(F.ceil(F.sum("size") / PART).alias("parts"))
+    dealt = pairs.join(parts, "pivot").select("pivot", "node", F.pmod(F.xxhash64("node"), "parts").alias("part"))
+    dealt = dealt.join(sets, "node").groupBy("pivot", "part").agg(F.collect_list(F.struct("node", "shingles")).alias("others"))
+    own = sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("own"))
+    first = written(dealt.join(own, "pivot").select("pivot", "own", "others").mapInArrow(of_first, "u long, v long"))
+
+    # texts of buckets of three or more that are in several groups still
+    groups = written(met.select("node").join(components(first), "node", "left").select("node", F.coalesce("component", "node").alias("group")))
+    apart = held.where("n > 2").join(groups, "node").groupBy("bucket").agg(F.min("group").alias("a"), F.max("group").alias("b")).where("a <> b").select("bucket")
+    rest = written(held.where("n > 2").join(apart, "bucket", "left_semi").select("node").distinct().join(groups, "node").join(sets, "node"))
+    exploding = written(rest.select("node", "size", "shingles").mapInArrow(exploded, "node long, size long, member long"))
+    often = exploding.groupBy("member").agg(F.count("*").alias("often")).where("often > 1")
+    many = exploding.join(often, "member").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("often", "member"))).alias("all"))
+    # members that only one text has come first in the order, and lead to no other text
+    missing = F.col("size") - F.ceil(F.lit(min_similarity) * F.col("size") - 1e-6) + 1
+    rare = F.slice("all", F.lit(1), F.greatest(F.lit(0), missing - (F.col("size") - F.size("all"))).cast("int"))
+    sub = written(many.select("node", F.explode(rare).alias("x")).select("node", "x.member").join(groups, "node"))
+    tested = sub.groupBy("member").agg(F.count("*").alias("n"), F.min("group").alias("a"), F.max("group").alias("b"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).where("a <> b")
+    tested = tested.groupBy("n", "who").agg(F.min("member").alias("member")).select("member")  # the same texts once
+    cells = in_cells(sub.join(tested, "member").join(rest.select("node", "shingles", "size"), "node"), ["member"], PART, "node", F.struct("part", "node", "shingles"), "size")
+    links = written(first.union(cells.mapInArrow(compared, "u long, v long")))
+
+    member_of = written(members.join(components(links), "node", "left").select("text_key", "row", F.coalesce("component", "node").alias("group")))
     kept = member_of.groupBy("group").agg(F.min("row").alias("kept"))
     of_text = written(member_of.join(kept, "group").select("text_key", "kept"))
+    discard(fps, members, held, pairs, met, sets, first, groups, rest, exploding, sub, links, member_of)
     gone = rows.select("doc_id", "raw", "text_key").join(of_text, "text_key").where("doc_id <> kept.doc_id or raw <> kept.raw")
     return gone.select("doc_id", "raw", F.col("kept.doc_id").alias("component_id"))
 
 
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each group: that with the smallest id; of repeated rows, one."""
+    """``docs`` with one row of each group: that with the smallest id; of repeated rows, one.
+
+    Columns are as they were, whatever their names. Rows with a null id stay; a null or empty text
+    is like any other without words; of an id with several texts, those that are no copies stay; an
+    empty table stays empty."""
     ship(docs.sparkSession)
-    key = options.get("id_col", "doc_id")
-    gone = written(near_duplicates(docs, **options)).select(F.col("doc_id").alias("_gone_id"), F.col("raw").alias("_gone_raw")).distinct()
-    same = (F.col(key).cast("long") == F.col("_gone_id")) & (F.xxhash64(options.get("text_col", "text")) == F.col("_gone_raw"))
-    left = docs.join(gone, same, "left_anti")
-    repeated = docs.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
+    key, text = (F.col(options.get(c, d)) for c, d in (("id_col", "doc_id"), ("text_col", "text")))
+    taken = {c.lower() for c in docs.columns}
+    gone_id, gone_raw, n = (next(x for x in (f"_{c}{i}" for i in range(len(taken) + 1)) if x not in taken) for c in ("id", "raw", "n"))
+    found = written(near_duplicates(docs, **options))
+    gone = found.select(F.col("doc_id").alias(gone_id), F.col("raw").alias(gone_raw)).distinct()
+    left = docs.join(gone, (key.cast("long") == F.col(gone_id)) & (F.xxhash64(text) == F.col(gone_raw)), "left_anti")
+    repeated = docs.where(key.isNotNull()).groupBy(key.alias(gone_id)).agg(F.count("*").alias(n)).where(F.col(n) > 1).select(gone_id)
     if repeated.isEmpty():
         return left
-    again = left.join(repeated, key, "left_semi").dropDuplicates([key, options.get("text_col", "text")])
-    return left.join(repeated, key, "left_anti").union(again)
+    same = key == F.col(gone_id)
+    again = left.join(repeated, same, "left_semi").dropDuplicates([options.get("id_col", "doc_id"), options.get("text_col", "text")])
+    return left.join(repeated, same, "left_anti").union(again)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

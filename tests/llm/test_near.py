@@ -90,7 +90,7 @@ def test_one_document_of_each_near_duplicate_group_stays(spark):
         near.append(rows[-1][0])
     rows += [(None, rows[0][1]), (0, rows[0][1])]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, component string")
-    left = simhash.without_near_duplicates(docs, block=4)
+    left = simhash.without_near_duplicates(docs)
     assert left.columns == docs.columns
     got = Counter(r["doc_id"] for r in left.collect())
     assert all(n == 1 for n in got.values()) and None in got
