@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, table, written
+from .common import by_group, discard, table, written
 from .vectors import matrix, usable
 
 
@@ -171,7 +171,7 @@ def best_of(ids: np.ndarray, x: np.ndarray, q_ids: list[int], q: np.ndarray, k:
             yield query, ids[own[first]], exact[first]
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, parts: int | None = None, recall: float = 0.97, sample: int = 4096, block: int = 8192, query_block: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, parts: int | None = None, recall: float = 0.97, sample: int = 4096, block: int = 1024, query_block: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest rows found, by Euclidean distance.
 
     A query's own id is no candidate; all candidates are returned if they are fewer than ``k``
@@ -214,8 +214,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, parts: int | None
     kinds = "id long, dim int, vec binary, part int"
     homes = written(base.mapInArrow(routed(1), kinds))
     discard(base)
-    sizes = homes.groupBy("dim", "part").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    data = homes.join(sizes, ["dim", "part"]).groupBy("dim", "part", F.pmod(F.xxhash64("id"), "blocks").alias("block")).agg(F.collect_list("id").alias("ids"), F.collect_list("vec").alias("vecs"))
+    sizes = written(homes.groupBy("dim", "part").agg(F.ceil(F.count("*") / block).alias("blocks"), F.count("*").alias("_n")))
+    data = by_group(homes, sizes, ["dim", "part"]).groupBy("dim", "part", F.pmod(F.xxhash64("id"), "blocks").alias("block")).agg(F.collect_list("id").alias("ids"), F.collect_list("vec").alias("vecs"))
     asked = usable(queries, id_col, vec_col).groupBy("id").agg(F.min(F.struct("dim", "vec")).alias("x")).select("id", "x.dim", "x.vec").mapInArrow(routed(router.probes if router else 1), kinds)
     total = queries.count()
     asked = asked.join(sizes, ["dim", "part"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))

@@ -88,13 +88,29 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Most keys that :func:`by_group` broadcasts.
+HOT = 10_000
+
+
+def by_group(rows: DataFrame, groups: DataFrame, keys: list[str], total: int | None = None) -> DataFrame:
+    """``rows`` joined with ``groups``, which has a row for each key and in ``_n`` how many rows the key has.
+
+    Keys with more than a ``HOT``-th of all rows, of which there are at most ``HOT``, are broadcast,
+    so that their rows stay where they are; the others meet by key, in groups of a bounded share."""
+    total = rows.count() if total is None else total
+    usual = max(64, -(-total // HOT))
+    hot = F.broadcast(groups.where(F.col("_n") > usual).drop("_n"))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(groups.where(F.col("_n") <= usual).drop("_n"), keys)
+    return rows.join(hot, keys).unionByName(rest)
+
+
 def in_cells(rows: DataFrame, keys: list[str], size: int, by: str, kept: Column, weight: str | None = None) -> DataFrame:
     """(one, other, x): each key's rows are dealt to parts of about ``size`` rows (or of that much ``weight``) by
     the hash of ``by``, and each two parts, and each part with itself, meet in a cell. Keys with a
     single row are left out; ``kept`` is what a row brings, its ``part`` among it."""
-    parts = rows.groupBy(*keys).agg(F.count("*").alias("n"), (F.count("*") if weight is None else F.sum(weight)).alias("all"))
-    parts = parts.where("n > 1").select(*keys, F.least("n", F.greatest(F.lit(1), F.ceil(F.col("all") / size))).alias("parts"))
-    dealt = rows.join(parts, keys).withColumn("part", F.pmod(F.xxhash64(by), "parts")).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    parts = rows.groupBy(*keys).agg(F.count("*").alias("_n"), (F.count("*") if weight is None else F.sum(weight)).alias("all"))
+    parts = parts.where("_n > 1").withColumn("parts", F.least("_n", F.greatest(F.lit(1), F.ceil(F.col("all") / size)))).drop("all")
+    dealt = by_group(rows, parts, keys).withColumn("part", F.pmod(F.xxhash64(by), "parts")).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     cells = dealt.groupBy(*keys, F.least("part", "with").alias("one"), F.greatest("part", "with").alias("other"))
     return cells.agg(F.collect_list(kept).alias("x")).select("one", "other", "x")
 
@@ -103,25 +119,25 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v): the smallest node reachable.
 
     Alternating large-star and small-star steps. Each step is a grouped minimum (combined
-    before the shuffle) joined back, so a node with very many edges is never one task's list.
-    Self-loops and repeated edges are harmless; nodes without an edge don't appear; an empty
-    table gives an empty table.
+    before the shuffle) joined back, the few nodes with very many edges by broadcast, so that no
+    node's edges are one task's. Self-loops and repeated edges are harmless; nodes without an edge
+    don't appear; an empty table gives an empty table.
     """
     e = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v").distinct()
     e = checkpointed(e)
-    before = None
+    before, rows = None, e.count()
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("_n"))
+        large = by_group(both.where("v > u"), least, ["u"], 2 * rows).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        down = checkpointed(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+        least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
+        small = by_group(down, least, ["u"], 2 * rows).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         e = checkpointed(small.where("u <> v").distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1000003)))).first()
         if now == before:
             break
-        before = now
+        before, rows = now, now[0]
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     stars = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")

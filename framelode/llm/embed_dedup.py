@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, discard, in_cells, table, written
+from .common import by_group, components, discard, in_cells, table, written
 from .simhash import joined
 from .vectors import matrix, scaled, usable
 
@@ -218,12 +218,12 @@ def embedding_duplicates(df: DataFrame, threshold: float = 0.98, window: int = 1
     bits = bits_for(reps, window, threshold, miss, seed)
     edges = sorted_pass_edges(reps, bits, passes_of(bits, threshold, miss), window, threshold, seed)
     members = written(reps.join(components(edges).withColumnRenamed("node", "id"), "id").select("component", "id", "least", "n", "vec"))
-    names = members.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = members.select("id", "component").join(names, "component").select("id", "component_id")
+    names = members.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("_n"))
+    of = by_group(members.select("id", "component"), names, ["component"]).select("id", "component_id")
     found = reps.select("copy", "id", "n", "least").join(link_counts(members, threshold), "id", "left").join(of, "id", "left")
-    found = written(found.select("copy", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least").alias("component_id")))
+    found = written(found.select("copy", F.col("n").alias("_n"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least").alias("component_id")))
     discard(reps, edges, members)
-    linked = rows.select("vec_id", "copy").join(found, "copy").select("vec_id", "n_links", "component_id")
+    linked = by_group(rows.select("vec_id", "copy"), found, ["copy"]).select("vec_id", "n_links", "component_id")
     whole = F.expr("vec_id is not null and label is not null and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
     alone = named.withColumn("v", F.col("embedding").cast("array<double>")).where(~F.coalesce(whole, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).select("*", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))

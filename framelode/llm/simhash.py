@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, discard, in_cells, ship, table, written
+from .common import by_group, components, discard, in_cells, ship, table, written
 
 #: Fingerprints in the largest run that one task compares at once; longer runs are several nodes.
 RUN = 2048
@@ -298,14 +298,14 @@ def simhash_components(docs: DataFrame, shingle_words: int = 3, max_bits: int =
     are not read; an empty table gives no rows.
     """
     rows = written(fingerprints(docs, shingle_words, id_col, text_col).select("doc_id", "fp"))
-    members = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    members = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("_n")))
     comps = components(near_fingerprints(members, max_bits)).withColumnRenamed("node", "fp")
-    grouped = members.join(comps, "fp")
-    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_fp = grouped.select("fp", "component").join(least, "component").select("fp", "component_id")
-    of_fp = written(members.join(of_fp, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
-    discard(members)
-    return rows.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    grouped = written(members.drop("_n").join(comps, "fp"))
+    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("_n"))
+    of_fp = by_group(grouped.select("fp", "component"), least, ["component"]).select("fp", "component_id")
+    of_fp = written(members.join(of_fp, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "_n"))
+    discard(members, grouped)
+    return by_group(rows, of_fp, ["fp"]).select("doc_id", "fp", "component_id")
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -442,8 +442,8 @@ def near_duplicates(docs: DataFrame, verify_words: int = 5, min_similarity: floa
     chains = components(near_fingerprints(fps, max_bits)).withColumnRenamed("node", "fp")
     by_fp = members.where("size(bands) > 0").select("node", "fp").join(chains, "fp", "left").select("node", F.xxhash64(F.lit("fp"), F.coalesce("component", "fp")).alias("bucket"))
     keyed = members.select("node", F.explode("bands").alias("bucket")).union(by_fp)
-    shared = keyed.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    held = written(keyed.join(shared, "bucket"))
+    shared = keyed.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n"), F.count("*").alias("_n")).where("n > 1")
+    held = written(by_group(keyed, shared, ["bucket"], (1 + len(factors) // ROWS) * members.count()))
     pairs = written(held.where("node <> pivot").select("pivot", "node").distinct())
 
     met = pairs.select("node").union(pairs.select("pivot")).distinct().join(members.select("node", "text_key", F.col("row.doc_id").alias("doc_id")), "node")
@@ -453,33 +453,34 @@ def near_duplicates(docs: DataFrame, verify_words: int = 5, min_similarity: floa
     sets = written(met.select("node", "text_key").join(sets, "text_key").select("node", "shingles", "size"))
 
     # each text with the first of each of its buckets; a first one's texts in parts of about PART shingles
-    parts = pairs.join(sets.select("node", "size"), "node").groupBy("pivot").agg(F.ceil(F.sum("size") / PART).alias("parts"))
-    dealt = pairs.join(parts, "pivot").select("pivot", "node", F.pmod(F.xxhash64("node"), "parts").alias("part"))
+    parts = pairs.join(sets.select("node", "size"), "node").groupBy("pivot").agg(F.ceil(F.sum("size") / PART).alias("parts"), F.count("*").alias("_n"))
+    dealt = by_group(pairs, parts, ["pivot"]).select("pivot", "node", F.pmod(F.xxhash64("node"), "parts").alias("part"))
     dealt = dealt.join(sets, "node").groupBy("pivot", "part").agg(F.collect_list(F.struct("node", "shingles")).alias("others"))
     own = sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("own"))
     first = written(dealt.join(own, "pivot").select("pivot", "own", "others").mapInArrow(of_first, "u long, v long"))
 
     # texts of buckets of three or more that are in several groups still
     groups = written(met.select("node").join(components(first), "node", "left").select("node", F.coalesce("component", "node").alias("group")))
-    apart = held.where("n > 2").join(groups, "node").groupBy("bucket").agg(F.min("group").alias("a"), F.max("group").alias("b")).where("a <> b").select("bucket")
-    rest = written(held.where("n > 2").join(apart, "bucket", "left_semi").select("node").distinct().join(groups, "node").join(sets, "node"))
+    apart = held.where("n > 2").join(groups, "node").groupBy("bucket").agg(F.min("group").alias("a"), F.max("group").alias("b"), F.count("*").alias("_n")).where("a <> b").select("bucket", "_n")
+    rest = written(by_group(held.where("n > 2").select("bucket", "node"), apart, ["bucket"]).select("node").distinct().join(groups, "node").join(sets, "node"))
     exploding = written(rest.select("node", "size", "shingles").mapInArrow(exploded, "node long, size long, member long"))
-    often = exploding.groupBy("member").agg(F.count("*").alias("often")).where("often > 1")
-    many = exploding.join(often, "member").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("often", "member"))).alias("all"))
+    often = exploding.groupBy("member").agg(F.count("*").alias("n"), F.count("*").alias("_n")).where("n > 1")
+    many = by_group(exploding, often, ["member"]).groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "member"))).alias("all"))
     # members that only one text has come first in the order, and lead to no other text
     missing = F.col("size") - F.ceil(F.lit(min_similarity) * F.col("size") - 1e-6) + 1
     rare = F.slice("all", F.lit(1), F.greatest(F.lit(0), missing - (F.col("size") - F.size("all"))).cast("int"))
     sub = written(many.select("node", F.explode(rare).alias("x")).select("node", "x.member").join(groups, "node"))
     tested = sub.groupBy("member").agg(F.count("*").alias("n"), F.min("group").alias("a"), F.max("group").alias("b"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).where("a <> b")
-    tested = tested.groupBy("n", "who").agg(F.min("member").alias("member")).select("member")  # the same texts once
-    cells = in_cells(sub.join(tested, "member").join(rest.select("node", "shingles", "size"), "node"), ["member"], PART, "node", F.struct("part", "node", "shingles"), "size")
+    tested = tested.groupBy(F.col("n").alias("_n"), "who").agg(F.min("member").alias("member")).drop("who")  # the same texts once
+    cells = in_cells(by_group(sub, tested, ["member"]).join(rest.select("node", "shingles", "size"), "node"), ["member"], PART, "node", F.struct("part", "node", "shingles"), "size")
     links = written(first.union(cells.mapInArrow(compared, "u long, v long")))
 
     member_of = written(members.join(components(links), "node", "left").select("text_key", "row", F.coalesce("component", "node").alias("group")))
-    kept = member_of.groupBy("group").agg(F.min("row").alias("kept"))
-    of_text = written(member_of.join(kept, "group").select("text_key", "kept"))
+    kept = member_of.groupBy("group").agg(F.min("row").alias("kept"), F.count("*").alias("_n"))
+    copies = rows.groupBy("text_key").agg(F.count("*").alias("_n"))
+    of_text = written(by_group(member_of, kept, ["group"]).select("text_key", "kept").join(copies, "text_key"))
     discard(fps, members, held, pairs, met, sets, first, groups, rest, exploding, sub, links, member_of)
-    gone = rows.select("doc_id", "raw", "text_key").join(of_text, "text_key").where("doc_id <> kept.doc_id or raw <> kept.raw")
+    gone = by_group(rows.select("doc_id", "raw", "text_key"), of_text, ["text_key"]).where("doc_id <> kept.doc_id or raw <> kept.raw")
     return gone.select("doc_id", "raw", F.col("kept.doc_id").alias("component_id"))
 
 
