@@ -82,6 +82,21 @@ def test_trees_find_rewritten_spans_and_leave_others(spark):
     assert out.where("text rlike '@|4[0-9]{15}|555-'").isEmpty()
 
 
+def test_every_generator_adds_spans_and_the_layout_changes_nothing(spark):
+    ship(spark)
+    rng = random.Random(12)
+    texts = [t for i in range(400) for t in (f"the server at {rng.randint(1, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)} is up", f"write to bob{i}@mail.example.com soon", f"version {rng.randint(256, 999)}.2.0.1 of it at 10:20:{rng.randint(10, 59)}", f"call +1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)} soon")]
+    texts += [f"host 2001:0db8:85a3:0:0:8a2e:{rng.randrange(1 << 16):04x}:{rng.randrange(1 << 16):04x} answers" for _ in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one, other = pii.fit(docs.coalesce(1)), pii.fit(docs.repartition(7))
+    for name in ("feature", "cut", "leaf", "threshold"):
+        assert np.array_equal(getattr(one, name), getattr(other, name)), name
+    spans = {r["doc_id"]: r["spans"] for r in pii.find_pii(docs, one).collect()}
+    assert all(spans[i].startswith("ip:5:") for i in range(1600, 1700))
+    ((_, got),) = pii.all_spans(["my address is bob7 (at) mail.example.com or 0044 (555) 123-4567 now, disk 00:25:90:11:12:13:14:15"], one)
+    assert [k for _, k, _ in got] == [0, 3]
+
+
 def test_numbers_beside_others_are_proposed_and_found(spark):
     ship(spark)
     rng = random.Random(4)
