@@ -214,6 +214,27 @@ def _counts(labelled: DataFrame) -> DataFrame:
     return rows.groupBy("k").agg(*(F.sum(c).alias(c) for c in CELLS))
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows of a task as one: how many, and each column's bytes, by planes and compressed; the first column as steps."""
+    import zstandard
+
+    parts = list(batches)
+    if not sum(p.num_rows for p in parts):
+        return
+    squeeze = zstandard.ZstdCompressor(level=1)
+    columns = [np.concatenate([p.column(i).to_numpy() for p in parts]).astype(np.int32) for i in range(parts[0].num_columns)]
+    order = np.argsort(columns[0])
+    columns = [np.diff(columns[0][order], prepend=np.int32(0)), *(c[order] for c in columns[1:])]
+    raw = [squeeze.compress(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 4).T.tobytes()) for c in columns]
+    yield pa.RecordBatch.from_arrays([pa.array([len(order)], pa.int32()), pa.array([raw], pa.list_(pa.binary()))], names=["n", "x"])
+
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    import zstandard
+
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8).reshape(4, n).T).view("<i4").reshape(-1)
+
+
 def fit(labelled: DataFrame, calibration_rows: int = 20_000, cells: int = PAIRS) -> Model:
     """``labelled``: (doc_id, fold 0 or 1, toxic 0 or 1, text). Counts are of all its rows.
 
@@ -225,18 +246,22 @@ def fit(labelled: DataFrame, calibration_rows: int = 20_000, cells: int = PAIRS)
     pairs = counts.where("k >= 0")
 
     def spread(df: DataFrame, size: int) -> np.ndarray:
-        """A column for each of ``df``'s after the first, which says where."""
-        t = df.toArrow()
-        out = np.zeros((t.num_columns - 1, size), dtype=np.float32)
-        for i in range(len(out)):
-            out[i, t.column(0).to_numpy()] = t.column(i + 1).to_numpy()
+        """A column for each of ``df``'s after the first, which says where; compressed on the way to the driver."""
+        out = np.zeros((len(df.columns) - 1, size), dtype=np.float32)
+        for n, packed in df.mapInArrow(_packed, "n int, x array<binary>").collect():  # some MB
+            at = np.cumsum(_unpacked(packed[0], n))
+            for i, column in enumerate(packed[1:]):
+                out[i, at] = _unpacked(column, n)
         return out
 
-    of_word = spread(counts.where("k < 0").select(F.expr("-1 - k"), *(F.col(c).cast("float") for c in CELLS)), SPAN)
-    kinds = [(F.col(f"n{t}") > 0).cast("float") for t in (0, 1)] + [((F.col(f"n{t}") + F.col(f"n{t + 2}")) > 0).cast("float") for t in (0, 1)]
-    by_first = spread(pairs.groupBy(F.expr(f"k div {SPAN}")).agg(*(F.sum(c).cast("float") for c in CELLS), *(F.sum(x).cast("float") for x in kinds)), SPAN)
-    by_last = spread(pairs.groupBy(F.expr(f"k % {SPAN}")).agg(F.sum(kinds[0] + kinds[1]).cast("float"), F.sum(kinds[2] + kinds[3]).cast("float")), SPAN)
-    of_pair = spread(pairs.groupBy(F.expr(f"k % {cells}")).agg(*(F.sum(c).cast("float") for c in CELLS)), cells)
+    def capped(c: Column) -> Column:
+        return F.least(c, F.lit((1 << 31) - 1)).cast("int")
+
+    of_word = spread(counts.where("k < 0").select(F.expr("int(-1 - k)"), *(capped(F.col(c)) for c in CELLS)), SPAN)
+    kinds = [(F.col(f"n{t}") > 0).cast("long") for t in (0, 1)] + [((F.col(f"n{t}") + F.col(f"n{t + 2}")) > 0).cast("long") for t in (0, 1)]
+    by_first = spread(pairs.groupBy(F.expr(f"int(k div {SPAN})")).agg(*(capped(F.sum(c)) for c in CELLS), *(capped(F.sum(x)) for x in kinds)), SPAN)
+    by_last = spread(pairs.groupBy(F.expr(f"int(k % {SPAN})")).agg(capped(F.sum(kinds[0] + kinds[1])), capped(F.sum(kinds[2] + kinds[3]))), SPAN)
+    of_pair = spread(pairs.groupBy(F.expr(f"int(k % {cells})")).agg(*(capped(F.sum(c)) for c in CELLS)), cells)
     discard(counts)
 
     def model(folds: int, weights: np.ndarray, prior: float) -> Model:
