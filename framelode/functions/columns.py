@@ -55,8 +55,13 @@ def normal_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
 
 
+def stripped(c: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(c, r"^[\s\x1c-\x1f\x85\p{Z}]+|[\s\x1c-\x1f\x85\p{Z}]+$", "")
+
+
 def clean_query(c: Column) -> Column:
-    return F.lower(F.trim(c))
+    return F.lower(stripped(c))
 
 
 def yes_probability(yes: Column, no: Column) -> Column:
@@ -65,7 +70,7 @@ def yes_probability(yes: Column, no: Column) -> Column:
 
 
 def yes_no_question(query: Column, translated: Column | None = None) -> Column:
-    plain = F.trim(F.regexp_replace(F.coalesce(translated, query) if translated is not None else query, '"', ""))
+    plain = stripped(F.regexp_replace(F.coalesce(translated, query) if translated is not None else query, '"', ""))
     return F.concat(F.lit("Is there a "), F.lower(plain), F.lit("?"))
 
 
@@ -76,8 +81,8 @@ def query_plan(query: Column) -> Column:
     makes the rest a speech query too. Without a visual query its weight goes to the others."""
     quoted = F.regexp_extract_all(query, F.lit('"([^"]*)"'), F.lit(1))
     has_ocr = F.size(quoted) > 0
-    ocr = F.when(has_ocr, F.trim(F.array_join(quoted, " "))).otherwise("")
-    visual = F.when(has_ocr, F.trim(F.regexp_replace(query, '"[^"]*"', ""))).otherwise(query)
+    ocr = F.when(has_ocr, stripped(F.array_join(quoted, " "))).otherwise("")
+    visual = F.when(has_ocr, stripped(F.regexp_replace(query, '"[^"]*"', ""))).otherwise(query)
     speech = F.exists(F.array(*map(F.lit, SPEECH_WORDS)), lambda w: F.contains(F.lower(query), w))
     asr = F.when(speech, visual).otherwise("")
 
@@ -87,3 +92,8 @@ def query_plan(query: Column) -> Column:
     seen = F.when(has_ocr & speech, weights(0.4, 0.3, 0.3)).when(has_ocr, weights(0.5, 0.5, 0.0)).when(speech, weights(0.7, 0.0, 0.3)).otherwise(weights(1.0, 0.0, 0.0))
     unseen = F.when(has_ocr & speech, weights(0.0, 0.5, 0.5)).when(has_ocr, weights(0.0, 1.0, 0.0)).when(speech, weights(0.0, 0.0, 1.0)).otherwise(weights(0.0, 0.0, 0.0))
     return F.struct(query.alias("original_query"), visual.alias("visual_query"), ocr.alias("ocr_query"), asr.alias("asr_query"), F.when(visual == "", unseen).otherwise(seen).alias("weights"))
+
+
+def runs(plan: Column, source: str) -> Column:
+    """Whether a query plan searches ``source``: its part of the query isn't empty and has a weight."""
+    return (plan[f"{source}_query"] != "") & (plan["weights"][source] > 0)

@@ -35,13 +35,13 @@ def unmatched(segments: DataFrame, frames: DataFrame, keys: list[str]) -> DataFr
 
 
 def enrich(docs: DataFrame, frames: DataFrame, on: str = "faiss_id") -> DataFrame:
-    """Documents with their frame's columns; one without a frame keeps nulls."""
+    """Documents with their frame's columns; one without a frame keeps nulls. ``frames`` has a row for each id."""
     return docs.join(frames, on, "left")
 
 
 def with_fallback_path(rows: DataFrame, files: DataFrame, first: Column, second: Column) -> DataFrame:
     """``asset``: ``first`` if ``files`` (path) has it, else ``second``, else null."""
-    a, b = (files.select(F.col("path").alias(n)) for n in ("_a", "_b"))
+    a, b = (files.select(F.col("path").alias(n)).distinct() for n in ("_a", "_b"))
     return rows.join(a, first == F.col("_a"), "left").join(b, second == F.col("_b"), "left").withColumn("asset", F.coalesce("_a", "_b")).drop("_a", "_b")
 
 

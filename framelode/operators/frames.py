@@ -96,8 +96,14 @@ def first_by_id(frames: DataFrame, n: int, id_col: str = "faiss_id") -> DataFram
     return frames.orderBy(id_col).limit(n)
 
 
+def first_with_assets(frames: DataFrame, assets: DataFrame, n: int, on: str, order: str = "faiss_id") -> DataFrame:
+    """The first ``n`` of the frames that have an asset."""
+    return with_assets(frames, assets, on).orderBy(order).limit(n)
+
+
 def deterministic_sample(df: DataFrame, id_col: str, n: int = 25, seed: int = 42) -> DataFrame:
-    return df.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(n)
+    """``n`` rows, always the same ones of a table: those with the least digests of seed and id."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col))), id_col).limit(n)
 
 
 def check_counts(vectors: DataFrame, frames: DataFrame) -> DataFrame:

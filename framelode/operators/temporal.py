@@ -28,7 +28,8 @@ def decayed(base: Column, gap: Column, alpha: float) -> Column:
 
 
 def beam_search(found: DataFrame, keys: list[str], n_events: int, beam: int = 50, alpha: float = 0.01) -> DataFrame:
-    """(query_id, *keys, frames, base_score, total_score, order): up to ``beam`` chains of each video.
+    """(query_id, *keys, frames, base_score, total_score, first, order): up to ``beam`` chains of each video;
+    ``first`` is the rank of the video's best candidate of the first event.
 
     A chain takes one candidate of each event, each with a larger ``global_frame_id`` than the
     one before. Its score is the sum of scores, decayed by the time since its first frame. Ties
@@ -37,7 +38,7 @@ def beam_search(found: DataFrame, keys: list[str], n_events: int, beam: int = 50
     """
     group = ["query_id", *keys]
     frame = F.struct(*CANDIDATE)
-    start = found.where("event_idx = 0").select(*group, F.array(frame).alias("frames"), F.col("score").alias("base_score"), F.col("score").alias("total_score"), F.row_number().over(W.partitionBy(*group).orderBy(F.desc("score"), "cand_rank")).alias("order"))
+    start = found.where("event_idx = 0").select(*group, F.array(frame).alias("frames"), F.col("score").alias("base_score"), F.col("score").alias("total_score"), F.min("cand_rank").over(W.partitionBy(*group)).alias("first"), F.row_number().over(W.partitionBy(*group).orderBy(F.desc("score"), "cand_rank")).alias("order"))
     chains = start.where(F.col("order") <= beam)
     for step in range(1, n_events):
         nxt = found.where(F.col("event_idx") == step).select(*group, frame.alias("_f"))
@@ -45,7 +46,7 @@ def beam_search(found: DataFrame, keys: list[str], n_events: int, beam: int = 50
         longer = chains.join(nxt, group).where(F.col("_f.global_frame_id") > last)
         base = F.col("base_score") + F.col("_f.score")
         gap = F.col("_f.timestamp") - F.element_at("frames", 1)["timestamp"]
-        longer = longer.select(*group, F.concat("frames", F.array("_f")).alias("frames"), base.alias("base_score"), decayed(base, gap, alpha).alias("total_score"), F.col("order").alias("_parent"), F.col("_f.global_frame_id").alias("_g"), F.col("_f.cand_rank").alias("_c"))
+        longer = longer.select(*group, F.concat("frames", F.array("_f")).alias("frames"), base.alias("base_score"), decayed(base, gap, alpha).alias("total_score"), "first", F.col("order").alias("_parent"), F.col("_f.global_frame_id").alias("_g"), F.col("_f.cand_rank").alias("_c"))
         order = W.partitionBy(*group).orderBy(F.desc("total_score"), "_parent", "_g", "_c")
         chains = longer.withColumn("order", F.row_number().over(order)).where(F.col("order") <= beam).drop("_parent", "_g", "_c")
     return chains
@@ -56,19 +57,19 @@ def splits_of(frames: str = "frames") -> Column:
 
 
 def ranked_sequences(chains: DataFrame, keys: list[str], n: int = 20) -> DataFrame:
-    """The ``n`` best chains of each query, ``seq`` from 1; ties go to the video whose first candidate
-    came first, then in the video's order."""
-    first = F.element_at("frames", 1)["cand_rank"]
-    order = W.partitionBy("query_id").orderBy(F.desc("total_score"), first, *keys, "order")
+    """The ``n`` best chains of each query, ``seq`` from 1; ties go to the video that came first among
+    the first event's candidates, then in the video's order."""
+    order = W.partitionBy("query_id").orderBy(F.desc("total_score"), "first", *keys, "order")
     return chains.withColumn("seq", F.row_number().over(order).cast("bigint")).where(F.col("seq") <= n)
 
 
 def validated(sequences: DataFrame, model_scores: DataFrame, n_events: int, keep: float = 0.7, blend: float = 0.3) -> DataFrame:
-    """``sequences`` with ``vqa_confidence`` (the mean of their frames' scores (query_id, event_idx,
+    """``sequences`` with ``vqa_confidence`` (the mean of their frames' scores ([query_id, event_idx,]
     faiss_id, vqa); a missing one is 0) blended into ``total_score``, and numbered anew."""
-    frames = sequences.select("query_id", "seq", F.posexplode("frames").alias("event_idx", "f")).select("query_id", "seq", "event_idx", F.col("f.faiss_id").alias("faiss_id"))
-    means = frames.join(model_scores, ["query_id", "event_idx", "faiss_id"], "left").groupBy("query_id", "seq").agg(F.avg(F.coalesce("vqa", F.lit(0.0))).alias("vqa_confidence"))
-    blended = sequences.join(means, ["query_id", "seq"]).withColumn("total_score", F.lit(keep) * F.col("total_score") + F.lit(blend) * F.col("vqa_confidence") * F.lit(n_events))
+    on = [c for c in ("query_id", "event_idx", "faiss_id") if c in model_scores.columns]
+    frames = sequences.select("query_id", "seq", F.struct(*sequences.columns).alias("_s"), F.posexplode("frames").alias("event_idx", "_f")).withColumn("faiss_id", F.col("_f.faiss_id"))
+    means = frames.join(model_scores.select(*on, "vqa"), on, "left").groupBy("query_id", "seq").agg(F.avg(F.coalesce("vqa", F.lit(0.0))).alias("vqa_confidence"), F.first("_s").alias("_s"))
+    blended = means.select("_s.*", "vqa_confidence").withColumn("total_score", F.lit(keep) * F.col("total_score") + F.lit(blend) * F.col("vqa_confidence") * F.lit(n_events))
     order = W.partitionBy("query_id").orderBy(F.round("total_score", 9).desc(), "seq")
     return blended.withColumn("new_seq", F.row_number().over(order).cast("bigint"))
 

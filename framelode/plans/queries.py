@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import align, frames, fusion, temporal, text, vectors
+from ..operators import align, frames, fusion, search, temporal, text, vectors
 from ..sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,10 +108,6 @@ def vector_batch_validation(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("faiss_id", tables.vectors_fit({"embedding": 64}).alias("fits"), F.size(fixed).cast("bigint").alias("dim"))
 
 
-def _space(rows: DataFrame, first: int) -> DataFrame:
-    return rows.withColumn("embedding", F.slice("embedding", first, 32))
-
-
 _TWO_SPACES = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, x.vec_id AS id, l.n AS list_no, list_dot_product(q.e[l.a:l.b], x.e[l.a:l.b]) AS score
       FROM v q CROSS JOIN v x CROSS JOIN (VALUES (0, 1, 32), (1, 33, 64)) l(n, a, b) WHERE q.vec_id % 100 = 0),
@@ -118,20 +115,22 @@ hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, list
 """
 
 
-def _two_spaces(spark: SparkSession, d: str) -> DataFrame:
-    rows, found = _frames(spark, d), None
-    for n, first in enumerate((1, 33)):
-        part = _space(rows, first)
-        hits = vectors.knn(_asked(part), part, 20).withColumn("list_no", F.lit(n)).withColumn("source", F.lit(f"space{n}"))
-        found = hits if found is None else found.union(hits)
-    return found.withColumnRenamed("faiss_id", "id")
+_SPACES = {"space0": ("q0", "v0"), "space1": ("q1", "v1")}
+
+
+def _two_spaces(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Queries and rows with the halves of their vectors as two spaces."""
+    rows = _frames(spark, d)
+    halves = rows.select("faiss_id", F.slice("embedding", 1, 32).alias("v0"), F.slice("embedding", 33, 32).alias("v1"))
+    asked = halves.where("faiss_id % 100 = 0").selectExpr("faiss_id as query_id", "v0 as q0", "v1 as q1")
+    return asked, halves
 
 
 @query(_TWO_SPACES + """, f AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS s, arg_min('space' || list_no, list_no * 1000 + rank) AS source FROM hits GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, id) AS rank FROM f)
 SELECT query_id, rank, id, round(s, 9) AS rrf_score, source FROM r""")
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.rrf(_two_spaces(spark, d)).select("query_id", "rank", "id", F.round("rrf_score", 9).alias("rrf_score"), "source")
+    return search.multi_space_search(*_two_spaces(spark, d), _SPACES, 20).select("query_id", "rank", "id", F.round("rrf_score", 9).alias("rrf_score"), "source")
 
 
 @query(_TWO_SPACES + """, m AS (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM hits WINDOW w AS (PARTITION BY query_id, list_no)),
@@ -139,7 +138,7 @@ f AS (SELECT query_id, id, sum((score - lo) / (hi - lo + 1e-6)) AS s FROM m GROU
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS rank FROM f)
 SELECT query_id, rank, id, round(s, 6) AS score FROM r""")
 def additive_merge(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.additive_merge(_two_spaces(spark, d)).select("query_id", "rank", "id", r6("score").alias("score"))
+    return fusion.additive_merge(vectors.knn_spaces(*_two_spaces(spark, d), _SPACES, 20)).select("query_id", "rank", "id", r6("score").alias("score"))
 
 
 @query("""WITH m AS (SELECT doc_id, source, n_chars, min(n_chars) OVER (PARTITION BY source) AS lo, max(n_chars) OVER (PARTITION BY source) AS hi FROM documents)
@@ -155,7 +154,7 @@ SELECT query_id, rank, faiss_id, round(pseudo, 6) AS pseudo, round((pseudo - lo)
 def rank_pseudo_minmax(spark: SparkSession, d: str) -> DataFrame:
     rows = _frames(spark, d)
     hits = vectors.knn(_asked(rows), rows, 50).withColumn("pseudo", _pseudo(50))
-    return fusion.minmax(hits, ["query_id"], "pseudo").select("query_id", "rank", "faiss_id", r6("pseudo").alias("pseudo"), r6("norm").alias("norm"))
+    return fusion.minmax(hits, ["query_id"], "pseudo", lists=True).select("query_id", "rank", "faiss_id", r6("pseudo").alias("pseudo"), r6("norm").alias("norm"))
 
 
 def _pseudo(k: int) -> Column:
@@ -169,7 +168,7 @@ def _words_sql(c: str) -> str:
     return f"list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 
 
-def _text_ctes(p: str, docs: str, queries: str = "SELECT item_id AS query_id, list_slice({w}, 1, 3) AS w FROM benchmark") -> str:
+def _text_ctes(p: str, docs: str, queries: str = "SELECT item_id AS query_id, {w} AS w FROM benchmark") -> str:
     """CTEs with prefix ``p``: word scores, phrase scores; ``docs`` gives (doc, text)."""
     return f"""{p}q AS (SELECT query_id, w, unnest(w) AS term, generate_subscripts(w, 1) AS o FROM ({queries.format(w=_words_sql('text'))})),
 {p}d AS (SELECT doc, {_words_sql('text')} AS w FROM ({docs})),
@@ -195,9 +194,8 @@ _TURNS = "SELECT conv_id * 1000 + turn AS doc, text FROM conversations"
 
 
 def _asked_texts(spark: SparkSession, d: str) -> DataFrame:
-    """The first three words of each benchmark text."""
-    words = F.slice(text.analysed(F.col("text")), 1, 3)
-    return t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"))
+    """The whole benchmark texts."""
+    return t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:
@@ -207,13 +205,35 @@ def _turns(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_text_ctes('a', _DOCS)} SELECT query_id, doc, round(score, 6) AS score FROM aany")
 def bm25_any_word(spark: SparkSession, d: str) -> DataFrame:
     terms = text.query_terms(_asked_texts(spark, d), "query_id", "query")
-    return text.any_word_scores(terms, t(spark, d, "documents"), "doc_id", "text").select("query_id", "doc", r6("score").alias("score"))
+    return text.any_word_scores(terms, text.text_index(t(spark, d, "documents"), "doc_id", "text", terms)).select("query_id", "doc", r6("score").alias("score"))
 
 
 @query(f"WITH {_text_ctes('a', _DOCS)} SELECT query_id, doc, phrase_tf, round(score, 6) AS score FROM aphrase")
 def bm25_phrase(spark: SparkSession, d: str) -> DataFrame:
     terms = text.query_terms(_asked_texts(spark, d), "query_id", "query")
-    return text.phrase_scores(terms, t(spark, d, "documents"), "doc_id", "text").select("query_id", "doc", "phrase_tf", r6("score").alias("score"))
+    return text.phrase_scores(terms, text.text_index(t(spark, d, "documents"), "doc_id", "text", terms)).select("query_id", "doc", "phrase_tf", r6("score").alias("score"))
+
+
+_THREE_WORDS = "SELECT item_id * 100 + n AS query_id, list_slice({w}, 3 * n + 1, 3 * n + 3) AS w FROM benchmark, unnest(generate_series(0, 99)) s(n) WHERE 3 * n < len({w})"
+
+
+@query(f"WITH {_text_ctes('a', _DOCS, _THREE_WORDS)} SELECT query_id, doc, phrase_tf, round(score, 6) AS score FROM aphrase")
+def bm25_short_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """Every three words of the benchmark texts as a phrase of its own."""
+    words = t(spark, d, "benchmark").select("item_id", text.analysed(F.col("text")).alias("w")).where("size(w) > 0")
+    each = words.select("item_id", "w", F.explode(F.sequence(F.lit(0), F.expr("(size(w) - 1) div 3"))).alias("n"))
+    asked = each.select((F.col("item_id") * 100 + F.col("n")).alias("query_id"), F.array_join(F.slice("w", F.col("n") * 3 + 1, F.lit(3)), " ").alias("query"))
+    terms = text.query_terms(asked, "query_id", "query")
+    return text.phrase_scores(terms, text.text_index(t(spark, d, "documents"), "doc_id", "text", terms)).select("query_id", "doc", "phrase_tf", r6("score").alias("score"))
+
+
+@query(f"WITH {_text_ctes('a', _DOCS)} SELECT query_id, rank, doc, round(score, 6) AS score FROM arank WHERE rank <= 100")
+def stored_index_search(spark: SparkSession, d: str) -> DataFrame:
+    """As ``text_search_topk``, from an index of all words that is written once and read by the asked ones."""
+    path = tables.scratch_dir(spark)
+    text.write_index(t(spark, d, "documents"), path, "doc_id", "text")
+    terms = text.query_terms(_asked_texts(spark, d), "query_id", "query")
+    return text.search_index(terms, text.read_index(spark, path, terms), 100).select("query_id", "rank", "doc", r6("score").alias("score"))
 
 
 @query(f"WITH {_text_ctes('a', _DOCS)} SELECT query_id, rank, doc, round(score, 6) AS score FROM arank WHERE rank <= 100")
@@ -243,11 +263,15 @@ def postings_stats(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- routing
 
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
 _SPEECH = " OR ".join(f"contains(lower(q), '{w}')" for w in C.SPEECH_WORDS)
 _ROUTED = f"""WITH u AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '"' || substr(text, 1, 12) || '" nói ' || text WHEN turn % 3 = 1 THEN text || ' "' || role || '"' ELSE text END AS q FROM conversations WHERE role = 'user'),
 a AS (SELECT *, regexp_extract_all(q, '"([^"]*)"', 1) AS quoted, ({_SPEECH}) AS speech FROM u),
-b AS (SELECT *, len(quoted) > 0 AS ocr, CASE WHEN len(quoted) > 0 THEN trim(array_to_string(quoted, ' ')) ELSE '' END AS ocr_query,
-  CASE WHEN len(quoted) > 0 THEN trim(regexp_replace(q, '"[^"]*"', '', 'g')) ELSE q END AS visual_query FROM a)
+b AS (SELECT *, len(quoted) > 0 AS ocr, CASE WHEN len(quoted) > 0 THEN {_strip("array_to_string(quoted, ' ')")} ELSE '' END AS ocr_query,
+  CASE WHEN len(quoted) > 0 THEN {_strip("regexp_replace(q, '\"[^\"]*\"', '', 'g')")} ELSE q END AS visual_query FROM a)
 """
 
 
@@ -263,14 +287,13 @@ def _routing(spark: SparkSession, d: str) -> DataFrame:
   CASE WHEN visual_query = '' THEN 0.0 WHEN ocr AND speech THEN 0.4 WHEN ocr THEN 0.5 WHEN speech THEN 0.7 ELSE 1.0 END::DOUBLE AS w_visual,
   CASE WHEN visual_query = '' THEN CASE WHEN ocr AND speech THEN 0.5 WHEN ocr THEN 1.0 ELSE 0.0 END WHEN ocr AND speech THEN 0.3 WHEN ocr THEN 0.5 ELSE 0.0 END::DOUBLE AS w_ocr,
   CASE WHEN visual_query = '' THEN CASE WHEN ocr AND speech THEN 0.5 WHEN speech THEN 1.0 ELSE 0.0 END WHEN speech THEN 0.3 ELSE 0.0 END::DOUBLE AS w_asr,
-  ocr_query <> '' AND ocr AS runs_ocr FROM b""")
+  visual_query <> '' AS runs_visual, ocr_query <> '' AND ocr AS runs_ocr, speech AND visual_query <> '' AS runs_asr FROM b""")
 def route_queries(spark: SparkSession, d: str) -> DataFrame:
     plan = _routing(spark, d).withColumn("p", C.query_plan(F.col("q")))
-    gate = (F.col("p.ocr_query") != "") & (F.col("p.weights.ocr") > 0)
-    return plan.select("conv_id", "turn", "p.visual_query", "p.ocr_query", "p.asr_query", F.col("p.weights.visual").alias("w_visual"), F.col("p.weights.ocr").alias("w_ocr"), F.col("p.weights.asr").alias("w_asr"), gate.alias("runs_ocr"))
+    return plan.select("conv_id", "turn", "p.visual_query", "p.ocr_query", "p.asr_query", F.col("p.weights.visual").alias("w_visual"), F.col("p.weights.ocr").alias("w_ocr"), F.col("p.weights.asr").alias("w_asr"), *(C.runs(F.col("p"), x).alias(f"runs_{x}") for x in fusion.SOURCES))
 
 
-@query(_ROUTED + "SELECT conv_id, turn, 'Is there a ' || lower(trim(replace(q, '\"', ''))) || '?' AS question FROM u")
+@query(_ROUTED + "SELECT conv_id, turn, 'Is there a ' || lower(" + _strip("replace(q, '\"', '')") + ") || '?' AS question FROM u")
 def yes_no_question(spark: SparkSession, d: str) -> DataFrame:
     return _routing(spark, d).select("conv_id", "turn", C.yes_no_question(F.col("q")).alias("question"))
 
@@ -310,7 +333,7 @@ def _modal_hits(spark: SparkSession, d: str) -> DataFrame:
     asr = text.text_search(asked, _turns(spark, d), 50, id_col="doc_id", text_col="text")
     hits = visual.select("query_id", F.lit("visual").alias("source"), "rank", F.col("faiss_id").alias("id"), _pseudo(50).alias("score"))
     hits = hits.union(ocr.select("query_id", F.lit("ocr"), "rank", "doc", "score")).union(asr.select("query_id", F.lit("asr"), "rank", F.expr("doc div 1000"), "score"))
-    return fusion.minmax(hits, ["query_id", "source"])
+    return fusion.minmax(hits, ["query_id", "source"], lists=True)
 
 
 def _weights(spark: SparkSession, d: str) -> DataFrame:
@@ -338,9 +361,11 @@ z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY in_pool DESC,
 
 
 def _reranked(ranked: DataFrame, spark: SparkSession, d: str) -> DataFrame:
-    vqa = t(spark, d, "labels").select(F.col("doc_id").alias("id"), C.yes_probability(F.col("quality"), F.col("toxic")).alias("vqa"))
-    inside = ranked.where("rank <= 30").select("query_id", "id")
-    return fusion.rerank_pool(ranked, inside.join(vqa, "id"))
+    return fusion.rerank_pool(ranked, _vqa(spark, d).withColumnRenamed("faiss_id", "id")).select("query_id", "rank", "id", "final_score", "in_pool")
+
+
+def _vqa(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "labels").select(F.col("doc_id").alias("faiss_id"), C.yes_probability(F.col("quality"), F.col("toxic")).alias("vqa"))
 
 
 @query(f"""WITH {_text_ctes('a', _DOCS)}, rk AS (SELECT query_id, rank, doc AS id, score AS final_score FROM arank WHERE rank <= 100)""" + _RERANK + "SELECT query_id, rank, id, round(final_score, 6) AS final_score, in_pool FROM z")
@@ -355,6 +380,56 @@ def fused_search(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(_reranked(ranked, spark, d), "final_score")
 
 
+_PART = "SELECT query_id, {w} AS w FROM (SELECT query_id, %s_query AS text FROM plan WHERE w_%s > 0 AND %s_query <> '')"
+
+
+@query(_ROUTED.rstrip() + f""", plan AS (SELECT conv_id * 1000 + turn AS query_id, conv_id, visual_query, ocr_query, CASE WHEN speech THEN visual_query ELSE '' END AS asr_query,
+  CASE WHEN visual_query = '' THEN 0.0 WHEN ocr AND speech THEN 0.4 WHEN ocr THEN 0.5 WHEN speech THEN 0.7 ELSE 1.0 END::DOUBLE AS w_visual,
+  CASE WHEN visual_query = '' THEN CASE WHEN ocr AND speech THEN 0.5 WHEN ocr THEN 1.0 ELSE 0.0 END WHEN ocr AND speech THEN 0.3 WHEN ocr THEN 0.5 ELSE 0.0 END::DOUBLE AS w_ocr,
+  CASE WHEN visual_query = '' THEN CASE WHEN ocr AND speech THEN 0.5 WHEN speech THEN 1.0 ELSE 0.0 END WHEN speech THEN 0.3 ELSE 0.0 END::DOUBLE AS w_asr FROM b),
+{_text_ctes('o', _DOCS, _PART % (('ocr',) * 3))}, {_text_ctes('s', _TURNS, _PART % (('asr',) * 3))},
+v AS (SELECT query_id, e.vec_id AS id, list_dot_product(x.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM plan JOIN embeddings x ON x.vec_id = conv_id CROSS JOIN embeddings e WHERE visual_query <> '' AND w_visual > 0),
+vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM v),
+hits AS (SELECT query_id, 'visual' AS source, rank, id, 50.0 - (rank - 1) AS score, NULL AS txt FROM vr WHERE rank <= 50
+  UNION ALL SELECT query_id, 'ocr', rank, doc, score, text FROM orank JOIN documents ON doc_id = doc WHERE rank <= 50
+  UNION ALL SELECT query_id, 'asr', rank, doc // 1000, score, text FROM srank JOIN conversations ON conv_id * 1000 + turn = doc WHERE rank <= 50),
+lim AS (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM hits WINDOW w AS (PARTITION BY query_id, source)),
+norm AS (SELECT *, CASE WHEN hi = lo THEN 0.0 ELSE (score - lo) / (hi - lo) END AS norm FROM lim),
+mg AS (SELECT query_id, id, {", ".join(f"COALESCE(arg_max(norm, rank) FILTER (source = '{x}'), 0.0) AS {x}" for x in fusion.SOURCES)},
+  arg_max(txt, rank) FILTER (source = 'ocr') AS ocr_text, arg_max(txt, rank) FILTER (source = 'asr') AS asr_text FROM norm GROUP BY query_id, id),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(final_score, 9) DESC, id) AS rank FROM (SELECT mg.*, w_visual * visual + w_ocr * ocr + w_asr * asr AS final_score FROM mg JOIN plan USING (query_id))),
+pl AS (SELECT rk.query_id, rk.id, rk.rank AS old, visual, ocr, asr, ocr_text, asr_text, rk.rank <= 30 AS in_pool, CASE WHEN rk.rank <= 30 THEN COALESCE(1 / (1 + exp(toxic - quality)), 0.0) END AS vqa, CASE WHEN rk.rank <= 30 THEN 0.7 * final_score + 0.3 * COALESCE(1 / (1 + exp(toxic - quality)), 0.0) ELSE final_score END AS final_score
+  FROM rk LEFT JOIN labels ON rk.id = labels.doc_id),
+z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY in_pool DESC, CASE WHEN in_pool THEN round(final_score, 9) END DESC NULLS LAST, old) AS rank FROM pl)
+SELECT query_id, rank, id AS faiss_id, COALESCE('v' || label, '') AS video_id, COALESCE('frame' || vec_id, '') AS frame_name, COALESCE(vec_id / 25.0::DOUBLE, 0.0) AS timestamp, round(visual, 6) AS visual, round(ocr, 6) AS ocr, round(asr, 6) AS asr, round(vqa, 6) AS vqa,
+  round(final_score, 6) AS final_score, in_pool, ocr_text, asr_text FROM z LEFT JOIN embeddings ON vec_id = id""")
+def multimodal_search(spark: SparkSession, d: str) -> DataFrame:
+    """Routed queries with weights of their own, the searches that each runs, and its frames' columns and texts."""
+    rows = _frames(spark, d)
+    asked = _routing(spark, d).join(rows.select(F.col("faiss_id").alias("conv_id"), F.col("embedding").alias("qvec")), "conv_id", "left")
+    asked = asked.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("q").alias("query"), "qvec")
+    ocr = t(spark, d, "documents").select(F.col("doc_id").alias("faiss_id"), F.col("text").alias("ocr_text"))
+    asr = _turns(spark, d).select(F.col("doc_id").alias("asr_id"), F.col("conv_id").alias("nearest_faiss_id"), "text")
+    named = rows.select("faiss_id", F.concat(F.lit("v"), "video_id").alias("video_id"), F.concat(F.lit("frame"), "faiss_id").alias("frame_name"), C.frame_seconds(F.col("faiss_id")).alias("timestamp"))
+    found = search.fused_search(asked, rows, ocr, asr, named, _vqa(spark, d), k=50)
+    return _rounded(found.select("query_id", "rank", "faiss_id", "video_id", "frame_name", "timestamp", "score_breakdown.*", "final_score", "in_pool", "ocr_text", "asr_text"), *fusion.SOURCES, "vqa", "final_score")
+
+
+@query(_knn_sql(of="embedding").replace("SELECT query_id, rank, faiss_id, video_id, round(score, 6) AS score FROM r", "SELECT query_id, rank, faiss_id, video_id, round(score, 6) AS score FROM r").replace("SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 100 = 0", "SELECT item_id AS query_id, list_transform(generate_series(1, 64), lambda i: CAST((length(regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g')) * i) % 7 - 3 AS DOUBLE)) AS qv FROM benchmark"))
+def text_vector_search(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of the whole benchmark texts by a stand-in encoder, which only sees their lengths."""
+
+    def encode(batches):
+        import numpy as np
+
+        for frame in batches:
+            yield frame.assign(qvec=[((len(x) * np.arange(1, 65)) % 7 - 3.0).tolist() for x in frame["query"]])
+
+    rows = _frames(spark, d)
+    found = search.text_vector_search(_asked_texts(spark, d), rows, rows.select("faiss_id", "video_id"), 10, encode)
+    return found.select("query_id", "rank", "faiss_id", "video_id", r6("score").alias("score"))
+
+
 @query(_knn_sql(k=50).replace("SELECT query_id, rank, faiss_id, video_id, round(score, 6) AS score FROM r WHERE rank <= 50", """, h AS (SELECT * FROM r WHERE rank <= 50)
 SELECT h.query_id, h.faiss_id, c.text AS answer, row_number() OVER (PARTITION BY h.query_id ORDER BY h.rank) - 1 AS n FROM h JOIN conversations c ON c.conv_id = h.faiss_id AND c.turn = 1"""))
 def answers_join(spark: SparkSession, d: str) -> DataFrame:
@@ -378,18 +453,24 @@ def _events(spark: SparkSession, d: str, kind: str | None = None) -> DataFrame:
     return e.select(F.col("event_id").alias("faiss_id"), F.col("event_id").alias("global_frame_id"), F.col("user_id").alias("video_id"), seconds("ts").alias("timestamp"), F.col("value").alias("score"), F.col("event_type").alias("split"))
 
 
-@query("""WITH s AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS t FROM events WHERE event_type = 'click'),
+@query("""WITH s AS (SELECT event_id, user_id, (epoch_us(ts) / 1e6 + (epoch_us(ts) / 1e6 + value * 60)) / 2 AS t FROM events WHERE event_type = 'click'),
 f AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS t FROM events WHERE event_type = 'view'),
 p AS (SELECT s.event_id AS segment_id, s.user_id AS video_id, f.event_id AS nearest_faiss_id, abs(f.t - s.t) AS dt, row_number() OVER (PARTITION BY s.event_id ORDER BY abs(f.t - s.t), f.t, f.event_id) AS r FROM s JOIN f USING (user_id))
 SELECT segment_id, video_id, nearest_faiss_id, round(dt, 3) AS dt FROM p WHERE r = 1""")
 def nearest_frame_align(spark: SparkSession, d: str) -> DataFrame:
-    segments = _events(spark, d, "click").select(F.col("faiss_id").alias("segment_id"), "video_id", _midpoint().alias("mid"))
+    """Clicks as segments of as many minutes as their value says."""
+    middle = align.segment_midpoint(F.col("timestamp"), F.col("timestamp") + F.col("score") * 60)
+    segments = _events(spark, d, "click").select(F.col("faiss_id").alias("segment_id"), "video_id", middle.alias("mid"))
     found = align.nearest_in_time(segments, _events(spark, d, "view"), ["video_id"], "mid", "timestamp", "segment_id", "faiss_id")
     return found.select("segment_id", "video_id", "nearest_faiss_id", F.round(F.abs(F.col("nearest_time") - F.col("mid")), 3).alias("dt"))
 
 
-def _midpoint() -> Column:
-    return align.segment_midpoint(F.col("timestamp"), F.col("timestamp"))
+@query("SELECT event_type AS split, user_id AS video_id, event_id AS faiss_id, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id // 7, event_id) AS place FROM events")
+def frames_by_video(spark: SparkSession, d: str) -> DataFrame:
+    """Each frame's place among its video's: their order in the task needs no further shuffle or sort."""
+    rows = _events(spark, d).withColumn("frame_index", F.expr("faiss_id div 7"))
+    order = W.partitionBy("split", "video_id").orderBy("frame_index", "faiss_id")
+    return align.grouped_by_video(rows).select("split", "video_id", "faiss_id", F.row_number().over(order).cast("bigint").alias("place"))
 
 
 @query("SELECT user_id AS video_id, count(*) AS n_segments FROM events WHERE event_type = 'click' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 90) GROUP BY ALL")
@@ -431,19 +512,19 @@ def temporal_all_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _beam_sql(n: int, table: str, beam: int = 50) -> str:
-    out = f"""b0 AS (SELECT * FROM (SELECT query_id, video_id, [faiss_id] AS ids, [split] AS splits, [cand_rank] AS cr, [ts] AS tss, ts AS t0, score AS base, score AS total, faiss_id AS lastf,
+    out = f"""b0 AS (SELECT * FROM (SELECT query_id, video_id, [faiss_id] AS ids, [split] AS splits, [cand_rank] AS cr, [ts] AS tss, ts AS t0, score AS base, score AS total, faiss_id AS lastf, min(cand_rank) OVER (PARTITION BY query_id, video_id) AS first,
   row_number() OVER (PARTITION BY query_id, video_id ORDER BY score DESC, cand_rank) AS ord FROM {table} WHERE event_idx = 0) WHERE ord <= {beam})"""
     for i in range(1, n):
         out += f""",
 x{i} AS (SELECT b.query_id, b.video_id, list_append(b.ids, k.faiss_id) AS ids, list_append(b.splits, k.split) AS splits, list_append(b.cr, k.cand_rank) AS cr, list_append(b.tss, k.ts) AS tss, b.t0, b.base + k.score AS base,
-  CASE WHEN k.ts - b.t0 > 0 THEN (b.base + k.score) * exp(-{_ALPHA} * (k.ts - b.t0)) ELSE b.base + k.score END AS total, k.faiss_id AS lastf, b.ord AS parent, k.cand_rank AS kc
+  CASE WHEN k.ts - b.t0 > 0 THEN (b.base + k.score) * exp(-{_ALPHA} * (k.ts - b.t0)) ELSE b.base + k.score END AS total, k.faiss_id AS lastf, b.first, b.ord AS parent, k.cand_rank AS kc
   FROM b{i - 1} b JOIN {table} k ON k.query_id = b.query_id AND k.video_id = b.video_id AND k.event_idx = {i} AND k.faiss_id > b.lastf),
-b{i} AS (SELECT query_id, video_id, ids, splits, cr, tss, t0, base, total, lastf, ord FROM (SELECT *, row_number() OVER (PARTITION BY query_id, video_id ORDER BY total DESC, parent, lastf, kc) AS ord FROM x{i}) WHERE ord <= {beam})"""
+b{i} AS (SELECT query_id, video_id, ids, splits, cr, tss, t0, base, total, lastf, first, ord FROM (SELECT *, row_number() OVER (PARTITION BY query_id, video_id ORDER BY total DESC, parent, lastf, kc) AS ord FROM x{i}) WHERE ord <= {beam})"""
     return out
 
 
 def _ranked_sql(n: int, top: int) -> str:
-    return f", z AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, cr[1], video_id, ord) AS seq FROM b{n - 1}) WHERE seq <= {top})"
+    return f", z AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, first, video_id, ord) AS seq FROM b{n - 1}) WHERE seq <= {top})"
 
 
 _SHOWN = " SELECT CAST(query_id AS BIGINT) AS query_id, seq, video_id, array_to_string(ids, ',') AS ids, array_to_string(list_sort(list_distinct(splits)), ',') AS splits, round(base, 6) AS base_score, round(total, 6) AS total_score FROM z"
@@ -477,10 +558,7 @@ m AS (SELECT query_id, seq, avg(COALESCE(1 / (1 + exp(toxic - quality)), 0.0)) A
 y AS (SELECT z.query_id, z.seq, z.video_id, conf, 0.7 * total + 0.3 * conf * 3 AS total FROM z JOIN m USING (query_id, seq))
 SELECT CAST(query_id AS BIGINT) AS query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(total, 9) DESC, seq) AS seq, video_id, round(conf, 6) AS vqa_confidence, round(total, 6) AS total_score FROM y""")
 def sequence_validation(spark: SparkSession, d: str) -> DataFrame:
-    vqa = t(spark, d, "labels").select(F.col("doc_id").alias("faiss_id"), C.yes_probability(F.col("quality"), F.col("toxic")).alias("vqa"))
-    z = _three(spark, d, 100)
-    frames_of = z.select("query_id", F.posexplode("frames").alias("event_idx", "f")).select("query_id", "event_idx", F.col("f.faiss_id").alias("faiss_id")).distinct()
-    out = temporal.validated(z, frames_of.join(vqa, "faiss_id"), 3)
+    out = temporal.validated(_three(spark, d, 100), _vqa(spark, d), 3)
     return out.select("query_id", F.col("new_seq").alias("seq"), "video_id", r6("vqa_confidence").alias("vqa_confidence"), r6("total_score").alias("total_score"))
 
 
@@ -612,10 +690,12 @@ def check_counts(spark: SparkSession, d: str) -> DataFrame:
     return frames.check_counts(t(spark, d, "embeddings"), t(spark, d, "documents"))
 
 
-@query(f"WITH {_GAPS} SELECT CAST(video_id AS BIGINT) AS video_id, max(frame_index) AS max_index, count(*) AS n_features FROM g GROUP BY ALL HAVING count(*) <= max(frame_index)")
+@query("""WITH m AS (SELECT CAST(label AS BIGINT) AS video_id, max(vec_id // 10) AS max_index FROM embeddings GROUP BY ALL), f AS (SELECT doc_id % 12 AS video_id, count(*) AS n_features FROM labels GROUP BY ALL)
+SELECT video_id, CAST(max_index AS BIGINT) AS max_index, COALESCE(n_features, 0) AS n_features FROM m LEFT JOIN f USING (video_id) WHERE COALESCE(n_features, 0) <= max_index""")
 def check_bounds(spark: SparkSession, d: str) -> DataFrame:
-    f = _features(spark, d).withColumn("video_id", F.col("video_id").cast("bigint"))
-    return frames.check_bounds(f, f, ["video_id"])
+    """Vectors as frames, and labels as the features of twelve videos."""
+    f = t(spark, d, "embeddings").select(F.col("label").cast("bigint").alias("video_id"), F.expr("vec_id div 10").alias("frame_index"))
+    return frames.check_bounds(f, t(spark, d, "labels").select(F.expr("doc_id % 12").alias("video_id")), ["video_id"])
 
 
 @query("SELECT label AS video_id, CAST(vec_id // 10 AS BIGINT) AS frame_index, count(*) AS n FROM embeddings GROUP BY ALL HAVING count(*) > 1")
@@ -640,7 +720,7 @@ def check_verdict(spark: SparkSession, d: str) -> DataFrame:
     return frames.verdict(counts.union(check_shape(spark, d).select(F.lit("shape"), "ok")))
 
 
-@query()
+@query("SELECT doc_id, n_chars FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 25")
 def deterministic_sample(spark: SparkSession, d: str) -> DataFrame:
     return frames.deterministic_sample(t(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
 
@@ -656,3 +736,117 @@ def two_path_fallback(spark: SparkSession, d: str) -> DataFrame:
     files = t(spark, d, "pages").select(_page_path().alias("path")).distinct()
     rows = t(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, _page_path()).alias("a"), F.col("url").alias("b"))
     return align.with_fallback_path(rows, files, F.col("a"), F.col("b")).select("page_id", "asset")
+
+
+@query("SELECT doc_id, regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g') AS query FROM documents")
+def clean_query(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "documents").select("doc_id", C.clean_query(F.col("text")).alias("query"))
+
+
+@query(_RAW + """, n AS (SELECT faiss_id, regexp_replace(lower(video_id), '[^a-z0-9]+', '', 'g') AS v, regexp_replace(lower(split), '[^a-z0-9]+', '', 'g') AS s, regexp_replace(lower(split_part(split, '-', 2)), '[^a-z0-9]+', '', 'g') AS f,
+ regexp_replace(lower(replace(frame_name, '.jpg', '')), '[^a-z0-9]+', '', 'g') AS stem, regexp_replace(lower(split_part(replace(frame_name, 'keyframe_', ''), '_', 1) || split_part(replace(frame_name, 'keyframe_', ''), '_', 2)), '[^a-z0-9]+', '', 'g') AS two FROM raw)
+SELECT faiss_id, k AS key FROM (SELECT DISTINCT faiss_id, unnest([v, s || COALESCE(v, ''), f || COALESCE(v, ''), stem, two]) AS k FROM n) WHERE k <> ''""")
+def candidate_keys(spark: SparkSession, d: str) -> DataFrame:
+    keys = frames.frame_keys(F.col("split"), F.col("video_id"), F.col("frame_name"))
+    return _raw_frames(spark, d).select("faiss_id", F.explode(keys).alias("key"))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def frames_with_assets(spark: SparkSession, d: str) -> DataFrame:
+    return frames.with_assets(t(spark, d, "documents").select("doc_id", "lang"), t(spark, d, "labels"), "doc_id")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) ORDER BY doc_id LIMIT 50")
+def first_frames_with_assets(spark: SparkSession, d: str) -> DataFrame:
+    return frames.first_with_assets(t(spark, d, "documents").select("doc_id", "lang"), t(spark, d, "labels"), 50, "doc_id", "doc_id")
+
+
+@query("SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 50")
+def first_frames(spark: SparkSession, d: str) -> DataFrame:
+    return frames.first_by_id(t(spark, d, "documents").select("doc_id", "lang"), 50, "doc_id")
+
+
+# ---------------------------------------------------------------- written and read again
+
+
+_READ = "SELECT event_id AS faiss_id, event_type AS split, 'user' || user_id AS video_id, 'f' || event_id AS frame_name, user_id AS frame_index, event_id AS global_frame_id FROM events"
+
+
+def _frame_files(spark: SparkSession, d: str) -> str:
+    """Events as JSON objects {id: frame}, a file for each thousand of them."""
+    path, e = tables.scratch_dir(spark), t(spark, d, "events")
+    frame = F.struct(F.col("event_type").alias("split"), F.concat(F.lit("user"), "user_id").alias("video_id"), F.concat(F.lit("f"), "event_id").alias("frame_name"), F.col("user_id").alias("frame_index"), F.col("event_id").alias("global_frame_id"))
+    found = e.groupBy(F.expr("event_id div 1000").alias("thousand")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("event_id").cast("string"), frame)))).alias("value"))
+    found.select("value", "thousand").write.partitionBy("thousand").text(path)
+    return path
+
+
+def _read_frames(found: DataFrame) -> DataFrame:
+    return found.select("faiss_id", "split", "video_id", "frame_name", F.col("frame_index").cast("bigint").alias("frame_index"), "global_frame_id")
+
+
+@query(_READ)
+def strict_frames(spark: SparkSession, d: str) -> DataFrame:
+    return _read_frames(tables.read_frames(spark, _frame_files(spark, d)))
+
+
+@query(_READ)
+def lenient_frames(spark: SparkSession, d: str) -> DataFrame:
+    missing = tables.read_frames_or_none(spark, tables.scratch_dir(spark))
+    return _read_frames(tables.read_frames_or_none(spark, _frame_files(spark, d)).unionByName(missing))
+
+
+@query("SELECT doc_id AS faiss_id, source AS video_id, text AS ocr_text, lang AS language FROM documents")
+def ocr_documents(spark: SparkSession, d: str) -> DataFrame:
+    path = tables.scratch_dir(spark)
+    rows = t(spark, d, "documents").select(F.col("doc_id").alias("faiss_id"), F.col("source").alias("video_id"), F.col("text").alias("ocr_text"), F.col("lang").alias("language"))
+    tables.write_json(rows, path)
+    return tables.read_ocr(spark, path, lines=True).select("faiss_id", "video_id", "ocr_text", "language")
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS video_id, 10.0::DOUBLE * turn AS start_time, 10.0::DOUBLE * turn + 10 AS end_time, text, conv_id AS nearest_faiss_id FROM conversations")
+def asr_documents(spark: SparkSession, d: str) -> DataFrame:
+    path, c = tables.scratch_dir(spark), t(spark, d, "conversations")
+    rows = c.select(F.col("conv_id").cast("string").alias("video_id"), (F.col("turn") * 10.0).alias("start_time"), (F.col("turn") * 10.0 + 10).alias("end_time"), "text", F.col("conv_id").alias("nearest_faiss_id"))
+    tables.write_json(rows, path)
+    return tables.read_asr(spark, path, lines=True).select("video_id", "start_time", "end_time", "text", "nearest_faiss_id")
+
+
+@query("SELECT lang, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM (SELECT * FROM documents UNION ALL SELECT * FROM documents WHERE lang = 'en') GROUP BY ALL")
+def bulk_append(spark: SparkSession, d: str) -> DataFrame:
+    """A table made once, to which all documents are added, and the English ones again."""
+    path, docs = tables.scratch_dir(spark), t(spark, d, "documents").select("doc_id", "lang")
+    if tables.create_if_absent(spark, {path: "doc_id BIGINT, lang STRING"}) != [path] or tables.create_if_absent(spark, {path: "doc_id BIGINT, lang STRING"}):
+        raise ValueError("not made once")
+    added = tables.append(docs, path) + tables.append(docs.where("lang = 'en'"), path)
+    out = spark.read.parquet(path)
+    if added != out.count():
+        raise ValueError("not all rows were added")
+    return out.groupBy("lang").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+
+
+@query("SELECT vec_id AS faiss_id, round(list_sum(embedding::DOUBLE[]), 5) AS total FROM embeddings")
+def vector_table(spark: SparkSession, d: str) -> DataFrame:
+    path = tables.scratch_dir(spark)
+    tables.write_vectors(_frames(spark, d), path)
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return spark.read.schema(tables.EMBEDDINGS).parquet(path).select("faiss_id", F.round(total, 5).alias("total"))
+
+
+@query("SELECT 's' || label AS split, vec_id % 7 AS video_id, count(*) AS n, max(vec_id // 10) AS last_index FROM embeddings GROUP BY ALL")
+def feature_blocks(spark: SparkSession, d: str) -> DataFrame:
+    path = tables.scratch_dir(spark)
+    tables.write_features(t(spark, d, "embeddings").select(F.concat(F.lit("s"), "label").alias("split"), F.expr("vec_id % 7").alias("video_id"), F.expr("vec_id div 10").alias("frame_index"), "embedding"), path)
+    return spark.read.parquet(path).groupBy("split", "video_id").agg(F.count("*").alias("n"), F.max("frame_index").alias("last_index"))
+
+
+@query("SELECT vec_id AS id, 'v' || label AS video_id, vec_id % 5 <> 0 AS fits FROM embeddings")
+def multi_vector_points(spark: SparkSession, d: str) -> DataFrame:
+    """Points of two vectors, of which every fifth lacks a component of the second."""
+    path, sizes = tables.scratch_dir(spark), {"one": 32, "two": 32}
+    tables.recreate_points(spark, path, sizes)
+    e = t(spark, d, "embeddings")
+    two = F.when(F.col("vec_id") % 5 == 0, F.slice("embedding", 33, 31)).otherwise(F.slice("embedding", 33, 32))
+    points = e.select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 32).alias("one"), two.alias("two"), F.concat(F.lit("v"), "label").alias("video_id"), F.lit("f").alias("frame_name"), F.lit(0.0).alias("timestamp"), F.lit("s").alias("split"))
+    tables.append(points, path)
+    return spark.read.schema(tables.point_schema(sizes)).parquet(path).select("id", "video_id", tables.vectors_fit(sizes).alias("fits"))

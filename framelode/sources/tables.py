@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +16,7 @@ ASR = "video_id STRING, start_time DOUBLE, end_time DOUBLE, text STRING, nearest
 EMBEDDINGS = "faiss_id BIGINT, embedding ARRAY<FLOAT>"
 #: Field types of an index mapping, as Spark types.
 MAPPED = {"integer": "BIGINT", "keyword": "STRING", "text": "STRING", "float": "DOUBLE"}
-#: Named vectors of a multi-vector point and their sizes; another set can be given.
+#: Named vectors of a multi-vector point and their sizes (fixed values); another set can be given.
 POINT_VECTORS = {"openclip": 512, "siglip": 768, "beit3": 768}
 
 
@@ -43,19 +45,19 @@ def _frames(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select(F.col("key").cast("bigint").alias("faiss_id"), "value.*")
 
 
-def read_ocr(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of text boxes' documents; a missing file has no rows, a malformed document is dropped."""
-    return _documents(spark, path, OCR)
+def read_ocr(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A JSON array of text boxes' documents for each file (or a document a line); a missing file has no rows, a malformed document is dropped."""
+    return _documents(spark, path, OCR, lines)
 
 
-def read_asr(spark: SparkSession, path: str) -> DataFrame:
-    return _documents(spark, path, ASR)
+def read_asr(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return _documents(spark, path, ASR, lines)
 
 
-def _documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def _documents(spark: SparkSession, path: str, schema: str, lines: bool) -> DataFrame:
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    return spark.read.schema(schema).option("multiLine", not lines).option("mode", "DROPMALFORMED").json(path)
 
 
 def mapping_schema(properties: dict[str, dict]) -> str:
@@ -115,8 +117,21 @@ def recreate_points(spark: SparkSession, path: str, vectors: dict[str, int] | No
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str | None = None) -> DataFrame:
-    """Rows of both, one for each key: the new side's, and of several the one with the highest ``version``."""
+    """Rows of both, one for each key: the new side's, and of several the one with the highest ``version``, or,
+    of equal or no versions, always the same one. A maximum, so it is combined before the shuffle."""
     both = old.withColumn("_side", F.lit(0)).unionByName(new.withColumn("_side", F.lit(1)))
-    order = [F.col("_side").desc(), *([F.col(version).desc()] if version else [])]
-    ranked = both.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-    return ranked.where("_rank = 1").drop("_side", "_rank")
+    others = [c for c in old.columns if c not in keys]
+    order = F.struct("_side", *([version] if version else []), F.xxhash64(*(F.col(c) for c in old.columns)))
+    latest = both.groupBy(*keys).agg(F.max_by(F.struct(*others), order).alias("_row"))
+    return latest.select(*(F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in old.columns))
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder's name under ``spark.checkpoint.dir``; under one of our own where that is unset (tests)."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return f"{sc.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"

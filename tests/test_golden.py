@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framelode.functions import columns as C
-from framelode.operators import align, frames, fusion, temporal, text, vectors
+from framelode.operators import align, frames, fusion, models, search, temporal, text, vectors
 from framelode.sources import tables
 
 
@@ -53,6 +53,7 @@ def test_additive_merge_leaves_a_single_list_alone(spark):
     assert math.isclose(got[6], 2 / (2 + 1e-6)) and math.isclose(got[5], 6 / (6 + 1e-6))
 
 
+# the sentences and their plans are fixed values
 @pytest.mark.parametrize(
     ("query", "visual", "ocr", "asr", "weights"),
     [
@@ -62,6 +63,8 @@ def test_additive_merge_leaves_a_single_list_alone(spark):
         ("nghe tiếng còi cảnh sát hú", "nghe tiếng còi cảnh sát hú", "", "nghe tiếng còi cảnh sát hú", (0.7, 0.0, 0.3)),
         ("một chiếc xe màu đỏ", "một chiếc xe màu đỏ", "", "", (1.0, 0.0, 0.0)),
         ('""', "", "", "", (0.0, 1.0, 0.0)),
+        ('"x"\n', "", "x", "", (0.0, 1.0, 0.0)),
+        ('\u3000a "\t b\u00a0"', "a", "b", "", (0.5, 0.5, 0.0)),
     ],
 )
 def test_routing(spark, query, visual, ocr, asr, weights):
@@ -103,6 +106,79 @@ def test_wide_beam_is_exhaustive(spark):
     assert chains.count() == sum(a < b < c for a in by[0] for b in by[1] for c in by[2])
 
 
+def test_tied_chains_stay_with_their_video(spark):
+    at = "query_id long, event_idx int, video_id string, faiss_id long, global_frame_id long, timestamp double, score double, split string, cand_rank long"
+    ranks = [(0, "A", 1), (1, "A", 2), (0, "A", 3), (1, "A", 10), (0, "B", 2), (1, "B", 9)]
+    found = spark.createDataFrame([(1, e, v, 100 * e + r, 100 * e + r, 0.0, 1.0, "s", r) for e, v, r in ranks], at)
+    z = temporal.ranked_sequences(temporal.beam_search(found, ["video_id"], 2, beam=2), ["video_id"]).orderBy("seq").collect()
+    assert [r["video_id"] for r in z] == ["A", "A", "B"]
+
+
+def test_a_gate_keeps_queries_out_of_a_source(spark):
+    q = spark.createDataFrame([(1, 'a car "STOP"'), (2, '""'), (3, "nghe gì"), (4, '"ONLY"')], "query_id long, query string")
+    p = C.query_plan(F.col("query"))
+    got = {r[0]: tuple(r[1:]) for r in q.select("query_id", *(C.runs(p, s) for s in fusion.SOURCES)).collect()}
+    assert got == {1: (True, True, False), 2: (False, False, False), 3: (True, False, True), 4: (False, True, False)}
+
+
+def test_fused_search_fills_frames_whichever_source_found_them(spark):
+    q = spark.createDataFrame([(1, 'car "stop"', [1.0, 0.0]), (2, '"stop"', None), (3, "", None)], "query_id long, query string, qvec array<double>")
+    rows_ = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "faiss_id long, embedding array<float>")
+    ocr = spark.createDataFrame([(2, "stop sign"), (9, "stop")], "faiss_id long, ocr_text string")
+    asr = spark.createDataFrame([(7, 1, "hello")], "asr_id long, nearest_faiss_id long, text string")
+    frames_ = spark.createDataFrame([(1, "v1", "f1", 0.5), (2, "v2", "f2", 1.5)], "faiss_id long, video_id string, frame_name string, timestamp double")
+    vqa = spark.createDataFrame([(2, 1.0)], "faiss_id long, vqa double")
+    got = {(r["query_id"], r["faiss_id"]): r for r in search.fused_search(q, rows_, ocr, asr, frames_, vqa, k=10).collect()}
+    assert set(got) == {(1, 1), (1, 2), (1, 9), (2, 2), (2, 9)}
+    assert (got[1, 2]["video_id"], got[1, 2]["frame_name"], got[1, 2]["ocr_text"]) == ("v2", "f2", "stop sign")
+    assert (got[2, 9]["video_id"], got[2, 9]["timestamp"], got[2, 9]["score_breakdown"]["ocr"]) == ("", 0.0, 1.0)
+    assert got[2, 2]["rank"] == 2 and math.isclose(got[2, 2]["final_score"], 0.3) and got[2, 2]["score_breakdown"]["vqa"] == 1.0
+
+
+def test_plans_of_searches(spark):
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    q = spark.createDataFrame([(1, "red car")], "query_id long, query string")
+    docs = spark.createDataFrame([(1, "a red car"), (2, "a car")], "faiss_id long, ocr_text string")
+    found = text.text_search(q, docs, 5)
+    assert "WindowGroupLimit" in plan(found) and "CartesianProduct" not in plan(found)
+    found.collect()
+    final = plan(found).split("Initial Plan")[0]
+    assert "NestedLoop" not in final
+    data = spark.createDataFrame([(1, [1.0])], "faiss_id long, embedding array<float>")
+    near = vectors.knn(data.selectExpr("faiss_id as query_id", "embedding as qvec"), data, 3)
+    assert plan(near).count("Exchange") == 1 and "WindowGroupLimit" in plan(near)  # rows aren't shuffled, only each task's best
+
+
+def test_many_queries_meet_rows_in_blocks(spark):
+    data = spark.createDataFrame([(i, [float((7 * i) % 13), float(i % 5), 1.0]) for i in range(90)], "faiss_id long, embedding array<float>")
+    asked = data.where("faiss_id % 3 = 0").selectExpr("faiss_id as query_id", "embedding as qvec")
+    one, other = (sorted(rows(vectors.knn(asked, data, 4, sent=n, block=16, query_block=8))) for n in (1000, 3))
+    assert one == other and len(one) == 30 * 4
+    assert vectors.knn(asked.limit(0), data, 4).count() == 0
+
+
+def test_models_see_only_their_columns(spark):
+    def model(frames_):
+        seen = 0  # loaded once a task
+        for f in frames_:
+            assert list(f.columns) == ["q"]
+            seen += len(f)
+            yield f.assign(n=f["q"].str.len(), v=[[float(len(x))] * 2 for x in f["q"]])
+
+    got = models.with_model(spark.createDataFrame([("a", 1), ("bcd", None)], "q string, other int"), model, ["q"], "n bigint, v array<double>").orderBy("n")
+    assert rows(got) == [("a", 1, 1, [1.0, 1.0]), ("bcd", None, 3, [3.0, 3.0])]
+    hits = search.text_vector_search(spark.createDataFrame([(1, " AB\n")], "query_id long, query string"), spark.createDataFrame([(5, [1.0, 0.0])], "faiss_id long, embedding array<float>"), spark.createDataFrame([(5, "v")], "faiss_id long, video_id string"), 3, lambda it: (f.assign(qvec=[[float(x == "ab"), 0.0] for x in f["query"]]) for f in it))
+    assert rows(hits.select("faiss_id", "score", "video_id")) == [(5, 1.0, "v")]
+
+    def short(frames_):
+        return (f.iloc[:0].assign(n=0) for f in frames_)
+
+    with pytest.raises(Exception, match="rows"):
+        models.with_model(spark.range(3), short, ["id"], "n bigint").collect()
+
+
 def test_validation_reorders_sequences(spark):
     frame = "array<struct<faiss_id:long>>"
     z = spark.createDataFrame([(1, 1, [(1,), (2,)], 10.0), (1, 2, [(3,), (4,)], 9.5)], f"query_id long, seq long, frames {frame}, total_score double")
@@ -148,7 +224,8 @@ def test_dense_fill_and_text_assembly(spark):
 def test_phrases_count_double(spark):
     docs = spark.createDataFrame([(1, "red car red car"), (2, "car red"), (3, "nothing")], "faiss_id long, ocr_text string")
     q = spark.createDataFrame([(0, "Red car")], "query_id long, query string")
-    got = text.phrase_scores(text.query_terms(q, "query_id", "query"), docs, "faiss_id", "ocr_text").collect()
+    terms = text.query_terms(q, "query_id", "query")
+    got = text.phrase_scores(terms, text.text_index(docs, "faiss_id", "ocr_text", terms)).collect()
     assert [(r["doc"], r["phrase_tf"]) for r in got] == [(1, 2)]
     assert [r["doc"] for r in text.text_search(q, docs).orderBy("rank").collect()] == [1, 2]
 
@@ -164,7 +241,12 @@ def test_reading_and_writing(spark, tmp_path):
     assert tables.read_frames_or_none(spark, str(p)).count() == 1
     assert tables.read_frames_or_none(spark, str(tmp_path / "none.json")).count() == 0
     p.write_text('[{"faiss_id": 1, "ocr_text": "x"}, {"faiss_id": 2}]')
-    assert tables.read_ocr(spark, str(p)).count() == 2 and tables.read_asr(spark, str(tmp_path / "no")).count() == 0
+    assert tables.read_ocr(spark, str(p)).count() == 2
+    lines = tmp_path / "lines.json"
+    lines.write_text('{"faiss_id": 1, "ocr_text": "x"}\n{"faiss_id": "no number\n{"faiss_id": 3}\n')
+    assert sorted(r["faiss_id"] for r in tables.read_ocr(spark, str(lines), lines=True).collect()) == [1, 3]
+    p.write_text('[{"faiss_id": 1, "ocr_text": "x"}, {"faiss_id": 2}]')
+    assert tables.read_asr(spark, str(tmp_path / "no")).count() == 0
     ddl = tables.mapping_schema({"faiss_id": {"type": "integer"}, "ocr_text": {"type": "text"}})
     out = str(tmp_path / "ocr")
     assert tables.create_if_absent(spark, {out: ddl}) == [out] and tables.create_if_absent(spark, {out: ddl}) == []
@@ -183,6 +265,7 @@ def test_upsert_takes_the_new_side(spark):
     old = spark.createDataFrame([(1, "old", 5), (2, "old", 1)], "id long, t string, v int")
     new = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (3, "c", 1)], old.schema)
     assert sorted(rows(tables.upsert(old, new, ["id"], "v"))) == [(1, "b", 2), (2, "old", 1), (3, "c", 1)]
+    assert sorted(rows(tables.upsert(old, new, ["id"]))) == sorted(rows(tables.upsert(old.repartition(3), new.orderBy("t", ascending=False), ["id"])))
 
 
 def test_assets(spark):
@@ -205,3 +288,4 @@ def test_checks(spark):
     with pytest.raises(ValueError, match="asset"):
         frames.with_assets(f, f.where("video_id = 'w'"), "video_id", strict=True)
     assert frames.with_assets(f, f.where("video_id = 'w'"), "video_id").count() == 1
+    assert rows(frames.first_with_assets(f, f.where("video_id = 'v'"), 1, "video_id", "frame_index")) == [("v", 0)]
