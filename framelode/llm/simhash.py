@@ -27,8 +27,8 @@ RUN = 2048
 FAN = 16
 #: Minima in a band of ``near_duplicates``.
 ROWS = 5
-#: Shingles that one task compares at once in it.
-PART = 1 << 18
+#: Shingles that are compared at once in it, with one text and with one another.
+PART, CELL = 1 << 14, 1 << 17
 _TOP = np.uint64(1 << 63)
 
 
@@ -336,27 +336,27 @@ def band_keys(shingles: np.ndarray, factors: np.ndarray) -> list[int]:
     return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(bands)], dtype=np.uint64).view(np.int64).tolist()
 
 
-def similar(sets: list[np.ndarray], least: float, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i < j) of sorted sets with a Jaccard similarity of at least ``least``; with ``first``, only
-    pairs of the first so many and the others. Shared members are counted in columns, some at once."""
+def similar(sets: list[np.ndarray], group: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of sorted sets of different groups with a Jaccard similarity of at least ``least``. Members that
+    several sets have are counted in columns, some at once; pairs within the largest group aren't looked at."""
     n = np.array([len(x) for x in sets])
     _, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner, shared = np.repeat(np.arange(len(sets)), n), often[at] > 1
     owner, column = owner[shared], (np.cumsum(often > 1) - 1)[at[shared]]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    both = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    names, counts = np.unique(group, return_counts=True)
+    rows = np.flatnonzero(group != names[counts.argmax()])
+    both = np.zeros((len(rows), len(sets)), dtype=np.float32)
     width = max(1, (1 << 22) // len(sets))
     for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         a, b = np.searchsorted(column, [low, low + width])
         some = np.zeros((len(sets), width), dtype=np.float32)
         some[owner[a:b], column[a:b] - low] = 1
-        both += some @ some.T
-    near = np.triu(both >= least * (n[:, None] + n - both) - 1e-6, 1)
-    if first is not None:
-        near[:first, :first] = False
-        near[first:, first:] = False
-    return np.nonzero(near)
+        both += some[rows] @ some.T
+    near = (both >= least * (n[rows, None] + n - both) - 1e-6) & (group[rows, None] != group)
+    i, j = np.nonzero(near)
+    return rows[i], j
 
 
 def near_duplicates(docs: DataFrame, verify_words: int = 5, min_similarity: float = 0.8, miss: float = 1e-6, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -370,7 +370,8 @@ def near_duplicates(docs: DataFrame, verify_words: int = 5, min_similarity: floa
     (fingerprints alone see few such pairs: they differ in 10 of 64 bits). Each text is first
     compared with the first one of each of its buckets. Texts of buckets that this leaves in
     several groups are then searched exactly: two sets at the similarity share a member among
-    their rarest, so many as may be missing and one more, and all that share one are compared, in cells.
+    their rarest, so many as may be missing and one more; texts of different groups in a chain
+    of such members are compared, in cells.
 
     Texts with the same words are one member; a null text has no words; a very long one is read
     whole. Rows with a null id are never removed; an empty table gives no rows.
@@ -420,18 +421,15 @@ def near_duplicates(docs: DataFrame, verify_words: int = 5, min_similarity: floa
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for one, other, x in zip(*batch.columns, strict=True):
-                one, sides = one.as_py(), ([], [])
-                for r in x.as_py():
-                    sides[r["part"] != one].append(r)
-                if one != other.as_py() and not all(sides):
+            for x in batch.column(2):
+                x = x.as_py()
+                nodes, group = (np.array([r[c] for r in x], dtype=np.int64) for c in ("node", "group"))
+                if len(np.unique(group)) < 2:
                     continue
-                rows = sides[0] + sides[1]
-                i, j = similar([np.frombuffer(r["shingles"], dtype="<u8") for r in rows], min_similarity, len(sides[0]) if sides[1] else None)
-                label = np.arange(len(rows))
+                i, j = similar([np.frombuffer(r["shingles"], dtype="<u8") for r in x], group, min_similarity)
+                label = np.arange(len(x))
                 joined(label, i, j)
-                nodes = np.array([r["node"] for r in rows], dtype=np.int64)
-                moved = np.flatnonzero(label != np.arange(len(rows)))
+                moved = np.flatnonzero(label != np.arange(len(x)))
                 if len(moved):
                     yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], names=["u", "v"])
 
@@ -442,8 +440,8 @@ def near_duplicates(docs: DataFrame, verify_words: int = 5, min_similarity: floa
     chains = components(near_fingerprints(fps, max_bits)).withColumnRenamed("node", "fp")
     by_fp = members.where("size(bands) > 0").select("node", "fp").join(chains, "fp", "left").select("node", F.xxhash64(F.lit("fp"), F.coalesce("component", "fp")).alias("bucket"))
     keyed = members.select("node", F.explode("bands").alias("bucket")).union(by_fp)
-    shared = keyed.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n"), F.count("*").alias("_n")).where("n > 1")
-    held = written(by_group(keyed, shared, ["bucket"], (1 + len(factors) // ROWS) * members.count()))
+    shared = keyed.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+    held = written(keyed.join(shared, "bucket"))
     pairs = written(held.where("node <> pivot").select("pivot", "node").distinct())
 
     met = pairs.select("node").union(pairs.select("pivot")).distinct().join(members.select("node", "text_key", F.col("row.doc_id").alias("doc_id")), "node")
@@ -453,33 +451,35 @@ def near_duplicates(docs: DataFrame, verify_words: int = 5, min_similarity: floa
     sets = written(met.select("node", "text_key").join(sets, "text_key").select("node", "shingles", "size"))
 
     # each text with the first of each of its buckets; a first one's texts in parts of about PART shingles
-    parts = pairs.join(sets.select("node", "size"), "node").groupBy("pivot").agg(F.ceil(F.sum("size") / PART).alias("parts"), F.count("*").alias("_n"))
-    dealt = by_group(pairs, parts, ["pivot"]).select("pivot", "node", F.pmod(F.xxhash64("node"), "parts").alias("part"))
-    dealt = dealt.join(sets, "node").groupBy("pivot", "part").agg(F.collect_list(F.struct("node", "shingles")).alias("others"))
-    own = sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("own"))
-    first = written(dealt.join(own, "pivot").select("pivot", "own", "others").mapInArrow(of_first, "u long, v long"))
+    parts = pairs.join(sets.select("node", "size"), "node").groupBy("pivot").agg(F.ceil(F.sum("size") / PART).alias("parts")).where("parts > 1")
+    dealt = pairs.join(parts, "pivot", "left").select("pivot", "node", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1).cast("long"))).alias("part"))
+    dealt = written(dealt)
+    own = dealt.select("pivot", "part").distinct().join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("own")), "pivot")
+    others = dealt.join(sets, "node").groupBy("pivot", "part").agg(F.collect_list(F.struct("node", "shingles")).alias("others"))
+    first = written(others.join(own, ["pivot", "part"]).select("pivot", "own", "others").mapInArrow(of_first, "u long, v long"))
 
     # texts of buckets of three or more that are in several groups still
     groups = written(met.select("node").join(components(first), "node", "left").select("node", F.coalesce("component", "node").alias("group")))
-    apart = held.where("n > 2").join(groups, "node").groupBy("bucket").agg(F.min("group").alias("a"), F.max("group").alias("b"), F.count("*").alias("_n")).where("a <> b").select("bucket", "_n")
-    rest = written(by_group(held.where("n > 2").select("bucket", "node"), apart, ["bucket"]).select("node").distinct().join(groups, "node").join(sets, "node"))
+    apart = held.where("n > 2").join(groups, "node").groupBy("bucket").agg(F.min("group").alias("a"), F.max("group").alias("b")).where("a <> b").select("bucket")
+    rest = written(held.where("n > 2").join(apart.select("bucket"), "bucket", "left_semi").select("node").distinct().join(groups, "node").join(sets, "node"))
     exploding = written(rest.select("node", "size", "shingles").mapInArrow(exploded, "node long, size long, member long"))
-    often = exploding.groupBy("member").agg(F.count("*").alias("n"), F.count("*").alias("_n")).where("n > 1")
-    many = by_group(exploding, often, ["member"]).groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "member"))).alias("all"))
+    often = exploding.groupBy("member").agg(F.count("*").alias("n")).where("n > 1")
+    many = exploding.join(often, "member").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "member"))).alias("all"))
     # members that only one text has come first in the order, and lead to no other text
     missing = F.col("size") - F.ceil(F.lit(min_similarity) * F.col("size") - 1e-6) + 1
     rare = F.slice("all", F.lit(1), F.greatest(F.lit(0), missing - (F.col("size") - F.size("all"))).cast("int"))
     sub = written(many.select("node", F.explode(rare).alias("x")).select("node", "x.member").join(groups, "node"))
-    tested = sub.groupBy("member").agg(F.count("*").alias("n"), F.min("group").alias("a"), F.max("group").alias("b"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).where("a <> b")
-    tested = tested.groupBy(F.col("n").alias("_n"), "who").agg(F.min("member").alias("member")).drop("who")  # the same texts once
-    cells = in_cells(by_group(sub, tested, ["member"]).join(rest.select("node", "shingles", "size"), "node"), ["member"], PART, "node", F.struct("part", "node", "shingles"), "size")
+    tested = sub.groupBy("member").agg(F.min("node").alias("least"), F.min("group").alias("a"), F.max("group").alias("b")).where("a <> b").select("member", "least")
+    clusters = components(sub.join(tested, "member").select(F.col("node").alias("u"), F.col("least").alias("v")))
+    near = written(rest.join(clusters, "node"))
+    cells = in_cells(near, ["component"], CELL, "node", F.struct("part", "node", "group", "shingles"), "size")
     links = written(first.union(cells.mapInArrow(compared, "u long, v long")))
 
     member_of = written(members.join(components(links), "node", "left").select("text_key", "row", F.coalesce("component", "node").alias("group")))
     kept = member_of.groupBy("group").agg(F.min("row").alias("kept"), F.count("*").alias("_n"))
     copies = rows.groupBy("text_key").agg(F.count("*").alias("_n"))
     of_text = written(by_group(member_of, kept, ["group"]).select("text_key", "kept").join(copies, "text_key"))
-    discard(fps, members, held, pairs, met, sets, first, groups, rest, exploding, sub, links, member_of)
+    discard(fps, members, held, pairs, met, sets, dealt, first, groups, rest, exploding, sub, near, links, member_of)
     gone = by_group(rows.select("doc_id", "raw", "text_key"), of_text, ["text_key"]).where("doc_id <> kept.doc_id or raw <> kept.raw")
     return gone.select("doc_id", "raw", F.col("kept.doc_id").alias("component_id"))
 
