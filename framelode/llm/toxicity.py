@@ -35,7 +35,7 @@ WORD_BITS = 20
 START = 1 << WORD_BITS
 SPAN = START + 1
 #: Cells of the pairs' counts: a prime, by which a pair's number is divided.
-PAIRS = 4_194_301
+PAIRS = 1_048_573
 #: Most words that a worker remembers; beyond it, it starts anew.
 REMEMBERED = 100_000
 _WORD = re.compile(r"\w+")
