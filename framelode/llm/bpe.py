@@ -109,7 +109,11 @@ def encoded(docs: DataFrame, ranks: str, pattern: str, **options) -> DataFrame:
 
 
 def digests(docs: DataFrame, ranks: str, pattern: str, **options) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each document; only long texts are shuffled."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_pieces) of each document; only long texts are shuffled.
+
+    A null text is empty: no ids, and the digests of nothing. A very long one is encoded whole, in
+    pieces. Null and repeated ids are documents of their own; other columns, whatever their names,
+    are not read; an empty table gives no rows."""
     brief, spread = _parts(docs, ranks, pattern, **options)
     one = brief.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "n_pieces")
     many = spread.groupBy("row", "doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("piece", "ids", "decoded"))).alias("all"), F.max("n_pieces").alias("n_pieces"))

@@ -88,7 +88,7 @@ def splitters(base: DataFrame, rows: int, total: int, ranges: int, each: int = 3
 def assign_shards(docs: DataFrame, shards: int = 8, rows_per_range: int = 100_000, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, *carry) for every row.
 
-    ``size`` is the text's UTF-8 bytes plus 1 (null: 1). Law ``bytes``: a shard begins with the
+    ``size`` is the text's UTF-8 bytes plus 1 (null: 1); a very long text is one record. Law ``bytes``: a shard begins with the
     first record whose preceding bytes reach its share of all bytes, so shards differ by less
     than the longest record. ``slot`` counts from 0 in each shard without gaps. Null ids order
     as the least id; rows equal in text and id are told apart by their place in the table. An
