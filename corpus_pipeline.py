@@ -2,6 +2,12 @@
 
 Each stage gets the documents that the one before it kept, as that stage left them, and learns
 what it learns from those alone (and from ``labels``, for toxicity).
+
+Of every stage: a null or empty text is a text without words, neither good nor toxic beyond what
+the classes' shares say, and stays null; very long texts are read whole; rows with null or repeated
+ids, and repeated rows, are rows of their own, but near-duplicates keeps one of repeated rows
+with an id; columns beside those of ``documents`` go along, whatever their names, until packing;
+an empty table stays empty.
 """
 
 from __future__ import annotations
