@@ -336,27 +336,30 @@ def band_keys(shingles: np.ndarray, factors: np.ndarray) -> list[int]:
     return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(bands)], dtype=np.uint64).view(np.int64).tolist()
 
 
-def similar(sets: list[np.ndarray], group: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+def similar(sets: list[np.ndarray], group: np.ndarray, least: float, rows_at_once: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of sorted sets of different groups with a Jaccard similarity of at least ``least``. Members that
-    several sets have are counted in columns, some at once; pairs within the largest group aren't looked at."""
-    n = np.array([len(x) for x in sets])
+    several sets have are counted in columns, some rows and columns at once, in bounded memory; pairs
+    within the largest group aren't looked at."""
+    n = np.array([len(x) for x in sets], dtype=np.float32)
     _, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner, shared = np.repeat(np.arange(len(sets)), n), often[at] > 1
+    owner, shared = np.repeat(np.arange(len(sets)), n.astype(np.int64)), often[at] > 1
     owner, column = owner[shared], (np.cumsum(often > 1) - 1)[at[shared]]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     names, counts = np.unique(group, return_counts=True)
-    rows = np.flatnonzero(group != names[counts.argmax()])
-    both = np.zeros((len(rows), len(sets)), dtype=np.float32)
+    others = np.flatnonzero(group != names[counts.argmax()])
     width = max(1, (1 << 22) // len(sets))
-    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        a, b = np.searchsorted(column, [low, low + width])
-        some = np.zeros((len(sets), width), dtype=np.float32)
-        some[owner[a:b], column[a:b] - low] = 1
-        both += some[rows] @ some.T
-    near = (both >= least * (n[rows, None] + n - both) - 1e-6) & (group[rows, None] != group)
-    i, j = np.nonzero(near)
-    return rows[i], j
+    for first in range(0, len(others), rows_at_once):
+        rows = others[first : first + rows_at_once]
+        both = np.zeros((len(rows), len(sets)), dtype=np.float32)
+        for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            a, b = np.searchsorted(column, [low, low + width])
+            some = np.zeros((len(sets), width), dtype=np.float32)
+            some[owner[a:b], column[a:b] - low] = 1
+            both += some[rows] @ some.T
+        i, j = np.nonzero((both >= least * (n[rows, None] + n - both) - 1e-3) & (group[rows, None] != group))
+        sure = both[i, j] >= least * (n[rows[i]].astype(float) + n[j] - both[i, j]) - 1e-6
+        yield rows[i[sure]], j[sure]
 
 
 def near_duplicates(docs: DataFrame, verify_words: int = 5, min_similarity: float = 0.8, miss: float = 1e-6, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -426,9 +429,9 @@ def near_duplicates(docs: DataFrame, verify_words: int = 5, min_similarity: floa
                 nodes, group = (np.array([r[c] for r in x], dtype=np.int64) for c in ("node", "group"))
                 if len(np.unique(group)) < 2:
                     continue
-                i, j = similar([np.frombuffer(r["shingles"], dtype="<u8") for r in x], group, min_similarity)
                 label = np.arange(len(x))
-                joined(label, i, j)
+                for i, j in similar([np.frombuffer(r["shingles"], dtype="<u8") for r in x], group, min_similarity):
+                    joined(label, i, j)
                 moved = np.flatnonzero(label != np.arange(len(x)))
                 if len(moved):
                     yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], names=["u", "v"])
@@ -471,8 +474,8 @@ def near_duplicates(docs: DataFrame, verify_words: int = 5, min_similarity: floa
     sub = written(many.select("node", F.explode(rare).alias("x")).select("node", "x.member").join(groups, "node"))
     tested = sub.groupBy("member").agg(F.min("node").alias("least"), F.min("group").alias("a"), F.max("group").alias("b")).where("a <> b").select("member", "least")
     clusters = components(sub.join(tested, "member").select(F.col("node").alias("u"), F.col("least").alias("v")))
-    near = written(rest.join(clusters, "node"))
-    cells = in_cells(near, ["component"], CELL, "node", F.struct("part", "node", "group", "shingles"), "size")
+    near = written(rest.join(clusters, "node").withColumn("weight", F.col("size") + 64))  # short texts take room too
+    cells = in_cells(near, ["component"], CELL, "node", F.struct("part", "node", "group", "shingles"), "weight")
     links = written(first.union(cells.mapInArrow(compared, "u long, v long")))
 
     member_of = written(members.join(components(links), "node", "left").select("text_key", "row", F.coalesce("component", "node").alias("group")))
