@@ -39,7 +39,7 @@ def run(spark, results, name):
 
 
 def test_every_query_has_a_test():
-    assert set(queries.QUERIES) == {"op1_quality", "op2_embedding_dedup", "op3_simhash", "op4_token_planes", "op5_sampled_splitters", "op6_toxicity", "op7_learned_partitions", "op8_curve_packing", "op9_pii", "op10_byte_bpe"}
+    assert set(queries.QUERIES) == {"op1_quality", "op2_embedding_dedup", "op3_simhash", "op4_token_planes", "op5_sampled_splitters", "op6_toxicity", "op7_learned_partitions", "op8_curve_packing", "op9_pii", "op10_byte_bpe", "op11_hard_negatives", "op12_url_filter", "op13_merkle"}
 
 
 @pytest.mark.parametrize("name", ["op1_quality", "op3_simhash", "op4_token_planes", "op5_sampled_splitters", "op6_toxicity", "op9_pii", "op10_byte_bpe"])
