@@ -205,13 +205,13 @@ def _turns(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_text_ctes('a', _DOCS)} SELECT query_id, doc, round(score, 6) AS score FROM aany")
 def bm25_any_word(spark: SparkSession, d: str) -> DataFrame:
     terms = text.query_terms(_asked_texts(spark, d), "query_id", "query")
-    return text.any_word_scores(terms, text.text_index(t(spark, d, "documents"), "doc_id", "text", terms)).select("query_id", "doc", r6("score").alias("score"))
+    return text.any_word_search(terms, t(spark, d, "documents"), "doc_id", "text").select("query_id", "doc", r6("score").alias("score"))
 
 
 @query(f"WITH {_text_ctes('a', _DOCS)} SELECT query_id, doc, phrase_tf, round(score, 6) AS score FROM aphrase")
 def bm25_phrase(spark: SparkSession, d: str) -> DataFrame:
     terms = text.query_terms(_asked_texts(spark, d), "query_id", "query")
-    return text.phrase_scores(terms, text.text_index(t(spark, d, "documents"), "doc_id", "text", terms)).select("query_id", "doc", "phrase_tf", r6("score").alias("score"))
+    return text.phrase_search(terms, t(spark, d, "documents"), "doc_id", "text").select("query_id", "doc", "phrase_tf", r6("score").alias("score"))
 
 
 _THREE_WORDS = "SELECT item_id * 100 + n AS query_id, list_slice({w}, 3 * n + 1, 3 * n + 3) AS w FROM benchmark, unnest(generate_series(0, 99)) s(n) WHERE 3 * n < len({w})"
@@ -224,16 +224,16 @@ def bm25_short_phrases(spark: SparkSession, d: str) -> DataFrame:
     each = words.select("item_id", "w", F.explode(F.sequence(F.lit(0), F.expr("(size(w) - 1) div 3"))).alias("n"))
     asked = each.select((F.col("item_id") * 100 + F.col("n")).alias("query_id"), F.array_join(F.slice("w", F.col("n") * 3 + 1, F.lit(3)), " ").alias("query"))
     terms = text.query_terms(asked, "query_id", "query")
-    return text.phrase_scores(terms, text.text_index(t(spark, d, "documents"), "doc_id", "text", terms)).select("query_id", "doc", "phrase_tf", r6("score").alias("score"))
+    return text.phrase_search(terms, t(spark, d, "documents"), "doc_id", "text").select("query_id", "doc", "phrase_tf", r6("score").alias("score"))
 
 
 @query(f"WITH {_text_ctes('a', _DOCS)} SELECT query_id, rank, doc, round(score, 6) AS score FROM arank WHERE rank <= 100")
 def stored_index_search(spark: SparkSession, d: str) -> DataFrame:
-    """As ``text_search_topk``, from an index of all words that is written once and read by the asked ones."""
+    """As ``text_search_topk``, from an index of all words that is written once and of which only blocks that can have hits are read."""
     path = tables.scratch_dir(spark)
     text.write_index(t(spark, d, "documents"), path, "doc_id", "text")
     terms = text.query_terms(_asked_texts(spark, d), "query_id", "query")
-    return text.search_index(terms, text.read_index(spark, path, terms), 100).select("query_id", "rank", "doc", r6("score").alias("score"))
+    return text.stored_search(spark, path, terms, 100).hits.select("query_id", "rank", "doc", r6("score").alias("score"))
 
 
 @query(f"WITH {_text_ctes('a', _DOCS)} SELECT query_id, rank, doc, round(score, 6) AS score FROM arank WHERE rank <= 100")

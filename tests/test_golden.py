@@ -289,3 +289,55 @@ def test_checks(spark):
         frames.with_assets(f, f.where("video_id = 'w'"), "video_id", strict=True)
     assert frames.with_assets(f, f.where("video_id = 'w'"), "video_id").count() == 1
     assert rows(frames.first_with_assets(f, f.where("video_id = 'v'"), 1, "video_id", "frame_index")) == [("v", 0)]
+
+
+def test_odd_vectors_take_no_part(spark):
+    nan, inf = float("nan"), float("inf")
+    data = [(i, [float(i), 1.0]) for i in range(8)] + [(8, [nan, 1.0]), (9, [None, 9.0]), (10, [inf, 1.0]), (11, None), (12, [5.0]), (13, [9.0, 9.0, 9.0]), (14, []), (None, [99.0, 1.0])]
+    df = spark.createDataFrame(data, "faiss_id long, embedding array<float>").coalesce(1)
+    asked = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [-1.0, 0.5]), ("n", [nan, 0.0]), ("z", None), ("one", [2.0]), ("h", [None, 1.0])], "query_id string, qvec array<double>")
+    for sent in (100, 1):
+        got = sorted(rows(vectors.knn(asked, df, 3, sent=sent, block=4, query_block=2).select("query_id", "rank", "faiss_id", "score")))
+        assert got == [("a", 1, 7, 7.0), ("a", 2, 6, 6.0), ("a", 3, 5, 5.0), ("b", 1, 0, 0.5), ("b", 2, 1, -0.5), ("b", 3, 2, -1.5), ("one", 1, 12, 10.0)]
+
+
+def test_queries_and_rows_have_ids_of_any_type(spark):
+    data = spark.createDataFrame([(f"r{i:02}", [float(i % 3), 1.0]) for i in range(12)], "frame string, v array<float>")
+    asked = spark.createDataFrame([(1, 0, [1.0, 0.0]), (1, 1, [-1.0, 0.0]), (2, 0, [0.0, 1.0])], "query_id long, event_idx int, qvec array<double>")
+    for sent in (100, 1):
+        found = vectors.knn(asked, data, 2, ["query_id", "event_idx"], row_id="frame", row_vec="v", sent=sent, block=5, query_block=1)
+        assert sorted(rows(found.select("query_id", "event_idx", "rank", "faiss_id"))) == [(1, 0, 1, "r02"), (1, 0, 2, "r05"), (1, 1, 1, "r00"), (1, 1, 2, "r03"), (2, 0, 1, "r00"), (2, 0, 2, "r01")]
+
+
+def test_spaces_share_one_scan(spark, tmp_path):
+    spark.createDataFrame([(i, [float(i), 1.0], [float(-i)]) for i in range(20)], "faiss_id long, a array<float>, b array<float>").write.parquet(str(tmp_path / "points"))
+    data = spark.read.parquet(str(tmp_path / "points"))
+    asked = spark.createDataFrame([(1, [1.0, 0.0], [1.0]), (2, None, [-1.0])], "query_id long, x array<double>, y array<double>")
+    found = vectors.knn_spaces(asked, data, {"one": ("x", "a"), "two": ("y", "b")}, 2)
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    want = [(1, 0, "one", 1, 19), (1, 0, "one", 2, 18), (1, 1, "two", 1, 0), (1, 1, "two", 2, 1), (2, 1, "two", 1, 19), (2, 1, "two", 2, 18)]
+    for sent in (100, 1):
+        assert sorted(rows(vectors.knn_spaces(asked, data, {"one": ("x", "a"), "two": ("y", "b")}, 2, sent=sent, block=7, query_block=1).drop("score"))) == want
+
+
+def test_workers_get_the_package_from_the_driver(tmp_path):
+    """Another working folder, and a package that only the driver's path has."""
+    import os
+    import subprocess
+    import sys
+
+    code = f"""
+import sys
+sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.abspath(__file__)))!r})
+from pyspark.sql import SparkSession
+from framelode.operators import models, text, vectors
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+data = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "faiss_id long, embedding array<float>")
+hits = vectors.knn(data.selectExpr("faiss_id as query_id", "embedding as qvec"), data, 1).collect()
+docs = spark.createDataFrame([(1, "a red car"), (2, "a car")], "faiss_id long, ocr_text string")
+found = text.text_search(spark.createDataFrame([(5, "red car")], "query_id long, query string"), docs, 2).collect()
+print("HITS", [r["faiss_id"] for r in hits], [r["doc"] for r in found])
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYSPARK_PYTHON": sys.executable}
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "HITS [2, 2] [1, 2]" in said.stdout, said.stderr[-2000:]
