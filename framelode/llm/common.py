@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shipping
+from ..operators.joins import by_group
 
-_shipped: set[str] = set()
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -21,20 +20,9 @@ def ship(spark: SparkSession) -> None:
 
     Unless the session says otherwise, tasks get whole texts in batches of 1,000 rows: with the
     usual 10,000, a batch of long ones takes much of a worker's memory."""
-    sc = spark.sparkContext
-    if sc.getConf().get(_BATCH) is None:
+    if spark.sparkContext.getConf().get(_BATCH) is None:
         spark.conf.set(_BATCH, "1000")
-    if sc.applicationId in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    name = os.path.join(tempfile.mkdtemp(prefix="spark-"), "framelode-llm.zip")
-    with zipfile.ZipFile(name, "w") as z:
-        z.write(f"{top}/framelode/__init__.py", "framelode/__init__.py")
-        for f in sorted(os.listdir(f"{top}/framelode/llm")):
-            if f.endswith(".py"):
-                z.write(f"{top}/framelode/llm/{f}", f"framelode/llm/{f}")
-    sc.addPyFile(name)
-    _shipped.add(sc.applicationId)
+    shipping.ship(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,22 +76,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: Most keys that :func:`by_group` broadcasts.
-HOT = 10_000
-
-
-def by_group(rows: DataFrame, groups: DataFrame, keys: list[str], total: int | None = None) -> DataFrame:
-    """``rows`` joined with ``groups``, which has a row for each key and in ``_n`` how many rows the key has.
-
-    Keys with more than a ``HOT``-th of all rows, of which there are at most ``HOT``, are broadcast,
-    so that their rows stay where they are; the others meet by key, in groups of a bounded share."""
-    total = rows.count() if total is None else total
-    usual = max(64, -(-total // HOT))
-    hot = F.broadcast(groups.where(F.col("_n") > usual).drop("_n"))
-    rest = rows.join(hot.select(*keys), keys, "left_anti").join(groups.where(F.col("_n") <= usual).drop("_n"), keys)
-    return rows.join(hot, keys).unionByName(rest)
-
-
 def in_cells(rows: DataFrame, keys: list[str], size: int, by: str, kept: Column, weight: str | None = None) -> DataFrame:
     """(one, other, x): each key's rows are dealt to parts of about ``size`` rows (or of that much ``weight``) by
     the hash of ``by``, and each two parts, and each part with itself, meet in a cell. Keys with a
