@@ -6,20 +6,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
+#: Most indices that :func:`dense_fill` makes at once.
+CHUNK = 1 << 16
+
 
 def nearest_in_time(segments: DataFrame, frames: DataFrame, keys: list[str], time: str, frame_time: str, segment_id: str, frame_id: str) -> DataFrame:
     """(segment columns, nearest frame's id and time): the frame of the same keys with the least
     time difference; equally near, the earlier frame, then the smaller id. Segments without a
-    frame are left out. One sort of both sides by key and time; no pairs are made."""
+    frame, or without a time, are left out.
+
+    Both sides are sorted in ranges of (keys, time), so that a long video is several tasks'; what a range
+    lacks are the last frame before it and the first one after it, which are carried to it from
+    the ranges' ends. No pairs are made."""
     s = segments.select(*keys, F.col(time).alias("_t"), F.lit(1).alias("_seg"), F.lit(None).cast(frames.schema[frame_id].dataType).alias("_f"), F.struct(*segments.columns).alias("_s"))
-    f = frames.select(*keys, F.col(frame_time).alias("_t"), F.lit(0).alias("_seg"), F.col(frame_id).alias("_f"), F.lit(None).cast(s.schema["_s"].dataType).alias("_s"))
+    f = frames.groupBy(*keys, F.col(frame_time).alias("_t")).agg(F.min(frame_id).alias("_f")).select(*keys, "_t", F.lit(0).alias("_seg"), "_f", F.lit(None).cast(s.schema["_s"].dataType).alias("_s"))
     both = s.unionByName(f).where(F.col("_t").isNotNull())
-    upto = W.unboundedPreceding, 0
-    # of frames at one time, the smallest id must be met last on the way up, and on the way down
-    up = W.partitionBy(*keys).orderBy(F.col("_t"), F.col("_seg"), F.col("_f").desc()).rowsBetween(*upto)
-    down = W.partitionBy(*keys).orderBy(F.col("_t").desc(), F.col("_seg"), F.col("_f").desc()).rowsBetween(*upto)
+    ranged = written(both.repartitionByRange(*keys, "_t", "_seg", F.xxhash64("_s")).withColumn("_p", F.spark_partition_id()))
     frame = F.when(F.col("_seg") == 0, F.struct(F.col("_t").alias("t"), F.col("_f").alias("f")))
-    near = both.withColumn("_a", F.last(frame, ignorenulls=True).over(up)).withColumn("_b", F.last(frame, ignorenulls=True).over(down)).where("_seg = 1")
+    ends = W.partitionBy(*keys).orderBy("_p")  # a row for each range of a video
+    before, after = ends.rowsBetween(W.unboundedPreceding, -1), ends.rowsBetween(1, W.unboundedFollowing)
+    carried = ranged.groupBy("_p", *keys).agg(F.max(frame).alias("_a"), F.min(frame).alias("_b"))
+    carried = carried.withColumns({"_a": F.last("_a", ignorenulls=True).over(before), "_b": F.first("_b", ignorenulls=True).over(after)})
+    carried = carried.select("_p", *keys, F.explode(F.array("_a", "_b")).alias("_n")).where("_n is not null")
+    carried = carried.select(*keys, F.col("_n.t").alias("_t"), F.lit(0).alias("_seg"), F.col("_n.f").alias("_f"), F.lit(None).cast(ranged.schema["_s"].dataType).alias("_s"), "_p")
+    upto = W.unboundedPreceding, 0
+    one = W.partitionBy("_p", *keys)
+    up, down = one.orderBy("_t", "_seg").rowsBetween(*upto), one.orderBy(F.desc("_t"), "_seg").rowsBetween(*upto)
+    near = ranged.unionByName(carried).withColumn("_a", F.last(frame, ignorenulls=True).over(up)).withColumn("_b", F.last(frame, ignorenulls=True).over(down)).where("_seg = 1")
     first = F.col("_b").isNull() | (F.col("_a").isNotNull() & ((F.col("_t") - F.col("_a.t")) <= (F.col("_b.t") - F.col("_t"))))
     chosen = near.select("_s.*", F.when(first, F.col("_a")).otherwise(F.col("_b")).alias("_n"))
     return chosen.where("_n is not null").select("*", F.col("_n.f").alias("nearest_faiss_id"), F.col("_n.t").alias("nearest_time")).drop("_n")
@@ -51,8 +66,11 @@ def grouped_by_video(frames: DataFrame) -> DataFrame:
 
 
 def dense_fill(features: DataFrame, keys: list[str], dim: int, index: str = "frame_index", vector: str = "embedding") -> DataFrame:
-    """A row for each index from 0 to the largest of its keys; gaps have zero vectors."""
-    rows = features.groupBy(*keys).agg(F.max(index).alias("_m")).where("_m >= 0").select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_m").cast("bigint"))).alias(index))
+    """A row for each index from 0 to the largest of its keys; gaps have zero vectors. Indices are made ``CHUNK`` at
+    a time, however large the largest."""
+    last = features.groupBy(*keys).agg(F.max(index).cast("bigint").alias("_m")).where("_m >= 0")
+    chunks = last.select(*keys, "_m", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"_m div {CHUNK}"))).alias("_c"))
+    rows = chunks.select(*keys, F.explode(F.sequence(F.col("_c") * CHUNK, F.least("_m", F.col("_c") * CHUNK + CHUNK - 1))).alias(index))
     zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
     return rows.join(features.select(*keys, F.col(index).cast("bigint").alias(index), vector), [*keys, index], "left").withColumn(vector, F.coalesce(vector, zero))
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .models import Use, used
+
 #: Columns that a candidate has besides query_id, event_idx and the video's key.
 CANDIDATE = ("faiss_id", "global_frame_id", "timestamp", "score", "split", "cand_rank")
 
@@ -63,12 +65,21 @@ def ranked_sequences(chains: DataFrame, keys: list[str], n: int = 20) -> DataFra
     return chains.withColumn("seq", F.row_number().over(order).cast("bigint")).where(F.col("seq") <= n)
 
 
-def validated(sequences: DataFrame, model_scores: DataFrame, n_events: int, keep: float = 0.7, blend: float = 0.3) -> DataFrame:
-    """``sequences`` with ``vqa_confidence`` (the mean of their frames' scores ([query_id, event_idx,]
-    faiss_id, vqa); a missing one is 0) blended into ``total_score``, and numbered anew."""
-    on = [c for c in ("query_id", "event_idx", "faiss_id") if c in model_scores.columns]
+def validated(sequences: DataFrame, scores: DataFrame | Use, n_events: int, keep: float = 0.7, blend: float = 0.3, asked: DataFrame | None = None, assets: DataFrame | None = None) -> DataFrame:
+    """``sequences`` with ``vqa_confidence`` (the mean of their frames' scores; a missing one is 0) blended into
+    ``total_score``, and numbered anew.
+
+    ``scores`` is a table ([query_id, event_idx,] faiss_id, vqa), or a model that makes ``vqa`` of columns of
+    ``asked`` (query_id, event_idx, ...), ``assets`` (faiss_id, ...) and the frame's id. The model gets each
+    (query_id, event_idx, faiss_id) of the sequences once, and only those that have an asset."""
     frames = sequences.select("query_id", "seq", F.struct(*sequences.columns).alias("_s"), F.posexplode("frames").alias("event_idx", "_f")).withColumn("faiss_id", F.col("_f.faiss_id"))
-    means = frames.join(model_scores.select(*on, "vqa"), on, "left").groupBy("query_id", "seq").agg(F.avg(F.coalesce("vqa", F.lit(0.0))).alias("vqa_confidence"), F.first("_s").alias("_s"))
+    if isinstance(scores, Use):
+        pool = frames.select("query_id", "event_idx", "faiss_id").distinct()
+        pool = pool if assets is None else pool.join(assets, "faiss_id")
+        pool = pool if asked is None else pool.join(asked, ["query_id", "event_idx"])
+        scores = used(pool, scores, "vqa double").select("query_id", "event_idx", "faiss_id", F.nanvl("vqa", F.lit(0.0)).alias("vqa"))
+    on = [c for c in ("query_id", "event_idx", "faiss_id") if c in scores.columns]
+    means = frames.join(scores.select(*on, "vqa"), on, "left").groupBy("query_id", "seq").agg(F.avg(F.coalesce("vqa", F.lit(0.0))).alias("vqa_confidence"), F.first("_s").alias("_s"))
     blended = means.select("_s.*", "vqa_confidence").withColumn("total_score", F.lit(keep) * F.col("total_score") + F.lit(blend) * F.col("vqa_confidence") * F.lit(n_events))
     order = W.partitionBy("query_id").orderBy(F.round("total_score", 9).desc(), "seq")
     return blended.withColumn("new_seq", F.row_number().over(order).cast("bigint"))

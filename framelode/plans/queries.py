@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import align, frames, fusion, search, temporal, text, vectors
+from ..operators import align, frames, fusion, models, search, temporal, text, vectors
 from ..sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -440,6 +440,40 @@ def answers_join(spark: SparkSession, d: str) -> DataFrame:
     return fusion.answers(hits, answered).select("query_id", F.col("id").alias("faiss_id"), "answer", "n")
 
 
+@query(_knn_sql(k=50).replace("SELECT query_id, rank, faiss_id, video_id, round(score, 6) AS score FROM r WHERE rank <= 50", """, h AS (SELECT r.* FROM r WHERE rank <= 50)
+SELECT h.query_id, h.faiss_id, CAST(h.video_id AS BIGINT) AS video_id, lang || '/' || doc_id || ' answers ' || len(CAST(h.query_id AS VARCHAR)) || ' and ' || h.video_id AS answer, row_number() OVER (PARTITION BY h.query_id ORDER BY h.rank) - 1 AS n
+FROM h JOIN documents d ON d.doc_id = h.faiss_id WHERE d.doc_id % 4 <> 3 AND (h.faiss_id + h.query_id) % 5 <> 0"""))
+def answers_by_model(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest frames that have a document as their image, asked four at once; the model has no answer to every fifth."""
+
+    def load():
+        def answer(frame):
+            said = frame["path"] + " answers " + frame["query"].str.len().astype(str) + " and " + frame["video_id"].astype(str)
+            return said.where((frame["id"] + frame["query"].astype(int)) % 5 != 0, None).to_frame("answer")
+
+        return answer
+
+    rows = _frames(spark, d)
+    asked = _asked(rows).withColumn("query", F.col("query_id").cast("string"))
+    images = t(spark, d, "documents").where("doc_id % 4 <> 3").select(F.col("doc_id").alias("faiss_id"), F.concat_ws("/", "lang", "doc_id").alias("path"))
+    use = models.Use(models.Loaded(load), ["query", "path", "id", "video_id"], 4)
+    return search.answered_search(asked, rows, rows.select("faiss_id", "video_id"), 50, use, images).select("query_id", "faiss_id", "video_id", "answer", "n")
+
+
+@query(f"""WITH {_text_ctes('a', _DOCS)}, rk AS (SELECT query_id, rank, doc AS id, score AS final_score FROM arank WHERE rank <= 100)""" + _RERANK.replace("COALESCE(1 / (1 + exp(toxic - quality)), 0.0)", "((length(text) * 31 + rk.id * 17) % 101) / 100.0::DOUBLE").replace("LEFT JOIN labels ON rk.id = labels.doc_id", "JOIN benchmark ON item_id = query_id") + "SELECT query_id, rank, id, round(final_score, 6) AS final_score, in_pool FROM z")
+def rerank_by_model(spark: SparkSession, d: str) -> DataFrame:
+    """Hits reranked by a stand-in scorer, which gets each query's pool alone, 64 rows at once."""
+
+    def load():
+        return lambda frame: (((frame["query"].str.len() * 31 + frame["id"] * 17) % 101) / 100.0).to_frame("vqa")
+
+    asked = _asked_texts(spark, d)
+    found = text.text_search(asked, t(spark, d, "documents"), 100, id_col="doc_id", text_col="text")
+    ranked = found.select("query_id", "rank", F.col("doc").alias("id"), F.col("score").alias("final_score")).join(asked, "query_id")
+    scored = fusion.rerank_pool(ranked, models.Use(models.Loaded(load), ["query", "id"], 64))
+    return _rounded(scored.select("query_id", "rank", "id", "final_score", "in_pool"), "final_score")
+
+
 # ---------------------------------------------------------------- time
 
 
@@ -568,6 +602,34 @@ def sequence_nested(spark: SparkSession, d: str) -> DataFrame:
     return nested.select("query_id", F.col("seq_id").alias("id"), F.col("f.id").alias("n"), "f.folder_key", "f.video_key", "f.frame_key", F.round("f.timestamp", 3).alias("timestamp"))
 
 
+_FROM_VECTORS = f"""WITH ev AS (SELECT q.vec_id AS query_id, i.i AS event_idx, e.embedding::DOUBLE[] AS qv FROM embeddings q CROSS JOIN (VALUES (0), (1), (2)) i(i) JOIN embeddings e ON e.vec_id = q.vec_id + i.i WHERE q.vec_id % 100 = 0),
+h AS (SELECT query_id, event_idx, e.vec_id AS faiss_id, CAST(e.label AS BIGINT) AS video_id, e.vec_id / 25.0::DOUBLE AS ts, round(list_dot_product(qv, e.embedding::DOUBLE[]), 9) AS score, 's' || e.vec_id % 3 AS split FROM ev CROSS JOIN embeddings e),
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, event_idx ORDER BY score DESC, faiss_id) AS cand_rank FROM h) WHERE cand_rank <= 100)"""
+
+
+@query(_FROM_VECTORS + _FULL + ", " + _beam_sql(3, "a") + _ranked_sql(3, 20) + """, f AS (SELECT query_id, seq, unnest([0, 1, 2]) AS event_idx, unnest(ids) AS id FROM z),
+m AS (SELECT query_id, seq, avg(CASE WHEN d.doc_id IS NULL THEN 0.0 ELSE ((length('Is there a event ' || event_idx || ' of ' || query_id || '?') * 31 + id * 17 + n_chars) % 101) / 100.0::DOUBLE END) AS conf FROM f LEFT JOIN documents d ON doc_id = id AND doc_id % 4 <> 3 GROUP BY ALL),
+y AS (SELECT z.*, conf, 0.7 * total + 0.3 * conf * 3 AS blended FROM z JOIN m USING (query_id, seq)),
+w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(blended, 9) DESC, seq) AS place FROM y)
+SELECT query_id, place AS seq, video_id, array_to_string(ids, ',') AS ids, array_to_string(list_sort(list_distinct(splits)), ',') AS splits, round(conf, 6) AS vqa_confidence, round(blended, 6) AS total_score FROM w""")
+def temporal_end_to_end(spark: SparkSession, d: str) -> DataFrame:
+    """Every hundredth vector and the two after it as a query's events: retrieval, beam, validation by a stand-in scorer of
+    frames that have an image, and ranking."""
+
+    def load():
+        return lambda frame: (((frame["question"].str.len() * 31 + frame["faiss_id"] * 17 + frame["n_chars"]) % 101) / 100.0).to_frame("vqa")
+
+    rows = _frames(spark, d)
+    steps = rows.where("faiss_id % 100 < 3").select(F.expr("faiss_id div 100 * 100").alias("query_id"), F.expr("int(faiss_id % 100)").alias("event_idx"), F.col("embedding").alias("qvec"))
+    events = steps.withColumn("query", F.concat(F.lit("event "), "event_idx", F.lit(" of "), "query_id"))
+    of = rows.select("faiss_id", "video_id", F.col("faiss_id").alias("global_frame_id"), C.frame_seconds(F.col("faiss_id")).alias("timestamp"), F.concat(F.lit("s"), F.expr("faiss_id % 3")).alias("split"))
+    images = t(spark, d, "documents").where("doc_id % 4 <> 3").select(F.col("doc_id").alias("faiss_id"), "n_chars")
+    use = models.Use(models.Loaded(load), ["question", "faiss_id", "n_chars"], 64)
+    z = search.temporal_search(events, rows, of, ["video_id"], 3, alpha=_ALPHA, vqa=use, assets=images)
+    ids = F.array_join(F.transform("frames", lambda f: f["faiss_id"].cast("string")), ",")
+    return z.select("query_id", "seq", "video_id", ids.alias("ids"), F.array_join(temporal.splits_of(), ",").alias("splits"), r6("vqa_confidence").alias("vqa_confidence"), r6("total_score").alias("total_score"))
+
+
 # ---------------------------------------------------------------- metadata, assets, checks
 
 

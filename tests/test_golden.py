@@ -341,3 +341,120 @@ print("HITS", [r["faiss_id"] for r in hits], [r["doc"] for r in found])
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYSPARK_PYTHON": sys.executable}
     said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "HITS [2, 2] [1, 2]" in said.stdout, said.stderr[-2000:]
+
+
+@pytest.fixture
+def diary(tmp_path):
+    """A folder in which models note their loads and the frames they get, on this machine."""
+    import os
+    import uuid
+
+    def note(kind, rows_):
+        with open(os.path.join(str(tmp_path), f"{kind}-{uuid.uuid4().hex}"), "w") as f:
+            f.write("\n".join(map(str, rows_)))
+
+    def read(kind):
+        return [(p.read_text().splitlines() if p.stat().st_size else []) for p in tmp_path.iterdir() if p.name.startswith(f"{kind}-")]
+
+    return note, read
+
+
+def test_models_get_frames_of_their_size_and_are_loaded_once_a_worker(spark, diary):
+    note, read = diary
+
+    def load():
+        import os
+
+        note("load", [os.getpid()])
+        return lambda f: (note("call", f["id"].tolist()), (f["id"] * 2).to_frame("twice"))[1]
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        table = spark.range(0, 100, 1, 6).withColumn("wanted", F.col("id") % 4 == 1)
+        use = models.Use(models.Loaded(load), ["id"], 5)
+        got = models.used(table, use, "twice bigint", "wanted").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r["id"]: r["twice"] for r in got} == {i: 2 * i if i % 4 == 1 else None for i in range(100)} and len(got) == 100
+    calls = read("call")
+    assert sorted(int(i) for c in calls for i in c) == [i for i in range(100) if i % 4 == 1] and max(map(len, calls)) == 5
+    assert len(calls) <= 6 * 2 and sum(len(c) < 5 for c in calls) <= 6  # a smaller one only at a task's end
+    pids = [p for c in read("load") for p in c]
+    assert len(pids) == len(set(pids)) and len(pids) <= 4
+
+
+def test_a_frame_that_the_model_leaves_out_is_an_error(spark):
+    with pytest.raises(Exception, match="fewer frames"):
+        models.with_model(spark.range(5), lambda frames_: (f.assign(n=0) for f in list(frames_)[1:]), ["id"], "n bigint", batch=1).collect()
+
+
+def test_only_the_pool_reaches_the_model(spark, diary):
+    note, read = diary
+    ranked = spark.createDataFrame([(q, r, r, 1.0 - r / 10) for q in (1, 2) for r in range(1, 6)], "query_id long, rank long, id long, final_score double")
+    use = models.Use(models.Loaded(lambda: lambda f: (note("call", f["id"].tolist()), (f["id"] == 2).astype(float).where(f["id"] != 1).to_frame("vqa"))[1]), ["id"], 64)
+    got = rows(fusion.rerank_pool(ranked, use, pool=2).where("query_id = 1").orderBy("rank").select("id", "in_pool", F.round("final_score", 6)))
+    assert got == [(2, True, 0.86), (1, True, 0.63), (3, False, 0.7), (4, False, 0.6), (5, False, 0.5)]
+    assert sorted(i for c in read("call") for i in c) == ["1", "1", "2", "2"]
+
+
+def test_answers_are_asked_of_frames_with_an_image(spark, diary):
+    note, read = diary
+    data = spark.createDataFrame([(i, [float(i)]) for i in range(1, 7)], "faiss_id long, embedding array<float>")
+    q = spark.createDataFrame([("a", "what", [1.0]), ("b", "who", [-1.0])], "query_id string, query string, qvec array<double>")
+    images = spark.createDataFrame([(i, f"/{i}.jpg") for i in (2, 3, 5, 6)], "faiss_id long, path string")
+    use = models.Use(models.Loaded(lambda: lambda f: (note("call", f["path"].tolist()), (f["query"] + f["path"]).where(f["path"] != "/5.jpg", None).to_frame("answer"))[1]), ["query", "path"], 4)
+    found = search.answered_search(q, data, data.select("faiss_id"), 4, use, images)
+    assert sorted(rows(found.select("query_id", "n", "faiss_id", "answer"))) == [("a", 0, 6, "what/6.jpg"), ("a", 1, 3, "what/3.jpg"), ("b", 0, 2, "who/2.jpg"), ("b", 1, 3, "who/3.jpg")]
+    assert sorted(p for c in read("call") for p in c) == ["/2.jpg", "/3.jpg", "/3.jpg", "/5.jpg", "/6.jpg"] and max(map(len, read("call"))) <= 4
+    table = spark.createDataFrame([("a", 6, "x"), ("a", 1, "y")], "query_id string, faiss_id long, answer string")
+    assert sorted(rows(search.answered_search(q, data, data.select("faiss_id"), 6, table, images).select("faiss_id", "answer"))) == [(6, "x")]
+
+
+def test_temporal_search_from_vectors(spark, diary):
+    note, read = diary
+    data = [(v * 10 + i, [float(v == 1) * (3 - i) + 0.5, float(i)]) for v in (1, 2) for i in range(3)] + [(30, [9.0, 0.0])]
+    vecs = spark.createDataFrame(data, "faiss_id long, embedding array<float>")
+    of = spark.createDataFrame([(i, f"v{i // 10}", i, None, "s") for i, _ in data], "faiss_id long, video_id string, global_frame_id long, timestamp double, split string")
+    events = spark.createDataFrame([("q", 0, "start", [1.0, 0.0]), ("q", 1, "END", [0.0, 1.0]), ("none", 0, "start", [1.0, 0.0])], "query_id string, event_idx int, query string, qvec array<double>")
+    plain = search.temporal_search(events, vecs, of, ["video_id"], 2, per_event=7, top=3)
+    got = [(r["query_id"], r["seq"], r["video_id"], [f["faiss_id"] for f in r["frames"]], r["total_score"], r["vqa_confidence"]) for r in plain.orderBy("seq").collect()]
+    assert got == [("q", 1, "v1", [10, 12], 5.5, None), ("q", 2, "v1", [10, 11], 4.5, None), ("q", 3, "v1", [11, 12], 4.5, None)]
+    images = spark.createDataFrame([(11, "/11"), (12, "/12"), (99, "/99")], "faiss_id long, path string")
+    use = models.Use(models.Loaded(lambda: lambda f: (note("call", (f["question"] + f["path"]).tolist()), (f["path"] == "/11").astype(float).to_frame("vqa"))[1]), ["question", "path"], 2)
+    found = search.temporal_search(events, vecs, of, ["video_id"], 2, per_event=7, top=3, vqa=use, assets=images).orderBy("seq").collect()
+    assert [([f["faiss_id"] for f in r["frames"]], round(r["total_score"], 6), r["vqa_confidence"]) for r in found] == [([10, 12], 3.85, 0.0), ([10, 11], 3.45, 0.5), ([11, 12], 3.45, 0.5)]
+    # each frame of an event once, and only those with an image
+    assert sorted(x for c in read("call") for x in c) == ["Is there a end?/11", "Is there a end?/12", "Is there a start?/11"]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_a_long_video_is_several_tasks(spark, seed):
+    import random
+
+    random.seed(seed)
+    videos = ["long"] * 18 + ["a", None]
+    segments = [(i, random.choice(videos), random.choice([None, random.randint(0, 400) / 4, 7.0])) for i in range(900)]
+    of = [(i, random.choice([*videos, "only frames"]), random.choice([None, random.randint(100, 300) / 4, 50.0])) for i in range(300)] + [(1000, "far", 1.0)]
+    s = spark.createDataFrame(segments + [(5000, "far", -3.0), (5001, "far", 9.0), (5002, "none", 1.0)], "seg long, video_id string, mid double").repartition(3)
+    f = spark.createDataFrame(of, "faiss_id long, video_id string, timestamp double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        got = {r["seg"]: (r["nearest_faiss_id"], r["nearest_time"]) for r in align.nearest_in_time(s, f, ["video_id"], "mid", "timestamp", "seg", "faiss_id").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want = {}
+    for i, v, t in segments + [(5000, "far", -3.0), (5001, "far", 9.0)]:
+        near = min(((abs(t - u), u, j) for j, w, u in of if w == v and u is not None), default=None) if t is not None else None
+        if near:
+            want[i] = (near[2], near[1])
+    assert got == want and len(want) > 500
+
+
+def test_gaps_are_filled_however_large_the_index(spark):
+    f = spark.createDataFrame([("v", 0, [1.0]), ("v", 100_000_000, [3.0]), ("v", 70_000, [2.0])], "video_id string, frame_index int, embedding array<float>")
+    chunks = align.dense_fill(f, ["video_id"], 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence" in chunks
+    small = align.dense_fill(f.where("frame_index < 100000"), ["video_id"], 1)
+    assert small.count() == 70_001 and rows(small.where("embedding[0] <> 0").orderBy("frame_index").select("frame_index")) == [(0,), (70_000,)]
