@@ -136,3 +136,23 @@ def missing_assets(frames: DataFrame, assets: DataFrame, on: str) -> DataFrame:
 def verdict(checks: DataFrame) -> DataFrame:
     """Of checks (name, ok): whether all passed, and how many didn't."""
     return checks.agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("ok"), F.coalesce(F.sum((~F.col("ok")).cast("bigint")), F.lit(0)).alias("failed"))
+
+
+def checked(vectors: DataFrame, frames: DataFrame, features: DataFrame, keys: list[str], dim: int | None = None, vector: str = "embedding", index: str = "frame_index") -> DataFrame:
+    """(name, ok, bad_rows) of all checks in one scan of each table: ``counts`` (as many vectors as frames), ``shape``
+    (vectors whose length isn't ``dim``, or, if that isn't given, not the largest), ``bounds`` (videos, by ``keys``, whose largest
+    ``index`` has no row in ``features``), ``duplicates`` (indices that a video has several times)."""
+    zero = F.lit(0).cast("bigint")
+    lengths = vectors.groupBy(F.coalesce(F.size(vector), F.lit(-1)).alias("dim")).agg(F.count("*").alias("n"))  # a row for each length
+    of_vectors = lengths.agg(F.coalesce(F.sum("n"), zero).alias("n_vectors"), F.coalesce(F.max("dim"), F.lit(-1)).alias("most"), F.collect_list(F.struct("dim", "n")).alias("x"))
+    fits = F.col("most") if dim is None else F.lit(dim)
+    bad_shape = F.aggregate("x", zero, lambda a, x: a + F.when(x["dim"] == fits, zero).otherwise(x["n"]))
+    of_vectors = of_vectors.select("n_vectors", bad_shape.alias("bad_shape"))
+    of_video = frames.groupBy(*keys, index).agg(F.count("*").alias("n")).groupBy(*keys).agg(F.sum("n").alias("n"), F.max(index).alias("last"), F.sum((F.col("n") > 1).cast("bigint")).alias("twice"))
+    rows = features.groupBy(*keys).agg(F.count("*").alias("rows"))
+    both = of_video.join(rows, keys, "left")
+    of_frames = both.agg(F.coalesce(F.sum("n"), zero).alias("n_frames"), F.coalesce(F.sum("twice"), zero).alias("twice"), F.coalesce(F.sum((F.coalesce("rows", zero) <= F.col("last")).cast("bigint")), zero).alias("out_of_bounds"))
+    one = of_vectors.join(of_frames, F.lit(True))  # a row each
+    found = {"counts": F.abs(F.col("n_vectors") - F.col("n_frames")), "shape": F.col("bad_shape"), "bounds": F.col("out_of_bounds"), "duplicates": F.col("twice")}
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), (bad == 0).alias("ok"), bad.alias("bad_rows")) for name, bad in found.items())))
+    return one.select(each.alias("x")).select("x.*")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
 from .models import Use, used
 
 #: Columns that a candidate has besides query_id, event_idx and the video's key.
@@ -95,3 +96,27 @@ def temporal_search(hits: DataFrame, keys: list[str], n_events: int, per_event:
     """Candidates, videos with all events, beam search and ranking as one plan."""
     found = with_all_events(candidates(hits, per_event), keys, n_events)
     return ranked_sequences(beam_search(found, keys, n_events, beam, alpha), keys, top)
+
+
+def most_possible(found: DataFrame, keys: list[str]) -> DataFrame:
+    """(query_id, *keys, bound): no chain of the video scores more than the sum of its best candidates, or 0 if that is less."""
+    best = found.groupBy("query_id", *keys, "event_idx").agg(F.max("score").alias("best"))
+    return best.groupBy("query_id", *keys).agg(F.greatest(F.lit(0.0), F.sum("best")).alias("bound"))
+
+
+def bounded_search(hits: DataFrame, keys: list[str], n_events: int, per_event: int = 100, beam: int = 50, alpha: float = 0.01, top: int = 20, first: int = 20) -> tuple[DataFrame, DataFrame]:
+    """The rows of :func:`temporal_search`, and the videos (query_id, *keys) that went through the beam.
+
+    A query's ``first`` most promising videos go first; their ``top``-th chain is the least that counts,
+    and of the others only those go whose bound reaches it. ``alpha`` isn't negative."""
+    found = written(with_all_events(candidates(hits, per_event), keys, n_events))
+    bounds = written(most_possible(found, keys).withColumn("_nth", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bound"), *keys))))
+    chosen = bounds.where(F.col("_nth") <= first)
+
+    def chains(videos: DataFrame) -> DataFrame:
+        return beam_search(found.join(videos.select("query_id", *keys), ["query_id", *keys], "left_semi"), keys, n_events, beam, alpha)
+
+    one = written(chains(chosen))
+    nth = one.withColumn("_n", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("total_score")))).where(F.col("_n") == top).select("query_id", F.col("total_score").alias("_least"))
+    rest = bounds.where(F.col("_nth") > first).join(nth, "query_id", "left").where(F.col("_least").isNull() | (F.col("bound") >= F.col("_least") - 1e-9 * F.abs("_least")))
+    return ranked_sequences(one.unionByName(chains(rest)), keys, top), chosen.select("query_id", *keys).union(rest.select("query_id", *keys))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import align, frames, fusion, models, search, temporal, text, vectors
-from ..sources import tables
+from ..sources import stored, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -587,6 +587,12 @@ def beam_three_events(spark: SparkSession, d: str) -> DataFrame:
     return _shown(_three(spark, d, 500))
 
 
+@query(_THREE + _ranked_sql(3, 20) + _SHOWN)
+def beam_bounded(spark: SparkSession, d: str) -> DataFrame:
+    """The best twenty, of videos that can still have one of them."""
+    return _shown(temporal.bounded_search(_step_hits(spark, d), ["video_id"], 3, _PER_EVENT, alpha=_ALPHA, top=20, first=10)[0])
+
+
 @query(_THREE + _ranked_sql(3, 100) + """, f AS (SELECT query_id, seq, unnest(ids) AS id FROM z),
 m AS (SELECT query_id, seq, avg(COALESCE(1 / (1 + exp(toxic - quality)), 0.0)) AS conf FROM f LEFT JOIN labels ON doc_id = id GROUP BY ALL),
 y AS (SELECT z.query_id, z.seq, z.video_id, conf, 0.7 * total + 0.3 * conf * 3 AS total FROM z JOIN m USING (query_id, seq))
@@ -726,6 +732,16 @@ def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
     return tables.upsert(e.where("event_type <> 'purchase'"), e.where("event_type = 'purchase'"), ["user_id"], "event_id")
 
 
+@query("SELECT user_id, arg_max(event_type, (CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END, event_id)) AS event_type, arg_max(value, (CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END, event_id)) AS value, COALESCE(max(event_id) FILTER (event_type = 'purchase'), max(event_id)) AS event_id FROM events GROUP BY ALL")
+def stored_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """As ``upsert_latest``, by two writes to a stored table, of which the second is made twice."""
+    path, e = tables.scratch_dir(spark), t(spark, d, "events").select("user_id", "event_type", "value", "event_id")
+    stored.create(spark, path, "user_id BIGINT, event_type STRING, value DOUBLE, event_id BIGINT", ["user_id"], 16)
+    for rows in (e.where("event_type <> 'purchase'"), *[e.where("event_type = 'purchase'")] * 2):
+        stored.write(rows, path, "event_id")
+    return stored.read(spark, path)
+
+
 @query("SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS ocr_text, count(*) AS n_boxes, 'vi' AS language FROM conversations WHERE text IS NOT NULL AND trim(text) <> '' GROUP BY ALL")
 def text_assembly(spark: SparkSession, d: str) -> DataFrame:
     return align.assemble_text(t(spark, d, "conversations"), ["conv_id"], "turn", "text")
@@ -782,6 +798,19 @@ def check_verdict(spark: SparkSession, d: str) -> DataFrame:
     return frames.verdict(counts.union(check_shape(spark, d).select(F.lit("shape"), "ok")))
 
 
+@query("""WITH f AS (SELECT CAST(label AS BIGINT) AS video_id, vec_id // 10 AS i, count(*) AS n FROM embeddings GROUP BY ALL), v AS (SELECT video_id, max(i) AS last FROM f GROUP BY ALL), l AS (SELECT doc_id % 12 AS video_id, count(*) AS n FROM labels GROUP BY ALL)
+SELECT name, bad_rows = 0 AS ok, bad_rows::BIGINT AS bad_rows FROM (
+  SELECT 'counts' AS name, abs((SELECT count(*) FROM documents) - (SELECT count(*) FROM embeddings)) AS bad_rows
+  UNION ALL SELECT 'shape', (SELECT count(*) FROM documents WHERE len(string_split(text, ' ')) <> 100)
+  UNION ALL SELECT 'bounds', (SELECT count(*) FROM v LEFT JOIN l USING (video_id) WHERE COALESCE(l.n, 0) <= last)
+  UNION ALL SELECT 'duplicates', (SELECT count(*) FROM f WHERE n > 1))""")
+def checks_in_one_pass(spark: SparkSession, d: str) -> DataFrame:
+    """Documents' words as vectors of a hundred, vectors as frames, labels as the features of twelve videos."""
+    words = t(spark, d, "documents").select(F.split("text", " ").alias("embedding"))
+    f = t(spark, d, "embeddings").select(F.col("label").cast("bigint").alias("video_id"), F.expr("vec_id div 10").alias("frame_index"))
+    return frames.checked(words, f, t(spark, d, "labels").select(F.expr("doc_id % 12").alias("video_id")), ["video_id"], 100)
+
+
 @query("SELECT doc_id, n_chars FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 25")
 def deterministic_sample(spark: SparkSession, d: str) -> DataFrame:
     return frames.deterministic_sample(t(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")

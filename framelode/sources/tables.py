@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,23 +27,57 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def frame_records(spark: SparkSession, path: str) -> DataFrame:
+    """(key, frame, record): the members {id: frame} of a JSON object, or frames one after another (with ``faiss_id``, as in
+    JSON lines), of each file; ``frame`` is null where a record can't be read. A missing path has no records.
+
+    Files are read in splits, however long their lines: what ends with a brace is a piece, and pieces between
+    which a text runs on (its braces are inside quotes) are put together again. Frames have no members
+    that are objects themselves."""
+    kind = f"faiss_id BIGINT, {FRAME_FIELDS}"
+    if not exists(spark, path):
+        return spark.createDataFrame([], f"key STRING, frame STRUCT<{kind}>, record STRING")
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    pieces = spark.read.option("lineSep", "}").text(path).select(F.col("_metadata.file_path").alias("file"), at.alias("at"), "value")
+    quotes = F.length(F.regexp_replace(F.regexp_replace("value", r"\\.", ""), '[^"]', ""))
+    # texts with a brace: their pieces have an odd number of quotes, the first and the last of each in turn
+    odd = pieces.where(quotes % 2 == 1).select("file", "at")
+    order = W.partitionBy("file").orderBy("at")
+    begun = odd.withColumns({"n": F.row_number().over(order), "upto": F.lead("at").over(order)}).where("n % 2 = 1")
+    ranges = begun.select(F.col("file").alias("_file"), F.col("at").alias("since"), "upto", F.explode(F.array_distinct(F.array("at.block", F.coalesce("upto.block", "at.block")))).alias("_block"))
+    inside = (F.col("file") == F.col("_file")) & (F.col("at.block") == F.col("_block")) & (F.col("at") >= F.col("since")) & (F.col("at") <= F.col("upto"))
+    marked = pieces.join(ranges, inside, "left").select("file", "at", "value", "since")
+    whole = marked.where("since is not null").groupBy("file", "since").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), "}").alias("value"))
+    records = marked.where("since is null").select("value").union(whole.select("value")).where(~F.col("value").rlike(r"^[\s,\[\]{]*$"))
+    named = r'^[\s,{\[]*"((?:[^"\\]|\\.)*+)"\s*:\s*(\{[\s\S]*)$'
+    of_key = F.col("value").rlike(named)
+    body = F.concat(F.when(of_key, F.regexp_extract("value", named, 2)).otherwise(F.regexp_replace("value", r"^[\s,\[]+", "")), F.lit("}"))
+    read = F.from_json(body, T.StructType.fromDDL(f"{kind}, _bad STRING"), {"columnNameOfCorruptRecord": "_bad"})
+    out = records.select(F.when(of_key, F.regexp_extract("value", named, 1)).alias("key"), read.alias("r"), body.alias("record"))
+    names = [f.name for f in T.StructType.fromDDL(kind).fields]
+    frame = F.struct(*(F.col(f"r.{n}").alias(n) for n in names))
+    id_ = F.coalesce(F.expr("try_cast(key as bigint)"), F.col("r.faiss_id"))
+    return out.select(F.coalesce("key", F.col("r.faiss_id").cast("string")).alias("key"), F.when(F.col("r._bad").isNull() & id_.isNotNull(), frame.withField("faiss_id", id_)).alias("frame"), "record")
+
+
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object {id: frame} as rows sorted by nothing; a frame without a required field is an error."""
-    found = _frames(spark, path)
+    """The frames of :func:`frame_records`; a record that can't be read, or a frame without a required field, is an error."""
+    found = frame_records(spark, path)
     required = ["split", "video_id", "frame_name", "frame_index", "global_frame_id"]
-    missing = F.concat(F.lit("frame without a required field: "), F.coalesce(F.col("faiss_id").cast("string"), F.lit("?")))
-    return found.withColumn("faiss_id", F.when(F.greatest(*(F.col(c).isNull() for c in required)), F.raise_error(missing).cast("bigint")).otherwise(F.col("faiss_id")))
+    wrong = F.concat(F.lit("frame without a required field: "), F.coalesce("key", F.substring("record", 1, 100)))
+    missing = F.col("frame").isNull() | F.greatest(*(F.col(f"frame.{c}").isNull() for c in required))
+    return found.select(F.when(missing, F.raise_error(wrong).cast("bigint")).otherwise(F.col("frame.faiss_id")).alias("faiss_id"), *(F.col(f"frame.{n}") for n in T.StructType.fromDDL(FRAME_FIELDS).names))
 
 
 def read_frames_or_none(spark: SparkSession, path: str) -> DataFrame:
-    """Like :func:`read_frames`, but a missing or broken file has no rows and fields may be missing."""
-    return _frames(spark, path) if exists(spark, path) else spark.createDataFrame([], FRAMES)
+    """Like :func:`read_frames`, but fields may be missing, and a record that can't be read, or a missing file, has no
+    rows; :func:`bad_frames` has such records."""
+    return frame_records(spark, path).where("frame is not null").select("frame.*")
 
 
-def _frames(spark: SparkSession, path: str) -> DataFrame:
-    whole = spark.read.text(path, wholetext=True)
-    parsed = whole.select(F.explode(F.from_json("value", T.MapType(T.StringType(), T.StructType.fromDDL(FRAME_FIELDS)))))
-    return parsed.select(F.col("key").cast("bigint").alias("faiss_id"), "value.*")
+def bad_frames(spark: SparkSession, path: str) -> DataFrame:
+    """(key, record) of the records that can't be read."""
+    return frame_records(spark, path).where("frame is null").select("key", "record")
 
 
 def read_ocr(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framelode.functions import columns as C
 from framelode.operators import align, frames, fusion, models, search, temporal, text, vectors
-from framelode.sources import tables
+from framelode.sources import stored, tables
 
 
 def rows(df):
@@ -386,6 +386,8 @@ def test_models_get_frames_of_their_size_and_are_loaded_once_a_worker(spark, dia
 def test_a_frame_that_the_model_leaves_out_is_an_error(spark):
     with pytest.raises(Exception, match="fewer frames"):
         models.with_model(spark.range(5), lambda frames_: (f.assign(n=0) for f in list(frames_)[1:]), ["id"], "n bigint", batch=1).collect()
+    with pytest.raises(Exception, match="fewer frames"):
+        models.with_model(spark.range(0, 5, 1, 1), lambda frames_: iter([next(frames_).assign(n=0)]), ["id"], "n bigint", batch=1).collect()
 
 
 def test_only_the_pool_reaches_the_model(spark, diary):
@@ -458,3 +460,85 @@ def test_gaps_are_filled_however_large_the_index(spark):
     assert "sequence" in chunks
     small = align.dense_fill(f.where("frame_index < 100000"), ["video_id"], 1)
     assert small.count() == 70_001 and rows(small.where("embedding[0] <> 0").orderBy("frame_index").select("frame_index")) == [(0,), (70_000,)]
+
+
+def test_one_json_file_is_read_by_several_tasks(spark, tmp_path):
+    import json
+
+    frame = lambda i: {"split": f"s{i % 3}", "video_id": f"v}}{i} \\\" {{\"x\": 1}}, " if i % 50 == 7 else f"v{i}", "frame_name": "n" * (i % 40), "frame_index": i, "global_frame_id": 25 * i}
+    data = {str(i): frame(i) for i in range(2000)}
+    forms = {"line": json.dumps(data), "indented": json.dumps(data, indent=2), "dense": json.dumps(data, separators=(",", ":")), "lines": "\n".join(json.dumps({"faiss_id": int(k)} | v) for k, v in data.items())}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+    try:
+        for name, said in forms.items():
+            (tmp_path / name).write_text(said)
+            for read in (tables.read_frames, tables.read_frames_or_none):
+                found = read(spark, str(tmp_path / name))
+                assert {str(r["faiss_id"]): {k: r[k] for k in data["0"]} for r in found.collect()} == data, name
+            pieces = spark.read.option("lineSep", "}").text(str(tmp_path / name))
+            assert pieces.rdd.getNumPartitions() > 5
+            assert tables.bad_frames(spark, str(tmp_path / name)).count() == 0
+        broken = forms["line"].replace('"frame_index": 11,', '"frame_index": eleven,').replace('"frame_index": 12,', '"frame_index": ,')
+        (tmp_path / "broken").write_text(broken)
+        assert tables.read_frames_or_none(spark, str(tmp_path / "broken")).count() == 1998
+        assert sorted(r["key"] for r in tables.bad_frames(spark, str(tmp_path / "broken")).collect()) == ["11", "12"]
+        with pytest.raises(Exception, match="required"):
+            tables.read_frames(spark, str(tmp_path / "broken")).collect()
+        for said in ("", "{}", "[]", " {\n} "):
+            (tmp_path / "none").write_text(said)
+            assert tables.read_frames(spark, str(tmp_path / "none")).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_a_stored_table_rewrites_what_it_touches(spark, tmp_path):
+    path, files = str(tmp_path / "t"), lambda: {str(p) for p in (tmp_path / "t" / "data").rglob("*.parquet")}
+    stored.create(spark, path, "id long, t string, v int", ["id"], 8)
+    assert stored.read(spark, path).count() == 0 and stored.versions(spark, path) == [0]
+    first = spark.createDataFrame([(i, "old", 1) for i in range(100)], "id long, t string, v int")
+    assert stored.write(first, path, "v") == 1
+    before, named = files(), set(stored.read(spark, path).inputFiles())
+    one = spark.createDataFrame([(3, "new", 2), (3, "newer", 3)], first.schema)
+    assert stored.write(one, path, "v") == 2 and before <= files() and len(named - set(stored.read(spark, path).inputFiles())) == 1
+    want = sorted((i, "newer", 3) if i == 3 else (i, "old", 1) for i in range(100))
+    assert sorted(rows(stored.read(spark, path))) == want and stored.read(spark, path, 1).where("t = 'old'").count() == 100
+    assert stored.write(one, path, "v") == 3 and sorted(rows(stored.read(spark, path))) == want
+    assert stored.write(one.limit(0), path, "v") == 3
+    # a write that fails, and one that meets another, leave the table as it is
+    with pytest.raises(Exception, match="no more"):
+        stored.write(first.withColumn("t", F.when(F.col("id") == 50, F.raise_error(F.lit("no more"))).otherwise("x")), path, "v")
+    _, now = stored._version(spark, path, None)
+    with pytest.raises(RuntimeError, match="another write"):
+        stored._commit(spark, path, 3, now)
+    assert sorted(rows(stored.read(spark, path))) == want and stored.versions(spark, path) == [0, 1, 2, 3]
+    with pytest.raises(RuntimeError, match="another write"):
+        stored.create(spark, path, "id long", ["id"])
+
+
+def test_checks_scan_each_table_once(spark, tmp_path):
+    v, f, r = (str(tmp_path / x) for x in "vfr")
+    spark.createDataFrame([([1.0, 2.0],), ([1.0],), (None,), ([1.0, 2.0],)], "embedding array<double>").write.parquet(v)
+    spark.createDataFrame([("a", 0), ("a", 0), ("a", 3), ("b", 0), ("c", 0)], "video_id string, frame_index int").write.parquet(f)
+    spark.createDataFrame([("a",), ("a",), ("b",)], "video_id string").write.parquet(r)
+    found = frames.checked(*(spark.read.parquet(x) for x in (v, f, r)), ["video_id"])
+    assert {tuple(x) for x in found.collect()} == {("counts", False, 1), ("shape", False, 2), ("bounds", False, 2), ("duplicates", False, 1)}
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("FileScan") == 3
+    empty = frames.checked(*(spark.read.parquet(x).limit(0) for x in (v, f, r)), ["video_id"])
+    assert all(x["ok"] for x in empty.collect()) and empty.count() == 4
+
+
+@pytest.mark.parametrize("signs", [(1, 1), (-1, 1), (-1, -1)])
+def test_hopeless_videos_never_enter_the_beam(spark, signs):
+    import random
+
+    random.seed(6)
+    hits = [(q, e, f"v{v}", v * 100 + i, v * 100 + i, float(i * 20), random.choice(signs) * random.random() * (1 if v % 9 else 3), "s") for q in (1, 2) for e in range(3) for v in range(60) for i in random.sample(range(100), 4)]
+    df = spark.createDataFrame(hits, "query_id long, event_idx int, video_id string, faiss_id long, global_frame_id long, timestamp double, score double, split string")
+    shown = lambda z: [(r["query_id"], r["seq"], r["video_id"], [f["faiss_id"] for f in r["frames"]], r["total_score"]) for r in z.orderBy("query_id", "seq").collect()]
+    whole = temporal.temporal_search(df, ["video_id"], 3, 1000, beam=10, top=5, alpha=0.001)
+    found, entered = temporal.bounded_search(df, ["video_id"], 3, 1000, beam=10, top=5, first=4, alpha=0.001)
+    assert shown(found) == shown(whole) and len(shown(whole)) == 10
+    if signs == (1, 1):
+        assert entered.count() < 60
