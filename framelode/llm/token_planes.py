@@ -10,14 +10,15 @@ repeated task leaves no half-written shard, on any file system that Spark knows.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_dir, table
@@ -92,10 +93,31 @@ def write_token_planes(docs: DataFrame, path: str, tokenizer: str, cut: str | No
         if waiting or docs_here:
             yield out(waiting)
 
-    ordered = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    ordered = in_ranges(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     ordered.mapInArrow(encode, CHUNKS).write.option("compression", "none").parquet(path)
 
 
+def in_ranges(docs: DataFrame, rows_per_range: int = 1000) -> DataFrame:
+    """``docs`` (doc_id, text) in ranges of ids, each sorted by (id, text). Boundaries are quantiles of the ids, so that
+    texts are read once; there are at most as many ranges as the session has shuffle partitions. An id
+    that several ranges would begin with is dealt to these by the hash of the text."""
+    n = max(1, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // rows_per_range)))
+    bounds = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10 * n)).first()[0] if n > 1 else None
+    if not bounds:
+        return docs.coalesce(1).sortWithinPartitions("doc_id", "text")
+    step = math.isqrt(len(bounds)) + 1  # rows look for their range among every so many bounds, and then among those that follow
+    coarse, fine = bounds[step - 1 :: step], [bounds[k : k + step] for k in range(0, len(bounds), step)]
+
+    def below(fits: Callable[[Column], Column]) -> Column:
+        at = F.size(F.filter(F.array(*map(F.lit, coarse)), fits)) if coarse else F.lit(0)
+        of = F.coalesce(F.get(F.array(*(F.array(*map(F.lit, f)) for f in fine)), at), F.array().cast("array<bigint>"))
+        return at * step + F.size(F.filter(of, fits))
+
+    low, high = below(lambda x: x < F.col("doc_id")), below(lambda x: x <= F.col("doc_id"))
+    part = F.when(F.col("doc_id").isNull(), 0).when(low < high, low + F.pmod(F.xxhash64("text"), (high - low + 1).cast("long")).cast("int")).otherwise(high)
+    return docs.repartitionById(n, part).sortWithinPartitions("doc_id", "text")
+
+
 def read_token_planes(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, shard, start, n_tokens, ids): ``start`` counts all ids before the document.
 

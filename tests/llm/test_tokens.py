@@ -64,6 +64,25 @@ def test_written_ids_are_read_back(spark, tmp_path, planes, block):
     assert spark.read.parquet(path).where("n_ids > 0").count() >= at // block
 
 
+def test_ranges_of_ids_follow_one_another(spark, tmp_path):
+    ship(spark)
+    rows = [(i * 37 % 1009, f"text {i}") for i in range(1000)] + [(500, f"of a frequent id {i}") for i in range(700)] + [(None, f"no id {i}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        ranged = token_planes.in_ranges(docs, 100)
+        parts = ranged.rdd.glom().collect()
+        path = f"{tmp_path}/planes"
+        token_planes.write_token_planes(docs, path, P.path("word_bpe_49k.json"), "words", 1, 64)
+        got = token_planes.read_token_planes(spark, path).orderBy("start").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    order = [(r["doc_id"] is not None, r["doc_id"] or 0) for p in parts for r in p]
+    assert len(parts) == 12 and order == sorted(order) and Counter(map(tuple, (r for p in parts for r in p))) == Counter(rows)
+    assert max(map(len, parts)) < 500 and sum(any(r["doc_id"] == 500 for r in p) for p in parts) > 3
+    assert [r["doc_id"] for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i))
+
+
 def test_no_documents(spark, tmp_path):
     ship(spark)
     token_planes.write_token_planes(empty(spark), f"{tmp_path}/none", P.path("word_bpe_49k.json"), "words", 1)
