@@ -87,25 +87,35 @@ def in_cells(rows: DataFrame, keys: list[str], size: int, by: str, kept: Column,
     return cells.agg(F.collect_list(kept).alias("x")).select("one", "other", "x")
 
 
+#: Edges in a partition between the steps of :func:`components`.
+EDGES = 100_000
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v): the smallest node reachable.
 
     Alternating large-star and small-star steps. Each step is a grouped minimum (combined
     before the shuffle) joined back, the few nodes with very many edges by broadcast, so that no
-    node's edges are one task's. Self-loops and repeated edges are harmless; nodes without an edge
-    don't appear; an empty table gives an empty table.
+    node's edges are one task's. Between steps, edges lie in as few partitions as their number
+    needs. Self-loops and repeated edges are harmless; nodes without an edge don't appear; an
+    empty table gives an empty table.
     """
+
+    def kept(df: DataFrame) -> DataFrame:
+        return checkpointed(df.coalesce(max(1, -(-rows // EDGES))))
+
     e = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v").distinct()
     e = checkpointed(e)
     before, rows = None, e.count()
+    e = e.coalesce(max(1, -(-rows // EDGES)))
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("_n"))
         large = by_group(both.where("v > u"), least, ["u"], 2 * rows).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = checkpointed(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+        down = kept(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
         least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
         small = by_group(down, least, ["u"], 2 * rows).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        e = checkpointed(small.where("u <> v").distinct())
+        e = kept(small.where("u <> v").distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1000003)))).first()
         if now == before:
             break

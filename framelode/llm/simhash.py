@@ -454,35 +454,39 @@ def near_duplicates(docs: DataFrame, verify_words: int = 5, min_similarity: floa
     sets = written(met.select("node", "text_key").join(sets, "text_key").select("node", "shingles", "size"))
 
     # each text with the first of each of its buckets; a first one's texts in parts of about PART shingles
-    parts = pairs.join(sets.select("node", "size"), "node").groupBy("pivot").agg(F.ceil(F.sum("size") / PART).alias("parts")).where("parts > 1")
-    dealt = pairs.join(parts, "pivot", "left").select("pivot", "node", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1).cast("long"))).alias("part"))
-    dealt = written(dealt)
+    parts = pairs.join(sets.select("node", "size"), "node").groupBy("pivot").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / PART)).alias("parts"), F.count("*").alias("_n"))
+    dealt = written(by_group(pairs, parts, ["pivot"]).select("pivot", "node", F.pmod(F.xxhash64("node"), "parts").alias("part")))
     own = dealt.select("pivot", "part").distinct().join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("own")), "pivot")
     others = dealt.join(sets, "node").groupBy("pivot", "part").agg(F.collect_list(F.struct("node", "shingles")).alias("others"))
     first = written(others.join(own, ["pivot", "part"]).select("pivot", "own", "others").mapInArrow(of_first, "u long, v long"))
 
+    discard(fps, pairs, dealt)
+
     # texts of buckets of three or more that are in several groups still
     groups = written(met.select("node").join(components(first), "node", "left").select("node", F.coalesce("component", "node").alias("group")))
-    apart = held.where("n > 2").join(groups, "node").groupBy("bucket").agg(F.min("group").alias("a"), F.max("group").alias("b")).where("a <> b").select("bucket")
-    rest = written(held.where("n > 2").join(apart.select("bucket"), "bucket", "left_semi").select("node").distinct().join(groups, "node").join(sets, "node"))
+    apart = held.where("n > 2").join(groups, "node").groupBy("bucket").agg(F.min("group").alias("a"), F.max("group").alias("b"), F.count("*").alias("_n")).where("a <> b").select("bucket", "_n")
+    rest = written(by_group(held.where("n > 2"), apart, ["bucket"]).select("node").distinct().join(groups, "node").join(sets, "node"))
     exploding = written(rest.select("node", "size", "shingles").mapInArrow(exploded, "node long, size long, member long"))
     often = exploding.groupBy("member").agg(F.count("*").alias("n")).where("n > 1")
-    many = exploding.join(often, "member").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "member"))).alias("all"))
+    many = by_group(exploding, often.withColumn("_n", F.col("n")), ["member"]).groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "member"))).alias("all"))
     # members that only one text has come first in the order, and lead to no other text
     missing = F.col("size") - F.ceil(F.lit(min_similarity) * F.col("size") - 1e-6) + 1
     rare = F.slice("all", F.lit(1), F.greatest(F.lit(0), missing - (F.col("size") - F.size("all"))).cast("int"))
     sub = written(many.select("node", F.explode(rare).alias("x")).select("node", "x.member").join(groups, "node"))
-    tested = sub.groupBy("member").agg(F.min("node").alias("least"), F.min("group").alias("a"), F.max("group").alias("b")).where("a <> b").select("member", "least")
-    clusters = components(sub.join(tested, "member").select(F.col("node").alias("u"), F.col("least").alias("v")))
+    tested = sub.groupBy("member").agg(F.min("node").alias("least"), F.min("group").alias("a"), F.max("group").alias("b"), F.count("*").alias("_n")).where("a <> b").select("member", "least", "_n")
+    discard(held, met, sets, exploding)
+    clusters = components(by_group(sub, tested, ["member"]).select(F.col("node").alias("u"), F.col("least").alias("v")))
     near = written(rest.join(clusters, "node").withColumn("weight", F.col("size") + 64))  # short texts take room too
     cells = in_cells(near, ["component"], CELL, "node", F.struct("part", "node", "group", "shingles"), "weight")
+    discard(groups, sub)
     links = written(first.union(cells.mapInArrow(compared, "u long, v long")))
+    discard(near)
 
     member_of = written(members.join(components(links), "node", "left").select("text_key", "row", F.coalesce("component", "node").alias("group")))
     kept = member_of.groupBy("group").agg(F.min("row").alias("kept"), F.count("*").alias("_n"))
     copies = rows.groupBy("text_key").agg(F.count("*").alias("_n"))
     of_text = written(by_group(member_of, kept, ["group"]).select("text_key", "kept").join(copies, "text_key"))
-    discard(fps, members, held, pairs, met, sets, dealt, first, groups, rest, exploding, sub, near, links, member_of)
+    discard(members, first, rest, links, member_of)
     gone = by_group(rows.select("doc_id", "raw", "text_key"), of_text, ["text_key"]).where("doc_id <> kept.doc_id or raw <> kept.raw")
     return gone.select("doc_id", "raw", F.col("kept.doc_id").alias("component_id"))
 
