@@ -1,7 +1,8 @@
 """Embedding near-duplicates by sorted projection passes.
 
 In each pass, vectors are ordered by a random hash (signs of random projections) and
-range-partitioned, and all that share the whole hash are compared, however many they are. Two
+range-partitioned. Each is compared with the next ones in that order, whether their hashes are equal
+or not, and all that share the whole hash are compared, however many they are. Two
 vectors agree in a bit with a chance that only their angle sets, so the number of passes follows
 from the number of bits: a pair at the threshold is missed with a probability of at most ``miss``,
 however the vectors lie. The number of bits is the one that costs least on a sample. Pairs that
@@ -25,6 +26,8 @@ from .simhash import joined
 from .vectors import matrix, scaled, usable
 
 BITS = 60
+#: How many rows after it in a pass's order a row is compared with.
+NEXT = 32
 
 
 def passes_of(bits: float, threshold: float, miss: float) -> int:
@@ -68,7 +71,8 @@ def bits_for(reps: DataFrame, window: int, threshold: float, miss: float, seed:
 
 def sorted_pass_edges(reps: DataFrame, bits: int, passes: int, window: int, threshold: float, seed: int) -> DataFrame:
     """Edges (u, v) between vectors (id, grp, dim, vec) with equal ``grp`` and ``dim`` that share all
-    ``bits`` in a pass; at most one for each row and block. Runs longer than ``window``, or that may
+    ``bits`` in a pass, or are within ``NEXT`` rows of one another in a task's part of its order; at
+    most one for each row and block. Runs longer than ``window``, or that may
     go on in another task, are blocks that meet in pairs."""
     schema = "u long, v long, pass int, grp long, dim int, key long, ids binary, vecs binary"
     names = ["u", "v", "pass", "grp", "dim", "key", "ids", "vecs"]
@@ -87,7 +91,7 @@ def sorted_pass_edges(reps: DataFrame, bits: int, passes: int, window: int, thre
                     n = len(some)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, p, dtype=np.int32)), grp.take(at), pa.array(np.full(n, d, dtype=np.int32)), pa.array(np.ascontiguousarray(keys[:, p])), ids.take(at), some], names=["pass", "grp", "dim", "key", "id", "vec"])
 
-    def unit(vecs: bytes, n: int) -> np.ndarray:
+    def unit(vecs: bytes | pa.Buffer, n: int) -> np.ndarray:
         m = scaled(np.frombuffer(vecs, dtype="<f8").reshape(n, -1))
         return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
@@ -98,7 +102,34 @@ def sorted_pass_edges(reps: DataFrame, bits: int, passes: int, window: int, thre
         moved = np.flatnonzero(label != np.arange(len(label)))
         return (own[moved], own[label[moved]]) if len(moved) else None
 
+    def beside(batches: Iterator[pa.RecordBatch], out: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The same batches; ``out`` gets the edges between each row and the next ones, the last rows of a batch carried over."""
+        now, ids, m = None, None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            of, own, vec = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)]), batch.column(4).to_numpy(), batch.column(5)
+            begin = np.frombuffer(vec.buffers()[1], dtype=np.int32)[vec.offset : vec.offset + len(vec) + 1]
+            cuts = np.flatnonzero((np.diff(of) != 0).any(axis=0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(own)], strict=True):
+                some = unit(vec.buffers()[2][begin[a] : begin[b]], b - a)
+                same = now == tuple(of[:, a])
+                ids, m = (np.concatenate([ids, own[a:b]]), np.concatenate([m, some])) if same else (own[a:b], some)
+                now, label = tuple(of[:, a]), np.arange(len(ids))
+                for at in range(0, len(ids), NEXT):
+                    i, j = np.nonzero(m[at : at + NEXT] @ m[at : at + 2 * NEXT].T >= threshold)
+                    next_ = (j > i) & (j - i <= NEXT)
+                    joined(label, at + i[next_], at + j[next_])
+                moved = np.flatnonzero(label != np.arange(len(label)))
+                if len(moved):
+                    out.append(pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]]), *(pa.nulls(len(moved), k) for k in (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=names))
+                ids, m = ids[-NEXT:], m[-NEXT:]
+            yield batch
+
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[pa.RecordBatch] = []
+        batches = beside(batches, found)
+
         def blocks(key: tuple, ids: np.ndarray, vecs: list[bytes], edge: bool) -> Iterator[pa.RecordBatch]:
             for at in range(0, len(ids), window):
                 own, raw = ids[at : at + window], b"".join(vecs[at : at + window])
@@ -139,8 +170,11 @@ def sorted_pass_edges(reps: DataFrame, bits: int, passes: int, window: int, thre
                 yield from blocks(*before, first)
                 first = False
             before = run
+            yield from found
+            found.clear()
         if before is not None:
             yield from blocks(*before, True)
+        yield from found
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -245,6 +245,17 @@ def test_sql_of_embedding_links_on_a_table_that_has_them(spark, tmp_path):
     assert got == want and sum(r[1] > 0 for r in got) > 300
 
 
+def test_neighbours_in_the_order_are_compared_across_keys(spark):
+    """Of vectors whose hashes differ, only the neighbour windows find the links."""
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((40, 16))
+    near = np.concatenate([base, base + 0.05 * rng.standard_normal(base.shape)])
+    reps = spark.createDataFrame([(i, 0, 16, bytearray((v / np.linalg.norm(v)).astype("<f8").tobytes())) for i, v in enumerate(near)], "id long, grp long, dim int, vec binary").coalesce(1)
+    edges = {tuple(sorted(e)) for e in embed_dedup.sorted_pass_edges(reps, 60, 2, 128, 0.98, 2).collect()}
+    cosine = lambda u, v: near[u] @ near[v] / np.linalg.norm(near[u]) / np.linalg.norm(near[v])
+    assert len(edges) >= 25 and all(cosine(u, v) >= 0.98 for u, v in edges)  # equal hashes alone give about two
+
+
 def test_passes_grow_with_the_input():
     few, many = (embed_dedup.passes_for(n, 128, 0.98, 1e-4) for n in (1_000, 10_000_000))
     assert 4 <= few < many < 200
