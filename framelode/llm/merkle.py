@@ -49,33 +49,39 @@ def numbered(rows: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
     return ranged.join(F.broadcast(starts), "_range").withColumn("at", F.col("_begin") + F.col("_in")).drop("_range", "_begin", "_in"), ranged
 
 
-def _parents(level: Column) -> Column:
-    """The digests of a level's runs in a row."""
-    runs = F.sequence(F.lit(0), F.ceil(F.length(level) / _RUN).cast("int") - 1)
-    return F.array_join(F.transform(runs, lambda r: F.sha2(F.substring(level, r * _RUN + 1, F.lit(_RUN)), 256)), "").cast("binary")
+def _runs(level: Column) -> Column:
+    """A level's string cut in the digests of one parent each."""
+    return F.transform(F.sequence(F.lit(0), F.ceil(F.length(level) / _RUN).cast("int") - 1), lambda r: F.substring(level, r * _RUN + 1, F.lit(_RUN)))
 
 
 def _blocks(nodes: DataFrame) -> DataFrame:
-    """(grp, block, n, kept, up, l0, l1, ..., top): ``nodes`` (grp, at, n, hash, keep) in aligned blocks. ``n`` counts the
+    """(grp, block, n, kept, up, r0, r1, ..., top): ``nodes`` (grp, at, n, hash, keep) in aligned blocks. ``n`` counts the
     group's nodes and ``kept`` has each node's ``keep``, in order; ``up`` levels are above the nodes: so
-    many that one digest is left, if the group fits in a block, else all ``DEPTH``."""
+    many that one digest is left, if the group fits in a block, else all ``DEPTH``. Each level is one
+    string, of which ``r`` has the runs: those that are parsed for siblings are short."""
     held = nodes.groupBy("grp", F.expr(f"at div {_BLOCK}").alias("block"), "n").agg(F.sort_array(F.collect_list(F.struct("at", "hash", "keep"))).alias("x"))
     up = F.lit(0)
     for d in range(DEPTH):
         up = F.when(F.col("n") > FAN**d, F.lit(d + 1)).otherwise(up)
     held = held.select("grp", "block", "n", F.transform("x", lambda x: x["keep"]).alias("kept"), up.alias("up"), F.array_join(F.transform("x", lambda x: x["hash"]), "").cast("binary").alias("l0"))
-    for d in range(1, DEPTH + 1):
-        held = held.withColumn(f"l{d}", F.when(F.col("up") >= d, _parents(F.col(f"l{d - 1}"))))
-    return held.withColumn("top", F.coalesce(*(F.col(f"l{d}") for d in range(DEPTH, -1, -1))).cast("string"))
+    for d in range(DEPTH):
+        held = held.withColumn(f"r{d}", _runs(F.col(f"l{d}")))
+        held = held.withColumn(f"l{d + 1}", F.when(F.col("up") > d, F.array_join(F.transform(f"r{d}", lambda run: F.sha2(run, 256)), "").cast("binary")))
+    levels = [f"l{d}" for d in range(DEPTH, -1, -1)]
+    return held.withColumn("top", F.coalesce(*levels).cast("string")).drop(*levels)
+
+
+def _run_of(i: Column, d: int) -> tuple[Column, Column]:
+    """In level ``d``, the run of the node that ``i`` is below, and where in it that is."""
+    at = (i / FAN**d).cast("int")
+    return F.get(F.col(f"r{d}"), (at / FAN).cast("int")), F.pmod(at, F.lit(FAN)) * HEX
 
 
 def _path(i: Column) -> Column:
     """The siblings of a block's node ``i`` on the left and on the right, level by level, and then ``above``."""
     steps = []
     for d in range(DEPTH):
-        at = (i / FAN**d).cast("int")
-        own = F.pmod(at, F.lit(FAN)) * HEX
-        run = F.substring(F.col(f"l{d}"), (at / FAN).cast("int") * _RUN + 1, F.lit(_RUN))
+        run, own = _run_of(i, d)
         steps.append(F.struct(F.substring(run, F.lit(1), own).alias("left"), F.substring(run, own + HEX + 1, F.lit(_RUN)).alias("right")))
     return F.concat(F.slice(F.array(*steps), F.lit(1), F.col("up")).cast(_PATH), F.col("above"))
 
@@ -140,7 +146,7 @@ def merkle_manifest(docs: DataFrame, columns: list[str], group: str, order: str,
     roots = written(_with_paths(upper, root).select("root", of_group.alias("x")).select("x.*", "root"))
     discard(groups, held, held_tops, *upper)
 
-    row = F.transform("kept", lambda x, i: F.struct(x["key"].alias("key"), F.substring(F.col("l0"), i * HEX + 1, F.lit(HEX)).cast("string").alias("leaf"), _path(i).alias("path"), x["changed"].alias("changed")))
+    row = F.transform("kept", lambda x, i: F.struct(x["key"].alias("key"), F.substring(_run_of(i, 0)[0], _run_of(i, 0)[1] + 1, F.lit(HEX)).cast("string").alias("leaf"), _path(i).alias("path"), x["changed"].alias("changed")))
     rows = _with_paths(trees, roots).select("subroot", "root", F.explode(row).alias("x"))
     return rows.select(F.col("x.key").alias(order), "x.leaf", "subroot", "root", "x.path", F.col("x.changed").alias("changed_leaf"))
 
