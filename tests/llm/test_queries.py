@@ -235,3 +235,15 @@ def test_stages_on_odd_tables(spark, tmp_path, kind):
         if name == "near_duplicates":
             assert whole.groupBy("doc_id", "text").count().where("count > 1 and doc_id is not null").isEmpty()
     assert (whole.count() > 0) == (kind == "odd")
+
+
+def test_shards_are_written_in_slot_order(spark, tmp_path):
+    rows, docs = odd_docs(spark)
+    assigned = sharding.assign_shards(docs, 3, carry=("text", "row"))
+    sharding.write_shards(assigned, f"{tmp_path}/shards")
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert Counter((r["doc_id"], r["text"]) for r in back.collect()) == Counter(rows)
+    for shard in range(3):
+        files = sorted((tmp_path / "shards" / f"shard={shard}").glob("part-*.parquet"))
+        slots = [r["slot"] for f in files for r in spark.read.parquet(str(f)).collect()]
+        assert slots == list(range(len(slots))) and slots
