@@ -312,13 +312,27 @@ def _scored(docs: DataFrame, model: Model, names: list[str]) -> tuple[DataFrame,
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields[:-1], *(T.StructField(n, T.DoubleType()) for n in names)])), sent
 
 
+#: Bits of the map that tells most texts without a label before they are shuffled.
+MAPPED = 1 << 23
+
+
+def _likely(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """``docs`` whose id may be one of ``known``: all that are, and few others. A map of ``MAPPED`` bits is broadcast, whatever the
+    number of ids; with more ids it lets more of the others through."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(MAPPED))
+    bits = known.select(F.expr("doc_id")).select(F.floor(at / 64).alias("_cell"), F.expr(f"shiftleft(1L, int(pmod(xxhash64(doc_id), {MAPPED}) % 64))").alias("_bit")).groupBy("_cell").agg(F.bit_or("_bit").alias("_bits"))
+    mine = F.expr(f"shiftrightunsigned(_bits, int(pmod(xxhash64(doc_id), {MAPPED}) % 64)) & 1L") == 1
+    return docs.join(F.broadcast(bits), (F.floor(at / 64) == F.col("_cell")) & mine, "left_semi")
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, fold: Column | None = None) -> DataFrame:
     """Labelled texts; ``fold`` is null for rows that nothing may be learnt from. A label without a
     text, a null label or id, and every label but 0 and 1 are left out; of repeated labels the larger counts."""
     fold = held_fold() if fold is None else fold
     known = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    # the same join at every size: labels grow with the documents, so they are never broadcast
-    return docs.select("doc_id", "text").join(known.hint("shuffle_hash"), "doc_id").select("doc_id", fold.cast("int").alias("fold"), "toxic", "text").where("fold is not null")
+    known = known.where(fold.isNotNull())
+    # the same join at every size: labels grow with the documents, so they are never broadcast, only a bitmap of fixed size
+    return _likely(docs.select("doc_id", "text"), known).join(known.hint("shuffle_hash"), "doc_id").select("doc_id", fold.cast("int").alias("fold"), "toxic", "text").where("fold is not null")
 
 
 def toxicity_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

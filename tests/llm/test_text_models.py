@@ -289,3 +289,17 @@ def test_quality_of_odd_documents(spark):
     assert quality.good_only(docs, weights).columns == docs.columns
     none, _ = quality.fit(empty(spark))
     assert quality.quality_scores(empty(spark), none).count() == 0
+
+
+def test_texts_without_a_label_are_left_out_before_the_shuffle(spark):
+    import zlib
+
+    from framelode.llm import toxicity
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(2000)] + [(None, "no id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(0, 2000, 10)] + [(5000, 0, 1), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    rows = toxicity.training_rows(docs, labels, toxicity.learnt_fold())
+    wanted = {i for i in range(0, 2000, 10) if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert {r["doc_id"] for r in rows.collect()} == wanted
+    likely = {r["doc_id"] for r in toxicity._likely(docs, labels).collect()}
+    assert wanted <= likely and len(likely) <= 210
