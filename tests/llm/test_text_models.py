@@ -292,10 +292,6 @@ def test_quality_of_odd_documents(spark):
 
 
 def test_texts_without_a_label_are_left_out_before_the_shuffle(spark):
-    import zlib
-
-    from framelode.llm import toxicity
-
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(2000)] + [(None, "no id")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 0, i % 2) for i in range(0, 2000, 10)] + [(5000, 0, 1), (None, 0, 1)], "doc_id long, quality int, toxic int")
     rows = toxicity.training_rows(docs, labels, toxicity.learnt_fold())

@@ -542,3 +542,10 @@ def test_hopeless_videos_never_enter_the_beam(spark, signs):
     assert shown(found) == shown(whole) and len(shown(whole)) == 10
     if signs == (1, 1):
         assert entered.count() < 60
+
+
+def test_frame_files_are_as_many_as_tasks(spark):
+    from framelode.plans import queries
+
+    path = queries._frame_files(spark, "/root/testdata/sf0.01")
+    assert len(spark.read.text(path).inputFiles()) <= 4
