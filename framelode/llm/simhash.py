@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_group, components, discard, in_cells, ship, table, written
+from .common import by_group, components, discard, in_cells, joined, ship, table, written
 
 #: Fingerprints in the largest run that one task compares at once; longer runs are several nodes.
 RUN = 2048
@@ -166,19 +166,6 @@ def within(a: np.ndarray, b: np.ndarray | None, max_bits: int) -> Iterator[tuple
     yield from down(top, i, j)
 
 
-def joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Union the sets of ``i`` and ``j``: labels become the least index of each set."""
-    while True:
-        a, b = label[i], label[j]
-        differ = a != b
-        if not differ.any():
-            return
-        a, b = a[differ], b[differ]
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-        while (deeper := label[label] != label).any():
-            label[deeper] = label[label[deeper]]
-
-
 def near_fingerprints(fps: DataFrame, max_bits: int) -> DataFrame:
     """Edges (u, v) that connect exactly the fingerprints of ``fps`` (fp, distinct) that chains of
     links of at most ``max_bits`` connect. A run of n alike fingerprints gives at most n edges

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from framelode.llm import ann, embed_dedup, simhash
+from framelode.llm import ann, common, embed_dedup, simhash
 from framelode.llm.common import components, ship
 
 from .helpers import empty, least_components, odd_docs
@@ -21,6 +21,21 @@ def test_components_of_chains_stars_and_loops(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_few_edges_are_joined_in_a_job_or_two_and_more_in_rounds(spark, monkeypatch):
+    rng = random.Random(4)
+    links = [(rng.randrange(-3000, 3000), rng.randrange(-3000, 3000)) for _ in range(2500)] + [(i + 1, i) for i in range(9000, 9400)]
+    edges = spark.createDataFrame(links, "u long, v long")
+    want = least_components({n for u, v in links if u != v for n in (u, v)}, [e for e in links if e[0] != e[1]])
+    spark.sparkContext.setJobGroup("few edges", "")
+    got = components(edges).collect()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few edges")
+    spark.sparkContext.setJobGroup("many edges", "")
+    assert dict(map(tuple, got)) == want and len(got) == len(want)
+    assert len(jobs) <= 8, "each round is a dozen jobs, which the driver plans and remembers"
+    monkeypatch.setattr(common, "EDGES", 1000)
+    assert dict(map(tuple, components(edges).collect())) == want
+
+
 def plain_fingerprint(text, n=3):
     words = (text or "").encode().lower().split()
     if not words:
