@@ -245,33 +245,36 @@ def fit(labelled: DataFrame, calibration_rows: int = 20_000, cells: int = PAIRS)
     counts = written(_counts(labelled))
     pairs = counts.where("k >= 0")
 
-    def spread(df: DataFrame, size: int) -> np.ndarray:
-        """A column for each of ``df``'s after the first, which says where; compressed on the way to the driver."""
-        out = np.zeros((len(df.columns) - 1, size), dtype=np.float32)
-        for n, packed in df.mapInArrow(_packed, "n int, x array<binary>").collect():  # some MB
-            at = np.cumsum(_unpacked(packed[0], n))
-            for i, column in enumerate(packed[1:]):
-                out[i, at] = _unpacked(column, n)
+    def packed(df: DataFrame) -> list:
+        """``df``'s columns, the first of which says where, compressed: some MB."""
+        return df.mapInArrow(_packed, "n int, x array<binary>").collect()
+
+    def spread(got: list, size: int, *columns: tuple[int, ...]) -> np.ndarray:
+        """A row for each of ``columns``, the sum of those after the first."""
+        out = np.zeros((len(columns), size), dtype=np.float32)
+        for n, raw in got:
+            at = np.cumsum(_unpacked(raw[0], n))
+            for i, some in enumerate(columns):
+                out[i, at] = sum(_unpacked(raw[1 + c], n).astype(np.float32) for c in some)
         return out
 
     def capped(c: Column) -> Column:
         return F.least(c, F.lit((1 << 31) - 1)).cast("int")
 
-    of_word = spread(counts.where("k < 0").select(F.expr("int(-1 - k)"), *(capped(F.col(c)) for c in CELLS)), SPAN)
+    of_word = packed(counts.where("k < 0").select(F.expr("int(-1 - k)"), *(capped(F.col(c)) for c in CELLS)))
     kinds = [(F.col(f"n{t}") > 0).cast("long") for t in (0, 1)] + [((F.col(f"n{t}") + F.col(f"n{t + 2}")) > 0).cast("long") for t in (0, 1)]
-    by_first = spread(pairs.groupBy(F.expr(f"int(k div {SPAN})")).agg(*(capped(F.sum(c)) for c in CELLS), *(capped(F.sum(x)) for x in kinds)), SPAN)
-    by_last = spread(pairs.groupBy(F.expr(f"int(k % {SPAN})")).agg(capped(F.sum(kinds[0] + kinds[1])), capped(F.sum(kinds[2] + kinds[3]))), SPAN)
-    of_pair = spread(pairs.groupBy(F.expr(f"int(k % {cells})")).agg(*(capped(F.sum(c)) for c in CELLS)), cells)
+    by_first = packed(pairs.groupBy(F.expr(f"int(k div {SPAN})")).agg(*(capped(F.sum(c)) for c in CELLS), *(capped(F.sum(x)) for x in kinds)))
+    by_last = packed(pairs.groupBy(F.expr(f"int(k % {SPAN})")).agg(capped(F.sum(kinds[0] + kinds[1])), capped(F.sum(kinds[2] + kinds[3]))))
+    of_pair = packed(pairs.groupBy(F.expr(f"int(k % {cells})")).agg(*(capped(F.sum(c)) for c in CELLS)))
     discard(counts)
 
     def model(folds: int, weights: np.ndarray, prior: float) -> Model:
-        def of(x: np.ndarray, t: int) -> np.ndarray:
-            return x[t] if folds == 1 else x[t] + x[t + 2]
-
-        classes = []
-        for t in (0, 1):
-            classes.append(Class(of(of_word, t), of(by_first, t), by_first[4 + t + 2 * (folds - 1)], of(of_pair, t)))
-        ends = by_last[folds - 1] + np.float32(0.5)
+        """Only what this model needs is spread."""
+        of = [(0,), (1,)] if folds == 1 else [(0, 2), (1, 3)]
+        words, first, pairs = spread(of_word, SPAN, *of), spread(by_first, SPAN, *of, (2 + 2 * folds,), (3 + 2 * folds,)), spread(of_pair, cells, *of)
+        ends = spread(by_last, SPAN, (folds - 1,))[0]
+        ends += np.float32(0.5)
+        classes = [Class(words[t], first[t], first[2 + t], pairs[t]) for t in (0, 1)]
         return Model(classes[1], classes[0], ends, weights, prior)
 
     held, sent = _scored(labelled.where("fold = 1").select("doc_id", "toxic", "text"), model(1, np.zeros(3), 0.0), ["_mean", "_strong"])

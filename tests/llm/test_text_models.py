@@ -299,3 +299,16 @@ def test_texts_without_a_label_are_left_out_before_the_shuffle(spark):
     assert {r["doc_id"] for r in rows.collect()} == wanted
     likely = {r["doc_id"] for r in toxicity._likely(docs, labels).collect()}
     assert wanted <= likely and len(likely) <= 210
+
+
+def test_the_driver_keeps_no_counts_beside_the_model(spark):
+    import tracemalloc
+
+    ship(spark)
+    rows = spark.createDataFrame([(i, i % 2, i // 2 % 2, f"some words {i} of text {i % 7}") for i in range(60)], "doc_id long, fold int, toxic int, text string")
+    tracemalloc.start()
+    model = toxicity.fit(rows)
+    left, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    one = 4 * (7 * toxicity.SPAN + 2 * toxicity.PAIRS)  # words, first words, followers, pairs of both classes and ends
+    assert len(model.ends) == toxicity.SPAN and left < 1.2 * one
