@@ -549,3 +549,18 @@ def test_frame_files_are_as_many_as_tasks(spark):
 
     path = queries._frame_files(spark, "/root/testdata/sf0.01")
     assert len(spark.read.text(path).inputFiles()) <= 4
+
+
+def test_many_queries_are_cells_for_all_cores_and_near_ties_are_told_apart(spark):
+    """Vectors that differ by less than single precision; no cell has all queries."""
+    data = spark.range(3000).selectExpr("id as faiss_id", "transform(sequence(1, 8), j -> sin(cast(id % 1000 as double) * j) * (1 + 1e-12 * (id div 1000))) as embedding")
+    asked = data.where("faiss_id < 1500").selectExpr("faiss_id as query_id", "embedding as qvec")
+    x = {r[0]: r[1] for r in data.collect()}
+    got = {}
+    for r in sorted(rows(vectors.knn(asked, data, 5, sent=3).select("query_id", "rank", "faiss_id", "score"))):
+        got.setdefault(r[0], []).append((r[2], round(r[3], 9)))
+    for q in range(0, 1500, 250):
+        want = sorted(((-sum(a * b for a, b in zip(x[q], x[i], strict=True)), i) for i in x))[:5]
+        assert [s for _, s in got[q]] == [round(-s, 9) for s, _ in want] and {i % 1000 for i, _ in got[q]} == {i % 1000 for _, i in want}
+    cells = vectors._cells(asked.withColumnRenamed("qvec", "_q0"), data.toDF("_id", "_v0"), ["query_id"], 1, 5, 65_536, 4096)
+    assert len({r[0] for r in cells.select(F.spark_partition_id()).distinct().collect()}) > 1
